@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["matching"]
+AREAS = ["matching", "hits"]
 
 
 def load() -> None:

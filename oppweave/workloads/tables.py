@@ -81,3 +81,109 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("id"))
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("profile_id"))
     return li.join(o, li.l_orderkey == o.o_orderkey).select("profile_id", "id").distinct()
+
+
+def hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as search hits: part is the page, supplier the domain."""
+    li = table(spark, sf, "lineitem")
+    flag = F.col("l_returnflag")
+    surface = (
+        F.when(flag == "A", "direct_likely").when(flag == "R", "hub_likely")
+        .when(F.col("l_linestatus") == "O", "list_likely").otherwise("other")
+    )
+    return li.select(
+        F.floor(F.col("l_orderkey") / 100).alias("run_id"),
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000003 + F.col("l_partkey")) * 10007
+         + F.col("l_suppkey")).alias("ord"),
+        F.concat(F.lit("https://s"), F.col("l_suppkey"), F.lit(".example.org/p/"), F.col("l_partkey")).alias("normalized_url"),
+        F.concat(F.lit("s"), F.col("l_suppkey"), F.lit(".example.org")).alias("source_domain"),
+        surface.alias("surface_type"),
+        F.col("l_quantity").alias("fit_score"),
+        F.round(F.col("l_discount") * 100).alias("novelty_score"),
+        F.col("l_linenumber").alias("provider_rank"),
+        (F.col("l_linenumber") % 3).alias("pass_priority"),
+        (F.col("l_tax") > 0.04).alias("stage_match"),
+        (F.col("l_tax") < 0.02).alias("specific_school"),
+        (F.col("l_tax") < 0.04).alias("institution_specific"),
+        (F.col("l_discount") > 0.08).alias("stale_cycle"),
+        (F.col("l_discount") < 0.01).alias("indirect_content"),
+    )
+
+
+HITS_SQL = """
+ hits AS (SELECT l_orderkey // 100 run_id, ((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 10007 + l_suppkey ord,
+   'https://s' || l_suppkey || '.example.org/p/' || l_partkey normalized_url,
+   's' || l_suppkey || '.example.org' source_domain,
+   CASE WHEN l_returnflag = 'A' THEN 'direct_likely' WHEN l_returnflag = 'R' THEN 'hub_likely'
+     WHEN l_linestatus = 'O' THEN 'list_likely' ELSE 'other' END surface_type,
+   l_quantity fit_score, round(l_discount * 100) novelty_score, l_linenumber provider_rank,
+   l_linenumber % 3 pass_priority, l_tax > 0.04 stage_match, l_tax < 0.02 specific_school,
+   l_tax < 0.04 institution_specific, l_discount > 0.08 stale_cycle, l_discount < 0.01 indirect_content
+   FROM lineitem),
+ ded AS (SELECT * EXCLUDE (rn) FROM (SELECT *, min(ord) OVER (PARTITION BY run_id, normalized_url) first_ord,
+   row_number() OVER (PARTITION BY run_id, normalized_url ORDER BY fit_score DESC, novelty_score DESC, ord) rn FROM hits) WHERE rn = 1),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY fit_score DESC, novelty_score DESC, provider_rank, first_ord) AS rank FROM ded)
+"""
+
+AS_OF = "2024-01-31 00:00:00"
+
+# Event types read as page types.
+EVENT_PAGES = {
+    "purchase": "direct_scholarship",
+    "view": "scholarship_list_page",
+    "error": "fetch_error",
+    "click": "not_scholarship_page",
+    "signup": "unknown",
+}
+
+
+def event_page_type():
+    out = F.lit("unknown")
+    for kind, page in EVENT_PAGES.items():
+        out = F.when(F.col("event_type") == kind, page).otherwise(out)
+    return out
+
+
+def event_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as fetch-history updates; the user is the page, blanks do not overwrite."""
+    e = table(spark, sf, "events")
+    user = F.col("user_id")
+    url = F.concat(F.lit("https://u"), user, F.lit(".example.net/"))
+    return e.select(
+        F.col("event_id").alias("ord"),
+        url.alias("normalized_url"),
+        url.alias("url"),
+        F.concat(F.lit("u"), user % 20, F.lit(".example.net")).alias("source_domain"),
+        event_page_type().alias("page_type"),
+        F.col("ts").cast("timestamp").alias("last_seen_at"),
+        F.when(F.col("event_type") != "signup", F.col("ts").cast("timestamp")).alias("last_fetched_at"),
+        F.when(F.col("value") > 20, F.col("props")).otherwise("").alias("last_search_query"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("").alias("last_error"),
+        F.when(F.col("event_type") == "purchase", F.concat(F.lit("c"), F.col("event_id"))).otherwise("").alias("candidate_id"),
+        F.lit("").alias("candidate_name"),
+    )
+
+
+EVENTS_SQL = """
+ updates AS (SELECT event_id ord, 'https://u' || user_id || '.example.net/' normalized_url,
+   'https://u' || user_id || '.example.net/' url, 'u' || (user_id % 20) || '.example.net' source_domain,
+   CASE event_type WHEN 'purchase' THEN 'direct_scholarship' WHEN 'view' THEN 'scholarship_list_page'
+     WHEN 'error' THEN 'fetch_error' WHEN 'click' THEN 'not_scholarship_page' ELSE 'unknown' END page_type,
+   ts last_seen_at, CASE WHEN event_type <> 'signup' THEN ts END last_fetched_at,
+   CASE WHEN value > 20 THEN props ELSE '' END last_search_query,
+   CASE WHEN event_type = 'error' THEN 'failed' ELSE '' END last_error,
+   CASE WHEN event_type = 'purchase' THEN 'c' || event_id ELSE '' END candidate_id FROM events),
+ history AS (SELECT normalized_url, arg_max(url, ord) url, arg_max(source_domain, ord) source_domain,
+   arg_max(page_type, ord) page_type, arg_max(last_seen_at, ord) last_seen_at,
+   arg_max(last_fetched_at, ord) FILTER (last_fetched_at IS NOT NULL) last_fetched_at,
+   arg_max(last_search_query, ord) FILTER (last_search_query <> '') last_search_query,
+   arg_max(last_error, ord) FILTER (last_error <> '') last_error,
+   arg_max(candidate_id, ord) FILTER (candidate_id <> '') candidate_id FROM updates GROUP BY 1)
+"""
+
+
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.history import upsert_history
+
+    up = event_updates(spark, sf)
+    return upsert_history(up.limit(0).drop("ord"), up)
