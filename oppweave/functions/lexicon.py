@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import ascii_words, col, has, norm
+from .text import ascii_words, col, has, let, norm
 
 
 def tag_values(
@@ -16,41 +16,58 @@ def tag_values(
 
     With ``scan_once`` the (wide) text is read by one combined regex that yields
     the short list of words found (zero-width, so overlapping words all count);
-    the single rules then look at that list only.
-    This needs rules of which no two match at the same word start; for other rule
-    sets pass ``scan_once=False`` and each rule reads the text.
+    the single rules then look at that list only.  This needs rules of which no
+    two match at the same word start; for other rule sets pass ``scan_once=False``
+    and each rule reads the text.
     """
-    text = col(text)
-    if scan_once:
-        union = "|".join(f"(?:{p})" for p, _ in rules)
-        found = F.regexp_extract_all(
-            F.coalesce(text, F.lit("")), F.lit("(?i)" + ascii_words(f"(?=({union}))")), F.lit(1)
-        )
-        text = F.array_join(F.array_distinct(F.transform(found, F.lower)), "\n")
-    values = [
-        F.when(has(text, p), F.array(*[F.lit(v) for v in vs])).otherwise(
-            F.array().cast("array<string>")
-        )
-        for p, vs in rules
-    ]
-    return F.array_distinct(F.flatten(F.array(*values)))
+    text = F.coalesce(col(text), F.lit(""))
+    none = F.array().cast("array<string>")
 
+    def pick(t: Column) -> Column:
+        values = [F.when(has(t, p), F.array(*[F.lit(v) for v in vs])).otherwise(none) for p, vs in rules]
+        return F.array_distinct(F.flatten(F.array(*values)))
 
-def tag_states(text: Column | str) -> Column:
-    """Postal codes of the states named or abbreviated in a text, code order of the table."""
-    names = {name.lower(): code for code, name in vocab.STATES.items()}
-    names.update({code.lower(): code for code in vocab.STATES})
-    words = "|".join(sorted((n.replace(" ", r"\s+") for n in names), key=len, reverse=True))
-    # A zero-width look-ahead keeps "Virginia" inside "West Virginia".
+    if not scan_once:
+        return pick(text)
+    union = "|".join(f"(?:{p})" for p, _ in rules)
     found = F.regexp_extract_all(
-        F.coalesce(col(text), F.lit("")), F.lit(rf"(?i)(?<!\w)(?=({words})(?!\w))"), F.lit(1)
+        text, F.lit(r"(?i)(?<!\w)(?=" + ascii_words(f"({union})") + ")"), F.lit(1)
+    )
+    return let(
+        found,
+        lambda f: F.when(F.size(f) == 0, none).otherwise(
+            let(F.array_join(F.array_distinct(f), "\n"), pick)
+        ),
     )
-    lookup = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    codes = F.array_distinct(
-        F.transform(found, lambda m: lookup[F.lower(F.regexp_replace(m, r"\s+", " "))])
+
+
+def tag_states(text: Column | str) -> Column:
+    """Postal codes of the states named or abbreviated in a text, in table order.
+
+    Codes and one-word names are looked up among the text's distinct words; only
+    names of several words read the text, and only where their words occur.
+    """
+    text = F.coalesce(col(text), F.lit(""))
+    parts = {p for c, n in vocab.STATES.items() for p in (c.lower(), *n.lower().split())}
+    words = F.array_intersect(
+        F.transform(F.array_distinct(F.split(text, "[^A-Za-z0-9_]+")), F.lower),
+        F.array(*[F.lit(p) for p in sorted(parts)]),
     )
-    order = F.array(*[F.lit(c) for c in vocab.STATES])
-    return F.filter(order, lambda c: F.array_contains(codes, c))
+
+    def pick(w: Column) -> Column:
+        tests = []
+        for code, name in vocab.STATES.items():
+            parts = name.lower().split()
+            named = F.array_contains(w, parts[0])
+            if len(parts) > 1:
+                named = (
+                    named & F.array_contains(w, parts[-1])
+                    & has(text, r"\b" + r"\s+".join(parts) + r"\b")
+                )
+            tests.append(F.when(F.array_contains(w, code.lower()) | named, F.lit(code)))
+        return F.array_compact(F.array(*tests))
+
+    return let(words, pick)
 
 
 def state_code(value: Column | str) -> Column:
@@ -91,20 +108,26 @@ def stage_terms(stage: Column | str, grade: Column | str) -> Column:
 
 def term_hits(terms: Column, text: Column | str) -> Column:
     """Number of stage phrases in a text; "freshman" also finds "freshmen"."""
-    text = norm(text)
-    return F.size(
-        F.filter(
-            terms,
-            lambda t: text.contains(t) | text.contains(F.replace(t, F.lit("freshman"), F.lit("freshmen"))),
+
+    def count(x: Column) -> Column:
+        return F.size(
+            F.filter(
+                terms,
+                lambda t: x.contains(t) | x.contains(F.replace(t, F.lit("freshman"), F.lit("freshmen"))),
+            )
         )
-    )
+
+    return let(norm(text), count)
 
 
 def rule_matches(rules: Column, value: Column | str) -> Column:
     """Some rule equals, holds or is held by the value; blanks never match."""
-    v = norm(value)
-    return (v != "") & F.exists(
-        rules, lambda r: (norm(r) != "") & (v.contains(norm(r)) | norm(r).contains(v))
+    return let(
+        norm(value),
+        lambda v: (v != "")
+        & F.exists(
+            F.transform(rules, norm), lambda r: (r != "") & (v.contains(r) | r.contains(v))
+        ),
     )
 
 

@@ -69,9 +69,11 @@ def find_all(c: Column | str, pattern: str, group: int = 1) -> Column:
 
 def clip(c: Column | str, n: int) -> Column:
     """Cut a snippet to ``n`` characters, marking the cut with three dots."""
-    c = clean(c)
-    return F.when(F.length(c) <= n, c).otherwise(
-        F.concat(F.trim(F.substring(c, 1, max(0, n - 3))), F.lit("..."))
+    return let(
+        clean(c),
+        lambda t: F.when(F.length(t) <= n, t).otherwise(
+            F.concat(F.trim(F.substring(t, 1, max(0, n - 3))), F.lit("..."))
+        ),
     )
 
 
@@ -105,6 +107,21 @@ def listed(*pairs: tuple[Column, Column | str]) -> Column:
 
 def distinct_ci(values: Column) -> Column:
     """Distinct strings ignoring case; the first spelling stays, blanks go."""
-    cleaned = F.filter(F.transform(values, clean), lambda v: v != "")
-    keys = F.transform(cleaned, F.lower)
-    return F.filter(cleaned, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
+
+
+    def pick(vs: Column) -> Column:
+        return let(
+            F.transform(vs, F.lower),
+            lambda keys: F.filter(vs, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1),
+        )
+
+    return let(F.filter(F.transform(values, clean), lambda v: v != ""), pick)
+
+
+def let(value: Column, body) -> Column:
+    """Bind a costly value once: ``body`` gets it as a variable.
+
+    Spark does not share sub-expressions inside lambdas or across conditional
+    branches, so a value used many times there would be computed as often.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean, col, flag
+from .text import clean, col, flag, let
 
 _URL = r"^(?i)(https?|ftp)://([^/?#\s]+)([^?#]*)(\?[^#]*)?"
 
@@ -13,17 +13,25 @@ _URL = r"^(?i)(https?|ftp)://([^/?#\s]+)([^?#]*)(\?[^#]*)?"
 TRACKING = ["utm_", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source"]
 
 
-def _part(url: Column | str, i: int) -> Column:
-    return F.regexp_extract(F.trim(F.coalesce(col(url), F.lit(""))), _URL, i)
+def parse(url: Column | str) -> Column:
+    """Scheme, authority, path and query of a URL; empty parts for other text."""
+    t = F.trim(F.coalesce(col(url), F.lit("")))
+    return F.struct(
+        F.lower(F.regexp_extract(t, _URL, 1)).alias("scheme"),
+        F.lower(F.regexp_extract(t, _URL, 2)).alias("authority"),
+        F.regexp_extract(t, _URL, 3).alias("route"),
+        F.regexp_extract(t, _URL, 4).alias("query"),
+    )
 
 
 def is_url(url: Column | str) -> Column:
-    return _part(url, 2) != ""
+    return F.regexp_extract(F.trim(F.coalesce(col(url), F.lit(""))), _URL, 2) != ""
 
 
 def hostname(url: Column | str) -> Column:
     """Lower-case host without port; empty for text that is not a URL."""
-    return F.regexp_replace(F.regexp_replace(F.lower(_part(url, 2)), r"^.*@", ""), r":\d*$", "")
+    authority = F.lower(F.regexp_extract(F.trim(F.coalesce(col(url), F.lit(""))), _URL, 2))
+    return F.regexp_replace(authority, r"^.*@|:\d*$", "")
 
 
 def domain(url: Column | str) -> Column:
@@ -33,14 +41,17 @@ def domain(url: Column | str) -> Column:
 def base_domain(dom: Column | str) -> Column:
     """Last two labels of a domain."""
     labels = F.filter(F.split(F.lower(clean(dom)), r"\."), lambda x: x != "")
-    return F.array_join(
-        F.when(F.size(labels) <= 2, labels).otherwise(F.slice(labels, -2, 2)), "."
-    )
+    return F.array_join(F.reverse(F.slice(F.reverse(labels), 1, 2)), ".")
 
 
 def path(url: Column | str) -> Column:
     """Path of a URL ("/" when it has none), empty for other text."""
-    return F.when(is_url(url), F.coalesce(F.nullif(_part(url, 3), F.lit("")), F.lit("/"))).otherwise("")
+    return let(
+        parse(url),
+        lambda u: F.when(u["authority"] == "", F.lit(""))
+        .when(u["route"] == "", F.lit("/"))
+        .otherwise(u["route"]),
+    )
 
 
 def canonical_url(url: Column | str, strip_utm: bool = False) -> Column:
@@ -51,25 +62,24 @@ def canonical_url(url: Column | str, strip_utm: bool = False) -> Column:
     """
     names = "|".join(TRACKING)
     drop = f"(?i)^({names})(=|$)" + ("|(?i)^utm_" if strip_utm else "")
-    scheme = F.lower(_part(url, 1))
-    host = F.lower(_part(url, 2))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(
-        F.regexp_replace(host, ":443$", "")
-    )
-    route = F.regexp_replace(_part(url, 3), "/+$", "")
-    kept = F.array_join(
-        F.filter(F.split(F.substring(_part(url, 4), 2, 1 << 30), "&"), lambda p: ~p.rlike(drop)), "&"
-    )
-    return F.when(
-        is_url(url),
-        F.concat(
-            scheme,
+
+    def build(u: Column) -> Column:
+        kept = F.array_join(
+            F.filter(F.split(F.substring(u["query"], 2, 1 << 30), "&"), lambda p: ~p.rlike(drop)), "&"
+        )
+        port = F.when(u["scheme"] == "http", ":80$").otherwise(":443$")
+        return F.concat(
+            u["scheme"],
             F.lit("://"),
-            host,
-            F.when(route == "", F.lit("/")).otherwise(route),
-            F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept)),
-        ),
-    ).otherwise(F.lower(clean(url)))
+            F.regexp_replace(u["authority"], port, F.lit("")),
+            F.coalesce(F.nullif(F.regexp_replace(u["route"], "/+$", ""), F.lit("")), F.lit("/")),
+            let(kept, lambda k: F.when(k == "", F.lit("")).otherwise(F.concat(F.lit("?"), k))),
+        )
+
+    return let(
+        parse(url),
+        lambda u: F.when(u["authority"] == "", F.lower(clean(url))).otherwise(build(u)),
+    )
 
 
 def domain_suffixes(dom: Column | str) -> Column:
@@ -93,26 +103,39 @@ def resolve(href: Column, base: Column) -> Column:
     Dot segments at the front of a relative link are resolved; the reference
     point is the folder of the base path.
     """
-    scheme = F.lower(_part(base, 1))
-    root = F.concat(scheme, F.lit("://"), F.lower(_part(base, 2)))
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    ups = F.length(F.regexp_extract(href, r"^((?:\.\./)+)", 1)) / 3
-    parts = F.split(F.regexp_replace(folder, "^/|/$", ""), "/")
-    keep = F.greatest(F.size(parts) - ups.cast("int"), F.lit(0))
-    upper = F.array_join(F.filter(F.slice(parts, 1, keep), lambda p: p != ""), "/")
-    up_folder = F.when(upper == "", F.lit("/")).otherwise(F.concat(F.lit("/"), upper, F.lit("/")))
-    return (
-        F.when(href.rlike("(?i)^https?://"), href)
-        .when(href.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:"), F.lit(None).cast("string"))
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("?"), F.concat(root, path(base), href))
-        .when(
-            href.startswith("../"),
-            F.concat(root, up_folder, F.regexp_replace(href, r"^(\.\./)+", "")),
+
+    def build(u: Column) -> Column:
+        b, h = u["base"], u["href"]
+        root = F.concat(b["scheme"], F.lit("://"), b["authority"])
+        folder = F.regexp_replace(
+            F.coalesce(F.nullif(b["route"], F.lit("")), F.lit("/")), r"[^/]*$", ""
         )
-        .otherwise(F.concat(root, folder, F.regexp_replace(href, r"^(\./)+", "")))
-    )
+        ups = (F.length(F.regexp_extract(h, r"^((?:\.\./)+)", 1)) / 3).cast("int")
+
+        def climb(f: Column) -> Column:
+            parts = F.filter(F.split(f, "/"), lambda p: p != "")
+            kept = F.slice(parts, 1, F.greatest(F.size(parts) - ups, F.lit(0)))
+            return F.concat(
+                F.lit("/"), F.array_join(F.transform(kept, lambda p: F.concat(p, F.lit("/"))), "")
+            )
+
+        return (
+            F.when(h.rlike("(?i)^https?://"), h)
+            .when(h.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:"), F.lit(None).cast("string"))
+            .when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(root, h))
+            .when(
+                h.startswith("?"),
+                F.concat(root, F.coalesce(F.nullif(b["route"], F.lit("")), F.lit("/")), h),
+            )
+            .when(
+                h.startswith("../"),
+                F.concat(root, let(folder, climb), F.regexp_replace(h, r"^(\.\./)+", "")),
+            )
+            .otherwise(F.concat(root, folder, F.regexp_replace(h, r"^(\./)+", "")))
+        )
+
+    return let(F.struct(parse(base).alias("base"), href.alias("href")), build)
 
 
 def same_host(a: Column, b: Column) -> Column:

@@ -38,7 +38,10 @@ def history_lookup(
         F.coalesce(nonblank("page_type"), F.lit("unknown")).alias("h_page_type"),
     )
     fetched = F.col("h_fetched_at")
-    age = F.greatest(F.lit(0.0), (_seconds(F.lit(as_of)) - _seconds(fetched)) / 3600)
+    age = F.when(
+        fetched.isNotNull(),
+        F.greatest(F.lit(0.0), (_seconds(F.lit(as_of)) - _seconds(fetched)) / 3600),
+    )
     return (
         hits.join(known, "normalized_url", "left")
         .withColumns(

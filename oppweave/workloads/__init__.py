@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["matching", "hits"]
+AREAS = ["matching", "hits", "pages"]
 
 
 def load() -> None:

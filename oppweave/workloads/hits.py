@@ -33,7 +33,7 @@ def _page_urls(spark, sf):
     "canonical_urls",
     f"""WITH {URL_SQL} SELECT canonical_url, source_domain, min(ord) first_ord, arg_min(variant, ord) first_variant,
  count(*) n_rows, count(DISTINCT variant) n_variants,
- array_to_string(list_slice(string_split(source_domain, '.'), -2, NULL), '.') base_domain FROM canon GROUP BY 1, 2""",
+ array_to_string(string_split(source_domain, '.')[-2:], '.') base_domain FROM canon GROUP BY 1, 2""",
 )
 def canonical_urls(spark, sf):
     return _page_urls(spark, sf)
@@ -42,7 +42,7 @@ def canonical_urls(spark, sf):
 @query(
     "canonical_domain_counts",
     f"""WITH {URL_SQL}, c AS (SELECT canonical_url, source_domain, count(*) n FROM canon GROUP BY 1, 2)
- SELECT source_domain, array_to_string(list_slice(string_split(source_domain, '.'), -2, NULL), '.') base_domain,
+ SELECT source_domain, array_to_string(string_split(source_domain, '.')[-2:], '.') base_domain,
  count(*) n_urls, sum(n)::BIGINT n_rows FROM c GROUP BY 1, 2""",
 )
 def canonical_domain_counts(spark, sf):

@@ -187,3 +187,88 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
     up = event_updates(spark, sf)
     return upsert_history(up.limit(0).drop("ord"), up)
+
+
+# ---- offer pages derived from parts ----------------------------------------------------------
+
+PAGES_AS_OF = "2026-01-15 00:00:00"
+
+# Page kinds by part size: (kind, url path, title, sentences, anchors).  {k} is the part key,
+# {n} the part name, {a} the award, {s} the next part.
+PAGE_KINDS = {
+    0: ("/scholarships/{n}-{k}", "{n} Scholarship",
+        "The {n} Scholarship awards up to ${a} to each winner. Application deadline: June 15, 2026. "
+        "Applicants must have a minimum 3.25 GPA and be residents of Texas. Apply online with an essay today.", ""),
+    1: ("/scholarships/{n}-{k}", "{n} Award",
+        "The {n} Award was worth ${a} last time around. Sorry, the deadline has passed for this one.", ""),
+    2: ("/scholarships/{n}-{k}", "{n} Grant",
+        "The {n} Grant gives winners ${a} for mechanical engineering. Deadline: June 15, 2020 for every form sent.", ""),
+    3: ("/scholarships/", "Best scholarships for {n} fans",
+        "Here is a list of scholarships that people have liked so far.",
+        "<a href='/scholarships/one-{k}'>One {n} scholarship</a> <a href='/scholarships/two-{k}'>Two {n} award</a> "
+        "<a href='/about'>About us</a> <a href='/scholarships/three-{k}.pdf'>Three scholarship</a>"),
+    4: ("/programs/{k}/scholarships", "Department scholarships",
+        "Our university department supports its members every single year.",
+        "<a href='/programs/fund-{k}'>{n} fund scholarship</a> <a href='https://other{s}.example.com/scholarships/x-{k}'>Official {n} award</a> "
+        "<a href='/programs/guidelines'>Program guidelines award</a>"),
+    5: ("/listing/{k}", "{n} Scholarship",
+        "See the scholarship directory for more of these. The {n} Scholarship awards ${a} to freshman students.",
+        "<a href='https://sponsor{s}.example.com/apply/{k}'>Apply at official website</a> <a href='/scholarships/by-major/'>More by major scholarship</a>"),
+    6: ("/gone/{k}", "Gone", "This page could not be shown to you.", ""),
+    7: ("/file/{k}", "File", "This file could not be read by anyone.", ""),
+    8: ("/aid/{k}", "What is student aid",
+        "Everything you need to know about federal student aid and fafsa.", ""),
+    9: ("/item/{k}", "{n}", "Just a plain page about some thing here.", ""),
+}
+
+
+def _fill(template: str):
+    """Column for a page template; only these five holes are known."""
+    holes = {
+        "{k}": F.col("p_partkey").cast("string"),
+        "{n}": F.initcap("p_name"),
+        "{a}": F.floor("p_retailprice").cast("string"),
+        "{s}": ((F.col("p_partkey") + 1) % 97).cast("string"),
+    }
+    out = F.lit(template)
+    for hole, value in holes.items():
+        if hole in template:
+            out = F.replace(out, F.lit(hole), value)
+    return out
+
+
+def offer_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages written from the rows of ``part``."""
+    p = table(spark, sf, "part").withColumn("kind", F.col("p_size") % 10)
+    slug = F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))
+    url = F.lit(None).cast("string")
+    body = F.lit(None).cast("string")
+    title = F.lit(None).cast("string")
+    for kind, (route, head, text, anchors) in PAGE_KINDS.items():
+        here = F.col("kind") == kind
+        url = F.when(here, F.replace(_fill(route.replace("{n}", "~")), F.lit("~"), slug)).otherwise(url)
+        title = F.when(here, _fill(head)).otherwise(title)
+        body = F.when(here, _fill(f"<p>{text}</p><ul>{anchors}</ul>")).otherwise(body)
+    host = F.when(F.col("kind") == 5, F.lit("www.fastweb.com")).otherwise(
+        F.concat(F.lit("site"), F.col("p_partkey") % 211, F.lit(".example.org"))
+    )
+    return p.select(
+        F.col("p_partkey").alias("page_id"),
+        F.floor(F.col("p_partkey") / 40).alias("run_id"),
+        F.col("p_partkey").alias("ord"),
+        "kind",
+        "p_name",
+        F.floor("p_retailprice").cast("double").alias("award"),
+        F.concat(F.lit("https://"), host, url).alias("url"),
+        F.when(F.col("kind") == 6, 404).otherwise(200).alias("http_status"),
+        F.when(F.col("kind") == 7, "application/pdf").otherwise("text/html").alias("content_type"),
+        F.concat(
+            F.lit("<html><head><title>"), title, F.lit("</title><script>var x='<p>';</script></head><body><h1>"),
+            title, F.lit("</h1>"), body, F.lit("</body></html>"),
+        ).alias("html"),
+        F.lit("mechanical engineering").alias("intended_major"),
+        F.lit("").alias("ethnicity"),
+        F.lit("Texas").alias("state"),
+        F.lit("").alias("grade_level"),
+        F.lit("starting_college").alias("student_stage"),
+    )
