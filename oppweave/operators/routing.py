@@ -276,7 +276,7 @@ LEAD_GENERIC_ANCHOR = (
 
 def slug_title(url: Column) -> Column:
     """Title made of the last path segment of a URL."""
-    last = F.element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), -1)
+    last = F.try_element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), F.lit(-1))
     words = F.regexp_replace(
         F.regexp_replace(F.coalesce(last, F.lit("")), r"(?i)\.(html?|php|aspx?)$", ""), "[-_]+", " "
     )

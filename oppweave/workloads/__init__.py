@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["matching", "hits", "pages"]
+AREAS = ["matching", "hits", "pages", "claims"]
 
 
 def load() -> None:
