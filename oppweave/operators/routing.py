@@ -289,11 +289,12 @@ def slug_title(url: Column) -> Column:
 
 def extract_leads(
     links: DataFrame, bundles: DataFrame, key: list[str], student_stage: Column | str = "",
-    per_page: int = 5, total: int = 15, rejects: int = 8,
+    per_page: int = 5, total: int | None = 15, rejects: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """Leads of hub pages and the first links turned down.
 
-    At most ``per_page`` leads per page and ``total`` per run in page order.
+    At most ``per_page`` leads per page and ``total`` per run in page order (no
+    total with None).
     ``bundles`` needs ``run_id, ord``; pages after a page without a URL are not read.
     """
     stage = F.lit(student_stage) if not isinstance(student_stage, Column) else student_stage
@@ -359,13 +360,14 @@ def extract_leads(
         df.filter(F.col("lead_score") >= 2), key, [F.col("lead_score").desc(), F.col("position").asc()],
         per_page, "pick",
     )
-    sizes = good.groupBy("run_id", "ord").agg(F.count("*").alias("n"))
-    first = top_n(sizes, ["run_id"], [F.col("ord").asc()], total, "__rn").drop("__rn")
-    before = W.partitionBy("run_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    room = first.select(
-        "run_id", "ord", (F.lit(total) - F.coalesce(F.sum("n").over(before), F.lit(0))).alias("room")
-    )
-    good = good.join(room, ["run_id", "ord"]).filter(F.col("pick") <= F.col("room"))
+    if total is not None:
+        sizes = good.groupBy("run_id", "ord").agg(F.count("*").alias("n"))
+        first = top_n(sizes, ["run_id"], [F.col("ord").asc()], total, "__rn").drop("__rn")
+        before = W.partitionBy("run_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+        room = first.select(
+            "run_id", "ord", (F.lit(total) - F.coalesce(F.sum("n").over(before), F.lit(0))).alias("room")
+        )
+        good = good.join(room, ["run_id", "ord"]).filter(F.col("pick") <= F.col("room"))
     derived = agg | flag(F.col("signals.indirect"))
     leads = good.withColumns(
         {

@@ -21,7 +21,7 @@ def slugify(c: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Pipe-separated text as a list without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def to_boolean(c: Column) -> Column:
@@ -156,7 +156,7 @@ def first_wins(rows: DataFrame, row: str, order: str, max_rounds: int | None = N
     a key with a kept one, and goes on with the rest until none is left.  The
     number of rounds is the longest chain of such decisions.
     """
-    keys = typed_keys(rows.withColumn("__row", F.struct(F.col(order), F.col(row))), "__row")
+    keys = typed_keys(rows.withColumn("__row", F.struct(F.col(order).alias("o"), F.col(row).alias("r"))), "__row")
     sizes = keys.groupBy("__row").agg(F.count("*").alias("n"))
     todo = cut(keys.join(sizes, "__row"))
     kept = None
@@ -175,7 +175,7 @@ def first_wins(rows: DataFrame, row: str, order: str, max_rounds: int | None = N
         todo = cut(todo.join(gone, "__row", "left_anti"))
     if kept is None:
         return rows
-    return rows.join(kept.select(F.col(f"__row.{row}").alias(row)), row, "left_semi")
+    return rows.join(kept.select(F.col("__row.r").alias(row)), row, "left_semi")
 
 
 def import_candidates(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["matching", "hits", "pages", "claims"]
+AREAS = ["matching", "hits", "pages", "claims", "rounds", "plans"]
 
 
 def load() -> None:

@@ -28,7 +28,7 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").alias("profile_id"),
         F.lower("c_mktsegment").alias("intended_major"),
         F.when(F.col("c_nationkey") >= 3, F.concat(F.lit("group "), F.col("c_nationkey"))).alias("ethnicity"),
-        F.when(F.col("c_acctbal") >= 0, F.format_string("%.2f", F.col("c_acctbal") / 2500)).alias("gpa"),
+        F.when(F.col("c_acctbal") >= 0, F.format_string("%.2f", F.floor(F.col("c_acctbal") / 25) / 100)).alias("gpa"),
     )
 
 
@@ -60,7 +60,7 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
 CATALOG_SQL = """
  profiles AS (SELECT c_custkey profile_id, lower(c_mktsegment) intended_major,
    CASE WHEN c_nationkey >= 3 THEN 'group ' || c_nationkey END ethnicity,
-   CASE WHEN c_acctbal >= 0 THEN round(c_acctbal / 2500, 2) END gpa FROM customer),
+   CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal / 25) / 100 END gpa FROM customer),
  rules AS (SELECT * FROM (VALUES
    ('ECONOMY', ['auto','building supply'], 1.0::DOUBLE), ('STANDARD', []::VARCHAR[], NULL),
    ('PROMO', ['household'], NULL), ('LARGE', ['machinery','furniture'], 2.0),
