@@ -83,11 +83,16 @@ def typed_keys(df: DataFrame, row: str, canonical: bool = False) -> DataFrame:
     return df.select(row, F.explode(keys).alias("key"))
 
 
+def known_keys(df: DataFrame, canonical: bool = False) -> DataFrame:
+    """Distinct identity keys of a table."""
+    return typed_keys(df.withColumn("__none", F.lit(0)), "__none", canonical).select("key").distinct()
+
+
 def anti_known(candidates: DataFrame, known: DataFrame, row: str) -> DataFrame:
     """Candidates that share no identity key with a known record."""
     seen = (
         typed_keys(candidates, row, canonical=True)
-        .join(typed_keys(known, row, canonical=True).select("key").distinct(), "key", "left_semi")
+        .join(known_keys(known, canonical=True), "key", "left_semi")
         .select(row)
         .distinct()
     )
@@ -182,7 +187,7 @@ def import_candidates(
     incoming: DataFrame, preserved: DataFrame, catalog: DataFrame, row: str, order: str
 ) -> DataFrame:
     """Incoming rows that are new to the store, the catalog and each other."""
-    known = typed_keys(preserved, row).select("key").union(typed_keys(catalog, row).select("key")).distinct()
+    known = known_keys(preserved).union(known_keys(catalog)).distinct()
     seen = typed_keys(incoming, row).join(known, "key", "left_semi").select(row).distinct()
     return first_wins(incoming.join(seen, row, "left_anti"), row, order)
 
