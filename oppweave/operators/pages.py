@@ -19,18 +19,16 @@ ENTITIES = [
 NO_STRINGS = "array<string>"
 
 
-def _numeric(text: Column, pattern: str, form: str, radix: int) -> Column:
+def _numeric(text: Column, pattern: str, forms: list[str], radix: int) -> Column:
     """Replace numeric character references; the loop runs over distinct codes."""
     codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
     def step(acc: Column, code: Column) -> Column:
         low16 = F.right(F.concat(F.lit("0000"), F.conv(code, radix, 16)), F.lit(4))
         char = F.decode(F.unhex(low16), "UTF-16BE")
-        return F.regexp_replace(
-            acc,
-            F.concat(F.lit(form), code, F.lit(";")),
-            F.regexp_replace(char, F.lit(r"([\\\\$])"), F.lit(r"\\\\$1")),
-        )
+        for form in forms:
+            acc = F.replace(acc, F.concat(F.lit(form), code, F.lit(";")), char)
+        return acc
 
     return F.aggregate(codes, text, step)
 
@@ -43,8 +41,8 @@ def decode_entities(c: Column | str) -> Column:
         t,
         lambda x: F.when(~x.contains("&#"), x).otherwise(
             let(
-                _numeric(x, r"&#(\d+);", "&#", 10),
-                lambda y: _numeric(y, "(?i)&#x([0-9a-f]+);", "(?i)&#x", 16),
+                _numeric(x, r"&#(\d+);", ["&#"], 10),
+                lambda y: _numeric(y, "(?i)&#x([0-9a-f]+);", ["&#x", "&#X"], 16),
             )
         ),
     )

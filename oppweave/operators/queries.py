@@ -195,9 +195,11 @@ def with_site_hints(families: DataFrame, domains: list[str]) -> DataFrame:
     base = F.concat("specific", "broad", "generic")
     share = F.greatest(F.lit(2), F.ceil(F.size("__base") / len(picked)).cast("int"))
     df = families.withColumn("__base", base).withColumn("__head", F.slice(F.col("__base"), F.lit(1), share))
-    sites = F.flatten(
-        F.array(*[F.transform("__head", lambda q, d=d: F.concat(F.lit(f"site:{d} "), q)) for d in picked])
-    )
+
+    def aimed(site: str) -> Column:
+        return F.transform("__head", lambda q: F.concat(F.lit(f"site:{site} "), q))
+
+    sites = F.flatten(F.array(*[aimed(d) for d in picked]))
     room_s, room_b = F.greatest(F.lit(0), 18 - F.size("specific")), F.greatest(F.lit(0), 18 - F.size("broad"))
     df = df.withColumn("__sites", distinct_ci(sites))
     n = F.size("__sites")
