@@ -105,7 +105,7 @@ def listed(*pairs: tuple[Column, Column | str]) -> Column:
     )
 
 
-def distinct_ci(values: Column) -> Column:
+def distinct_ci(values: Column, is_clean: bool = False) -> Column:
     """Distinct strings ignoring case; the first spelling stays, blanks go."""
 
 
@@ -115,7 +115,7 @@ def distinct_ci(values: Column) -> Column:
             lambda keys: F.filter(vs, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1),
         )
 
-    return let(F.filter(F.transform(values, clean), lambda v: v != ""), pick)
+    return let(values if is_clean else F.filter(F.transform(values, clean), lambda v: v != ""), pick)
 
 
 def let(value: Column, body) -> Column:

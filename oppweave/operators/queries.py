@@ -174,10 +174,10 @@ def query_families(profiles: DataFrame) -> DataFrame:
     }
     df = df.withColumns(
         {
-            "specific": distinct_ci(_fill(SPECIFIC, holes)),
-            "broad": distinct_ci(F.when(F.col("starting"), _fill(BROAD_STARTING, holes)).otherwise(_fill(BROAD, holes))),
-            "generic": distinct_ci(F.when(F.col("starting"), _fill(GENERIC_STARTING, holes)).otherwise(_fill(GENERIC, holes))),
-            **{f"direct_{k}": distinct_ci(_fill(t, holes)) for k, t in STRATEGIES.items() if t},
+            "specific": distinct_ci(_fill(SPECIFIC, holes), True),
+            "broad": distinct_ci(F.when(F.col("starting"), _fill(BROAD_STARTING, holes)).otherwise(_fill(BROAD, holes)), True),
+            "generic": distinct_ci(F.when(F.col("starting"), _fill(GENERIC_STARTING, holes)).otherwise(_fill(GENERIC, holes)), True),
+            **{f"direct_{k}": distinct_ci(_fill(t, holes), True) for k, t in STRATEGIES.items() if t},
         }
     )
     return df.drop("m", "e", "s", "w")
@@ -201,7 +201,7 @@ def with_site_hints(families: DataFrame, domains: list[str]) -> DataFrame:
 
     sites = F.flatten(F.array(*[aimed(d) for d in picked]))
     room_s, room_b = F.greatest(F.lit(0), 18 - F.size("specific")), F.greatest(F.lit(0), 18 - F.size("broad"))
-    df = df.withColumn("__sites", distinct_ci(sites))
+    df = df.withColumn("__sites", distinct_ci(sites, True))
     n = F.size("__sites")
     return df.withColumns(
         {
@@ -227,7 +227,7 @@ def plan_queries(
     parts = [direct, F.slice("specific", 1, s), F.slice("broad", 1, b)]
     if strategy != "singular_detail_mix" and g:
         parts.append(F.slice("generic", 1, g))
-    base = F.slice(distinct_ci(F.concat(*parts)), 1, total)
+    base = F.slice(distinct_ci(F.concat(*parts), True), 1, total)
     avoid = (avoid or [])[:3]
     starting = norm("student_stage") == "starting_college"
 
@@ -236,7 +236,7 @@ def plan_queries(
         at = lambda i: q[F.pmod(F.lit(i), F.greatest(F.size(q), F.lit(1)))]
         extra = [F.concat(at(i), F.lit(f" -site:{d}")) for i, d in enumerate(avoid)]
         extra.append(F.when(starting, F.concat(q[0], F.lit(" -graduate -fellowship -phd -masters"))))
-        more = distinct_ci(F.concat(F.slice(q, F.lit(1), room), F.array_compact(F.array(*extra))))
+        more = distinct_ci(F.concat(F.slice(q, F.lit(1), room), F.array_compact(F.array(*extra))), True)
         return F.slice(more, 1, total)
 
     out = f.withColumn("queries", let(base, diversify))

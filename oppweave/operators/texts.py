@@ -48,12 +48,17 @@ def _words(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def _label_value(lines: Column, label: str) -> Column:
+def plain_lines(lines: Column) -> Column:
+    """Lines as padded lower-case words, worked out once for all labels."""
+    return F.transform(lines, lambda x: F.concat(F.lit(" "), _words(x), F.lit(" ")))
+
+
+def _label_value(lines: Column, plain_words: Column, label: str) -> Column:
     """Array with one entry per line: the label's value there, or NULL."""
     plain = " ".join("".join(ch if ch.isalnum() else " " for ch in label.lower()).split())
 
     def at(line: Column, i: Column) -> Column:
-        named = F.concat(F.lit(" "), _words(line), F.lit(" ")).contains(f" {plain} ")
+        named = F.get(plain_words, i).contains(f" {plain} ")
         rest = F.regexp_replace(F.ltrim(line), "^.{%d}" % len(label), "")
         after = F.when(
             F.lower(F.ltrim(line)).startswith(label), F.trim(F.regexp_replace(rest, r"^[:\-\t\s]+", ""))
@@ -72,9 +77,9 @@ def _label_value(lines: Column, label: str) -> Column:
     return F.transform(lines, at)
 
 
-def labelled(lines: Column, labels: list[str]) -> Column:
+def labelled(lines: Column, plain_words: Column, labels: list[str]) -> Column:
     """Value of the earliest line that holds one of the labels, in label order."""
-    columns = [_label_value(lines, x) for x in labels]
+    columns = [_label_value(lines, plain_words, x) for x in labels]
     merged = columns[0]
     for c in columns[1:]:
         merged = F.zip_with(merged, c, lambda a, b: F.coalesce(a, b))
@@ -84,10 +89,11 @@ def labelled(lines: Column, labels: list[str]) -> Column:
 def label_values(documents: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
     """Label and value claims of line-structured texts, one row per field found."""
     lines = F.split("raw_text", "\n")
-    pairs = F.array(*[F.struct(F.lit(k).alias("field_path"), labelled(F.col("lines"), v).alias("value")) for k, v in labels.items()])
+    pairs = F.array(*[F.struct(F.lit(k).alias("field_path"), labelled(F.col("lines"), F.col("plain"), v).alias("value")) for k, v in labels.items()])
     keep = [c for c in documents.columns if c != "raw_text"]
     return (
         documents.withColumn("lines", lines)
+        .withColumn("plain", plain_lines(F.col("lines")))
         .select(*keep, F.explode(F.filter(pairs, lambda p: nonblank(p["value"]).isNotNull())).alias("p"))
         .select(*keep, "p.*")
     )
@@ -120,8 +126,9 @@ def extract_claims(documents: DataFrame, confidence: float = 0.8) -> DataFrame:
     read within its own row; no shuffle.
     """
     text = F.coalesce("raw_text", F.lit(""))
-    d = documents.withColumn("lines", F.split(text, "\n")).withColumns(
-        {f"l_{i}": labelled(F.col("lines"), v) for i, v in enumerate(PROFILE_LABELS.values())}
+    d = documents.withColumn("lines", F.split(text, "\n")).withColumn("plain", plain_lines(F.col("lines")))
+    d = d.withColumns(
+        {f"l_{i}": labelled(F.col("lines"), F.col("plain"), v) for i, v in enumerate(PROFILE_LABELS.values())}
     )
     at = {k: F.col(f"l_{i}") for i, k in enumerate(PROFILE_LABELS)}
 

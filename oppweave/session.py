@@ -42,3 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
             path = tempfile.mkdtemp(prefix="oppweave-ckpt-")
         sc.setCheckpointDir(path)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work enough tasks when its input has few splits.
+
+    A small file with one row group is one task however many cores there are.
+    Inputs that already have as many splits as cores, as on a cluster, pass as
+    they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
