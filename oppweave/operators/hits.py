@@ -377,33 +377,29 @@ def same_domain_flag(ranked: DataFrame) -> DataFrame:
 def initial_frontier(ranked: DataFrame, quotas: dict[str, int] | None = None) -> DataFrame:
     """Quota per surface by rank, then backfill in rank order up to the total.
 
-    Both cuts carry a literal bound, so each map task keeps at most the total per
-    run; the backfill can only come from the first ``total`` ranks of a run.
+    A row of the frontier is among the first ``total`` of its surface, so one cut
+    with that literal bound keeps at most total x surfaces rows per run before the
+    shuffle; quotas and backfill are then decided among those few rows.
     """
     quotas = quotas or v.FRONTIER_QUOTAS
-    total, largest = sum(quotas.values()), max(quotas.values())
+    total = sum(quotas.values())
     surface = F.coalesce("surface_type", F.lit("other"))
     quota = F.lit(0)
     for s, q in quotas.items():
-        quota = F.when(surface == s, q).otherwise(quota)
-    picked = (
-        top_n(ranked.withColumn("__s", surface), ["run_id", "__s"], [F.col("rank")], largest, "__rn")
-        .filter(F.col("__rn") <= quota).drop("__rn", "__s")
-    )
-    counts = picked.groupBy("run_id").agg(F.count("*").alias("__n"))
-    rest = (
-        top_n(ranked, ["run_id"], [F.col("rank")], total, "__rn").drop("__rn")
-        .join(picked.select("run_id", "normalized_url"), ["run_id", "normalized_url"], "left_anti")
-        .withColumn("__rn", F.row_number().over(W.partitionBy("run_id").orderBy("rank")))
-        .join(counts, "run_id", "left")
-        .filter(F.col("__rn") <= total - F.coalesce("__n", F.lit(0)))
-        .drop("__rn", "__n")
+        quota = F.when(F.col("__s") == s, q).otherwise(quota)
+    pool = top_n(ranked.withColumn("__s", surface), ["run_id", "__s"], [F.col("rank")], total, "__rn")
+    run = W.partitionBy("run_id")
+    pool = pool.withColumn("backfill", F.col("__rn") > quota).withColumns(
+        {
+            "__picked": F.sum((~F.col("backfill")).cast("int")).over(run),
+            "__order": F.row_number().over(W.partitionBy("run_id", "backfill").orderBy("rank")),
+        }
     )
-    both = picked.withColumn("backfill", F.lit(False)).unionByName(rest.withColumn("backfill", F.lit(True)))
-    return both.withColumn(
+    kept = pool.filter(~F.col("backfill") | (F.col("__order") <= total - F.col("__picked")))
+    return kept.withColumn(
         "frontier_position",
         F.row_number().over(W.partitionBy("run_id").orderBy("backfill", "rank")),
-    )
+    ).drop("__s", "__rn", "__picked", "__order")
 
 
 def frontier_counts(frontier: DataFrame) -> DataFrame:
