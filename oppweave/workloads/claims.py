@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import canonical_url
 from ..operators import claims as c
 from ..operators import store as s
+from .hits import URL_SQL
 from .registry import query
 from .tables import catalog, table
 
@@ -346,11 +347,10 @@ def upsert_queue(spark, sf):
 
 @query(
     "suggested_offers",
-    r"""WITH x AS (SELECT page_id ord, url, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\.', '') source_domain,
-   regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') p FROM pages),
- y AS (SELECT *, regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\.[a-z0-9]+$', '') seg FROM x)
- SELECT ord, url source_url, source_domain, CASE WHEN ord % 5 = 0 THEN 'Given ' || ord WHEN ord % 5 = 1 THEN 'Title ' || ord ELSE upper(seg[1]) || seg[2:] END AS name,
-  CASE WHEN ord % 2 = 0 THEN 500.0 WHEN ord % 5 = 1 THEN 750 ELSE 0 END award_amount FROM y""",
+    f"""WITH {URL_SQL}, f AS (SELECT canonical_url, 'Title ' || min(ord) title FROM canon WHERE ord % 5 = 1 GROUP BY 1),
+ y AS (SELECT canon.*, f.title, regexp_replace(regexp_extract(regexp_replace(raw_path, '/+$', ''), '([^/]*)$', 1), '\\.[a-z0-9]+$', '') seg FROM canon LEFT JOIN f USING (canonical_url))
+ SELECT ord, variant source_url, source_domain, CASE WHEN ord % 5 = 0 THEN 'Given ' || ord WHEN title IS NOT NULL THEN title ELSE upper(seg[1]) || seg[2:] END AS name,
+  CASE WHEN ord % 2 = 0 THEN 500.0 WHEN title IS NOT NULL THEN 750 ELSE 0 END award_amount FROM y""",
 )
 def suggested_offers(spark, sf):
     p = table(spark, sf, "pages")

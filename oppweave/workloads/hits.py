@@ -202,7 +202,7 @@ def merge_expansion(spark, sf):
 @query(
     "domain_hints",
     f"""WITH {URL_SQL} SELECT ord, source_domain,
- source_domain = 'therha.example.com' OR source_domain LIKE '%.example.net' OR source_domain = 'example.net' AS allowed_domain
+ source_domain = 'therha.example.com' OR source_domain LIKE '%.therha.example.com' OR source_domain LIKE '%.example.net' OR source_domain = 'example.net' AS allowed_domain
  FROM canon WHERE NOT (source_domain = 'spam-farm.example.org' OR source_domain LIKE '%.spam-farm.example.org'
    OR source_domain LIKE '%.ththan.example.net' OR source_domain = 'ththan.example.net')""",
 )
@@ -427,7 +427,7 @@ def _tag_sql(text: str, rules) -> str:
 
 SCORE_SQL = f"""
 WITH st AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{n}')" for k, n in v.STATES.items())}) t(code, name)),
- d AS (SELECT doc_id, doc_id % 1500 profile_id, source, trim(regexp_replace(text, '[\\s   -     　﻿]+', ' ', 'g')) s,
+ d AS (SELECT doc_id, doc_id % 100 profile_id, source, trim(regexp_replace(text, '[\\s   -     　﻿]+', ' ', 'g')) s,
    'https://' || source || '.example.org/doc/' || doc_id url, '/doc/' || doc_id path FROM documents),
  d2 AS (SELECT *, source || chr(10) || s || chr(10) || path AS l, source || ' ' || s || ' ' || path AS c FROM d),
  stm AS (SELECT doc_id, list(code) codes FROM (SELECT doc_id, code FROM d2, st
@@ -461,7 +461,7 @@ def score_hits(spark, sf):
     d = table(spark, sf, "documents")
     rows = d.select(
         "doc_id",
-        (F.col("doc_id") % 1500).alias("profile_id"),
+        (F.col("doc_id") % 100).alias("profile_id"),
         F.col("source").alias("title"),
         F.col("text").alias("snippet"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/doc/"), F.col("doc_id")).alias("url"),
