@@ -100,8 +100,8 @@ def domain_hint(c: Column | str) -> Column:
 def resolve(href: Column, base: Column) -> Column:
     """Absolute form of a link on a page; NULL when it cannot be http(s).
 
-    Dot segments at the front of a relative link are resolved; the reference
-    point is the folder of the base path.
+    Dot segments at the front of a relative link are resolved against the folder
+    of the base path.
     """
 
     def build(u: Column) -> Column:
