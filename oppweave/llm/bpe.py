@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -11,43 +11,7 @@ from pyspark.sql import functions as F
 
 from .vocabulary import MARKS, Memo, Vocabulary, byte_alphabet, load, plain_word, share
 
-KEPT = 600_000  # pieces whose ids a worker remembers
-
-
-def merge(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply merges by rank, leftmost first: a heap of (rank, place) over a doubly linked symbol list.
-
-    A heap entry is stale when its left symbol is gone or the pair that now starts
-    there has another rank; such entries are skipped.
-    """
-    n = len(symbols)
-    if n < 2:
-        return symbols
-    get = merges.get
-    heap = [(m[0], i) for i, pair in enumerate(zip(symbols, symbols[1:])) if (m := get(pair))]
-    if not heap:
-        return symbols
-    heapify(heap)
-    symbols = symbols[:]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while heap:
-        rank, i = heappop(heap)
-        left = symbols[i]
-        if left < 0 or (j := after[i]) == n:
-            continue
-        found = get((left, symbols[j]))
-        if found is None or found[0] != rank:
-            continue
-        symbols[i] = new = found[1]
-        symbols[j] = -1
-        after[i] = k = after[j]
-        if k < n:
-            before[k] = i
-            if m := get((new, symbols[k])):
-                heappush(heap, (m[0], i))
-        if (h := before[i]) >= 0 and (m := get((symbols[h], new))):
-            heappush(heap, (m[0], h))
-    return [s for s in symbols if s >= 0]
+KEPT = 900_000  # pieces whose ids a worker remembers
 
 
 class Encoder:
@@ -59,6 +23,8 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: Vocabulary):
+        if vocabulary.word_end:
+            raise ValueError("a vocabulary with word ends drops white space and cannot be decoded")
         self.vocabulary = vocabulary
         self._words = Memo(self._encode_word, KEPT // 6)
         self._space = next(c for c, b in byte_alphabet().items() if b == 0x20)
@@ -71,8 +37,8 @@ class Encoder:
             self._bytes[i] = bytes(map(alphabet.__getitem__, s)) if known else s.encode()
 
     def _encode_word(self, word: str) -> bytes:
-        ids = merge(self.vocabulary.symbols(word), self.vocabulary.merges)
-        return np.array(ids, dtype="<u4").tobytes()
+        ids = self.vocabulary.encoded(word)
+        return pack(f"<{len(ids)}I", *ids)
 
     def _encode_piece(self, piece: str) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts, token_files, wacz
+from . import bpe, quality, secrets, sharding, token_counts, token_files, wacz
 from .registry import query, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -68,3 +67,46 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: counts of the base kinds, digest of the base spans, all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s.kind != "guess")
+    return found.select(
+        "doc_id",
+        *[secrets.count(spans, kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(spans).alias("spans"),
+    )
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the verdict of the line field, fitted on a bounded sample of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.fit_lines(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, field).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "content_share", "kept",
+    )
+
+
+SHARDS = 24
+
+
+@query("op1_shards")
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards whose row counts differ by one at most; digests of the texts that arrived."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shuffle_into_shards(docs, SHARDS, ["doc_id", "text"]).select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

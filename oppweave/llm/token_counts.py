@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import merge
 from .vocabulary import MARKS, Memo, Vocabulary, load, plain_word, share
 
 KEPT = 600_000  # words whose counts a worker remembers
@@ -28,7 +27,7 @@ class PrefixCounter:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         end = vocabulary.word_end
-        merges, ids = vocabulary.merges, vocabulary.ids
+        ids = vocabulary.ids
         special = set(vocabulary.special.values())
         self._open: dict[str, int] = {}
         self._closed: dict[str, int] = {}
@@ -42,7 +41,7 @@ class PrefixCounter:
                 symbols = [ids[c] for c in word[:-1]] + [ids[word[-1] + end * closed]]
             except KeyError:  # a symbol that no text has
                 continue
-            if merge(symbols, merges) == [i]:
+            if vocabulary.merged(symbols) == [i]:
                 (self._closed if closed else self._open)[word] = i
                 self._parts[i] = symbols
         if not end:
@@ -59,7 +58,7 @@ class PrefixCounter:
 
     def _fit(self, pair: tuple[int, int]) -> bool:
         left, right = pair
-        return merge(self._parts[left] + self._parts[right], self.vocabulary.merges) == [left, right]
+        return self.vocabulary.merged(self._parts[left] + self._parts[right]) == [left, right]
 
     def word(self, word: str, all_prefixes: bool = True) -> list[int]:
         """Tokens of each closed prefix of a word, from one character to all, or of the whole word alone."""

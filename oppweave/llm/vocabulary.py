@@ -7,10 +7,13 @@ import json
 import re
 from functools import cached_property
 from itertools import chain
+from operator import add
 
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
+from .merging import merge
+
 
 def byte_alphabet() -> dict[str, int]:
     """Character of each byte: printable Latin-1 ones stand for themselves, the rest follow from 256 on."""
@@ -47,11 +50,28 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.word_end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        #: (left id, right id) -> (rank, id of the merged symbol)
-        self.merges = {
-            (self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)
-        }
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        #: rank of a pair of symbols under left << 20 | right, and the symbol that each rank makes
+        self.merges: dict[int, int] = {}
+        self.made: list[int] = []
+        for rank, (a, b) in enumerate(pairs):
+            self.merges[self.ids[a] << 20 | self.ids[b]] = rank
+            self.made.append(self.ids[a + b])
+
+        #: rank of a pair of single characters
+        self._first = {a + b: rank for rank, (a, b) in enumerate(pairs) if len(a) == 1 and len(b) == 1}
+
+    def merged(self, symbols: list[int]) -> list[int]:
+        """The encoding of a run of symbols."""
+        get = self.merges.get
+        ranks = [get(a << 20 | b) for a, b in zip(symbols, symbols[1:])]
+        return merge(symbols[:], ranks, self.merges, self.made)
+
+    def encoded(self, word: str) -> list[int]:
+        """The encoding of a word, in a vocabulary without word ends."""
+        symbols = list(map(self.ids.__getitem__, word))
+        ranks = list(map(self._first.get, map(add, word, word[1:])))
+        return merge(symbols, ranks, self.merges, self.made)
 
     @cached_property
     def strings(self) -> dict[int, str]:
