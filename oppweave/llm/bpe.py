@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,25 +25,26 @@ class Encoder:
         if vocabulary.word_end:
             raise ValueError("a vocabulary with word ends drops white space and cannot be decoded")
         self.vocabulary = vocabulary
+        self._packed = [i.to_bytes(4, "little") for i in range(max(vocabulary.strings) + 1)]
         self._words = Memo(self._encode_word, KEPT // 6)
         self._space = next(c for c, b in byte_alphabet().items() if b == 0x20)
         self._pieces = Memo(self._encode_piece, KEPT)
         alphabet = byte_alphabet()
-        size = max(vocabulary.strings) + 1
-        self._bytes = np.full(size, b"", dtype=object)
+        self._bytes = np.full(len(self._packed), b"", dtype=object)
         for i, s in vocabulary.strings.items():
             known = i not in vocabulary.special.values() and all(c in alphabet for c in s)
             self._bytes[i] = bytes(map(alphabet.__getitem__, s)) if known else s.encode()
 
     def _encode_word(self, word: str) -> bytes:
-        ids = self.vocabulary.encoded(word)
-        return pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self._packed.__getitem__, self.vocabulary.encoded(word)))
 
     def _encode_piece(self, piece: str) -> bytes | None:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            return None
+        if piece.isascii() and piece.isalpha():
+            return self._encode_word(self._space + piece)
         if (word := plain_word(piece)) is not None:
             return self._encode_word(self._space + word)
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
         if piece[-1] in MARKS and plain_word(piece[:-1]) is not None:
             return self._pieces[piece[:-1]] + self._words[piece[-1]]
         return self._encode_whole(" " + piece)
