@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets, sharding, token_counts, token_files, wacz
+from . import bpe, decontamination, jaccard, quality, secrets, sharding, token_counts, token_files, wacz
 from .registry import query, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -110,3 +110,21 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that stand, copied or edited, in documents: a row per document and item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.match_items(docs, table(spark, sf_dir, "benchmark"))
+    return (
+        found.filter(F.size("matches") > 0)
+        .select("doc_id", F.explode("matches").alias("m"))
+        .select("doc_id", "m.item_id", "m.score", F.col("m.start").alias("first_word"), F.col("m.end").alias("end_word"))
+    )
+
+
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their five-word shingles."""
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
