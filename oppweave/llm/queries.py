@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, quality, secrets, sharding, token_counts, token_files, wacz
+from . import bpe, decontamination, jaccard, licenses, quality, secrets, sharding, token_counts, token_files, wacz
 from .registry import query, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -128,3 +128,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share four fifths of their five-word shingles."""
     return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
