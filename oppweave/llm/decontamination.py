@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,18 +246,22 @@ def match_items(
         block = rare_seeds(block, seed_counts(docs, block, text))
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(texts: pa.Array, shared=shared) -> pa.Array:
-            matcher, out = Matcher(shared.value), []
-            for row, end, data, offsets in text_blocks(texts):
-                words = Words(data, offsets, True)
-                raw = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
-                out += matcher.block(raw, words, min_score)
-            return pa.array(out, _MATCHES)
-
-        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        parts.append((f"_matches{number}", F.arrow_udf(run, MATCHES)(F.col(text).cast("string"))))
+        parts.append((f"_matches{number}", _lookup(shared, min_score)(F.col(text).cast("string"))))
     if not parts:
         return docs.withColumn(matches, F.array().cast(MATCHES))
     found = docs.withColumns(dict(parts))
     names = [name for name, _ in parts]
     return found.withColumn(matches, F.concat(*names) if len(names) > 1 else F.col(names[0])).drop(*names)
+
+
+def _lookup(shared: Broadcast, min_score: float):
+    @F.arrow_udf(MATCHES)
+    def run(texts: pa.Array) -> pa.Array:
+        matcher, out = Matcher(shared.value), []
+        for row, end, data, offsets in text_blocks(texts):
+            words = Words(data, offsets, True)
+            raw = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+            out += matcher.block(raw, words, min_score)
+        return pa.array(out, _MATCHES)
+
+    return run
