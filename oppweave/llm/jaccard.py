@@ -5,10 +5,12 @@ of n shingles shares at least T = ceil(threshold * n) of them. Lists of rare shi
 are merged, long ones only probed (DivideSkip). On a cluster:
 
 1. Every text becomes its set of hashed shingles; equal sets are one node from then on.
-2. Two linked sets share one of the first n - T + 1 shingles of each, whatever order all
-   sets keep to. The order puts shingles that looked common in some block of texts last.
-   Any order gives the same result; this one keeps lists short.
-3. Prefix shingles of two or more nodes are the lists. Nodes without a list are alone.
+2. Whatever order all sets keep to, two linked sets share at least l of the first n - T + l
+   shingles of each, for any l. The order puts shingles that looked common in some block
+   of texts last. Any order gives the same result; this one keeps lists short. Here l is a
+   twentieth of n.
+3. Prefix shingles of two or more nodes are the lists. A node with fewer than l of them (of the
+   smallest partner that it may have) is alone: a passage that many texts share is not enough.
 4. Nodes are dealt to chunks, near copies to the same one, and search their own chunk and
    the next of its kind. That joins nearly all of a group at a cost linear in its size.
 5. Lists whose nodes are still in several groups: every node outside the list's largest group
@@ -49,6 +51,11 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def least_lists(n: int) -> int:
+    """Lists that a set of n shingles has in common with a linked set that is not smaller."""
+    return max(1, n // 20)
+
+
 def linked(shared: int, n: int, m: int) -> bool:
     return 100 * shared >= PERCENT * (n + m - shared)
 
@@ -113,8 +120,8 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def _prefix(values: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first n - T + 1 shingles of a set: rare ones by hash, then common ones by hash."""
-    size = len(values) - needed(len(values)) + 1
+    """The first n - T + l shingles of a set: rare ones by hash, then common ones by hash."""
+    size = len(values) - needed(len(values)) + least_lists(len(values))
     if len(common):
         late = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
         rare = values[~late]
@@ -158,7 +165,10 @@ def _bit_table(shingles: DataFrame) -> np.ndarray:
 
 
 def nodes_with_lists(texts: DataFrame, common: np.ndarray, lists: DataFrame) -> DataFrame:
-    """Distinct sets with at least one list: ``set_key, n, prefix`` (shingles with lists), ``shingles`` (binary)."""
+    """Sets with enough lists: ``set_key, n, prefix`` (shingles with lists), ``shingles`` (binary).
+
+    A few may have fewer lists than that, as table bits meet by chance; copies in other tasks give rows of their own.
+    """
     shared = texts.sparkSession.sparkContext.broadcast((common, _bit_table(lists)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +183,7 @@ def nodes_with_lists(texts: DataFrame, common: np.ndarray, lists: DataFrame) ->
                     bit = (prefix.view(np.int64) % BITS).astype(np.int64)
                     prefix = prefix[(table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
                     key = _key(values)
-                    if len(prefix) and key not in seen:
+                    if len(prefix) >= least_lists(needed(len(values))) and key not in seen:
                         seen.add(key)
                         out.append({"set_key": key, "n": len(values), "prefix": prefix.view(np.int64).tolist(), "shingles": values.tobytes()})
                 if out:
@@ -230,6 +240,20 @@ class Chunk:
                 out.append(d)
         return out
 
+    def join(self, key: int, group: int, values: np.ndarray) -> list[tuple[int, int]]:
+        """Search, and join the groups that are found to be linked; the links that joined them."""
+        links = []
+        for d in self.search(values, group):
+            a, b = self.root(group), self.root(self.groups[d])
+            if a != b:
+                self.parent[a] = b
+                links.append((key, self.keys[d]))
+        return links
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs]), pa.array([x[1] for x in pairs])], names=["a", "b"])
+
 
 def divide_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
     """Members of at least ``least`` of the sorted lists, and of how many.
@@ -266,20 +290,31 @@ def divide_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]
         yield member, found
 
 
-def search_chunks(rows: DataFrame) -> DataFrame:
+def search_chunks(rows: DataFrame, inside: bool) -> DataFrame:
     """Links between groups: ``rows`` has chunk, role (0: indexed, 1: searches), set_key, part (group), shingles.
 
-    A chunk's rows come together and in order of their roles; the indexed ones are held, the searches pass by.
-    Returned are enough links to join all groups that a link of the chunk joins.
+    A chunk's rows come together and in order of their roles; the indexed ones are held, the searches pass by. With
+    ``inside`` the indexed ones search as well. Returned are enough links to join all groups that a link of the
+    chunk joins.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, chunk = None, [], None
+
+        def indexed() -> Chunk:
+            return Chunk([h[0] for h in held], [h[1] for h in held], [h[2] for h in held])
+
+        def among() -> list[tuple[int, int]]:
+            return [link for key, part, values in held for link in chunk.join(key, part, values)] if inside else []
+
         for batch in batches:
             links: list[tuple[int, int]] = []
             columns = [batch[c].to_pylist() for c in ("chunk", "role", "set_key", "part")]
             for k, (at, role, key, part) in enumerate(zip(*columns)):
                 if at != name:
+                    if chunk is None and len(held) > 1 and inside:
+                        chunk = indexed()
+                        links += among()
                     name, held, chunk = at, [], None
                 values = np.frombuffer(batch["shingles"][k].as_py(), dtype=np.uint64)
                 if role == 0:
@@ -288,16 +323,15 @@ def search_chunks(rows: DataFrame) -> DataFrame:
                 if chunk is None:
                     if not held:
                         continue
-                    chunk = Chunk([h[0] for h in held], [h[1] for h in held], [h[2] for h in held])
-                for d in chunk.search(values, part):
-                    a, b = chunk.root(part), chunk.root(chunk.groups[d])
-                    if a != b:
-                        chunk.parent[a] = b
-                        links.append((key, chunk.keys[d]))
+                    chunk = indexed()
+                    links += among()
+                links += chunk.join(key, part, values)
             if links:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], names=["a", "b"]
-                )
+                yield _links(links)
+        if chunk is None and len(held) > 1 and inside:
+            chunk = indexed()
+            if links := among():
+                yield _links(links)
 
     return rows.repartition("chunk").sortWithinPartitions("chunk", "role").mapInArrow(run, "a long, b long")
 
@@ -319,6 +353,16 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return with_groups(keyed, set_groups(docs, text), "doc_id")
 
 
+def _members(nodes: DataFrame, lists: DataFrame) -> DataFrame:
+    """``set_key, n, shingle`` of the lists, without nodes that have too few and without lists of one node."""
+    every = nodes.select("set_key", "n", F.explode("prefix").alias("shingle")).join(lists, "shingle")
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * F.lit(PERCENT) / 100) / 20))
+    enough = every.groupBy("set_key", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least)
+    kept = every.join(enough.select("set_key"), "set_key")
+    several = kept.groupBy("shingle").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).filter("a <> b")
+    return kept.join(several.select("shingle"), "shingle").select("set_key", "n", "shingle")
+
+
 def set_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """``id, component`` of the sets that have lists; any other set is a group of its own."""
     texts = docs.select(F.col(text).cast("string"))
@@ -327,9 +371,7 @@ def set_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     found = nodes_with_lists(texts, common, lists)
     first = found.groupBy("set_key", "n").agg(F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"))
     nodes = stored(first, "nodes")
-    member = stored(
-        nodes.select("set_key", "n", F.explode("prefix").alias("shingle")).join(lists, "shingle"), "members"
-    )
+    member = stored(_members(nodes, lists), "members")
 
     # Chunks: nodes with the same smallest list shingle, split by hash where they are many.
     home = member.groupBy("set_key", "n").agg(F.min("shingle").alias("kind"))
@@ -347,11 +389,10 @@ def set_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
     sets = nodes.select("set_key", "n", "shingles").join(placed, ["set_key", "n"])
     indexed = sets.select(chunk(0).alias("chunk"), F.lit(0).alias("role"), "set_key", F.col("set_key").alias("part"), "shingles")
-    own = indexed.withColumn("role", F.lit(1))
     following = sets.filter("of > 1").select(
         chunk(1).alias("chunk"), F.lit(1).alias("role"), "set_key", F.col("set_key").alias("part"), "shingles"
     )
-    links = stored(search_chunks(indexed.unionByName(own).unionByName(following)), "links")
+    links = stored(search_chunks(indexed.unionByName(following), inside=True), "links")
     part = stored(components(placed.select(F.col("set_key").alias("id")), links), "parts")
 
     # Lists over several groups: nodes outside the largest group search the others' chunks.
@@ -385,7 +426,7 @@ def set_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     searching = routes.join(nodes.select("set_key", "shingles"), "set_key").select(
         "chunk", F.lit(1).alias("role"), "set_key", F.col("component").alias("part"), "shingles"
     )
-    more = search_chunks(again.unionByName(searching))
+    more = search_chunks(again.unionByName(searching), inside=False)
     return stored(components(placed.select(F.col("set_key").alias("id")), links.unionByName(more)), "groups")
 
 

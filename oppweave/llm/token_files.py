@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import Ranges, create, shared_folder, stored, task_file
-from .vocabulary import Memo, Vocabulary, load, share
+from .vocabulary import MARKS, Vocabulary, load, plain_word, share
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME = 1 << 18  # raw bytes of a frame
-KEPT = 600_000  # pieces whose ids a worker remembers
+KEPT = 1_000_000  # pieces whose ids a worker remembers
 _TABLE = struct.Struct("<QQI")  # documents, raw bytes of all ids, bytes of an id
 
 
@@ -144,7 +144,9 @@ class LibraryEncoder:
         self._starts = np.zeros(max(vocabulary.strings) + 1, dtype=bool)
         for i, string in vocabulary.strings.items():
             self._starts[i] = string.startswith("Ġ")
-        self._pieces: dict[str, bytes] = Memo(None, KEPT)
+        self._pieces: dict[str, bytes] = {}
+        alone = [m for m in sorted(MARKS) if vocabulary.words(f"a bc{m} d") == ["a", "Ġbc", m, "Ġd"]]
+        self._marks = dict(zip(alone, self._run(alone)))
 
     def _run(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
@@ -173,11 +175,16 @@ class LibraryEncoder:
         cut = [self._cut(t) for t in texts]
         whole = [t if c is None else c[0] for t, c in zip(texts, cut)]
         known = self._pieces
-        new = list({p for c in cut if c for p in c[1:]} - known.keys())
+        pieces = {p for c in cut if c for p in c[1:]}
+        new = pieces - known.keys()
         if len(known) + len(new) > KEPT:
             known.clear()
-            new = list({p for c in cut if c for p in c[1:]})
-        known.update(zip(new, self._run_pieces(new), strict=True))
+            new = pieces
+        # A mark after a word is a word of its own, so the word's ids serve with and without it.
+        marked = [p for p in new if p[-1] in self._marks and plain_word(p[:-1]) is not None]
+        plain = list(new.difference(marked).union(p[:-1] for p in marked) - known.keys())
+        known.update(zip(plain, self._run_pieces(plain), strict=True))
+        known.update((p, known[p[:-1]] + self._marks[p[-1]]) for p in marked)
         return [
             first + b"".join(map(known.__getitem__, c[1:])) if c else first
             for first, c in zip(self._run(whole), cut)
