@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "rn") -> DataFrame:
     """First ``n`` rows per key.
@@ -21,27 +26,27 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_n(df, keys, order, 1, "__rn").drop("__rn")
 
 
-def full_rank(
-    df: DataFrame, keys: list[str], order: list[Column], out: str, coarse: list[Column]
-) -> DataFrame:
+def full_rank(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
     """Exact row number over every row of each key, without one task per key.
 
-    ``coarse`` are columns that never decrease along ``order``; they cut each key
-    into slices.  A slice starts after the rows of the slices before it (a small
-    count table), and only rows of one slice are sorted together.
+    The rows are cut into ranges of (keys, order) of about equal size and written once, so one key with most
+    rows is spread like many small ones. A row's number is its place within its key's part of the range plus the
+    rows of the key in the ranges before, from a table with a row per key and range. Keys may be NULL: joins
+    are null-safe and keep every row. NULLs in the order stand where their column's order puts them.
     """
-    names = [f"__slice{i}" for i in range(len(coarse))]
-    sliced = df.withColumns(dict(zip(names, coarse)))
-    parts = [*keys, *names]
-    before = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        sliced.groupBy(*parts)
-        .count()
-        .select(*parts, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    by = [*map(F.col, keys), *order]
+    # The number of a range holds only for this one exchange, so the rows are written before it is used twice.
+    ranged = cut(df.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))
+    parts = [*keys, "__range"]
+    before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    names = {k: f"__k{i}" for i, k in enumerate(parts)}
+    starts = ranged.groupBy(*parts).count().select(
+        *[F.col(k).alias(n) for k, n in names.items()], F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start")
     )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
     inner = W.partitionBy(*parts).orderBy(*order)
     return (
-        sliced.join(starts, parts)
+        ranged.join(starts, same)
         .withColumn(out, (F.col("__start") + F.row_number().over(inner)).cast("int"))
-        .drop(*names, "__start")
+        .drop(*names.values(), "__start", "__range")
     )

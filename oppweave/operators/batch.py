@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -249,14 +251,12 @@ def replay_variants(
     pool = cut(
         rows.join(heads.select(*key, "__dom"), [*key, "__dom"], "left_semi").drop("__dom", "__n")
     )
-    picks = None
+    left, picks = pool, []
     for i in range(1, rounds + 1):
-        left = pool if picks is None else pool.join(
-            picks.select(*key, "normalized_url"), [*key, "normalized_url"], "left_anti"
-        )
-        now = diverse_top(left, key, limit).withColumn("round", F.lit(i))
-        picks = cut(now if picks is None else picks.unionByName(now))
-    return picks
+        now = cut(diverse_top(left, key, limit).withColumn("round", F.lit(i)))
+        picks.append(now)
+        left = left.join(now.select(*key, "normalized_url"), [*key, "normalized_url"], "left_anti")
+    return reduce(DataFrame.unionByName, picks)
 
 
 def replay_scores(hits: DataFrame, variant: str, rounds: int = 3, limit: int = 6) -> DataFrame:

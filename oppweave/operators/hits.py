@@ -355,23 +355,25 @@ def rank_hits(hits: DataFrame, order: str = "search", tie: str = "ord") -> DataF
     ``search`` order: fit, novelty, provider rank.  ``discovery`` order: fit,
     surface, pass priority, novelty, global rank.
     """
-    fit, nov = F.col("fit_score"), F.col("novelty_score")
+    # A missing score counts as zero.
+    fit, nov = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("fit_score", "novelty_score"))
     if order == "discovery":
         by = [fit.desc(), surface_rank().asc(), F.col("pass_priority").asc(), nov.desc(),
               F.col("global_rank").asc(), F.col(tie).asc()]
-        coarse = [-F.coalesce(fit, F.lit(0.0)), surface_rank(), F.col("pass_priority")]
     else:
         by = [fit.desc(), nov.desc(), F.col("provider_rank").asc(), F.col(tie).asc()]
-        coarse = [-F.coalesce(fit, F.lit(0.0)), -F.floor(F.coalesce(nov, F.lit(0.0)))]
-    return full_rank(hits, ["run_id"], by, "rank", coarse)
+    return full_rank(hits, ["run_id"], by, "rank")
 
 
 def same_domain_flag(ranked: DataFrame) -> DataFrame:
     """True where the domain already appeared earlier in the run's order."""
-    first = ranked.groupBy("run_id", "source_domain").agg(F.min("rank").alias("__first"))
-    return ranked.join(first, ["run_id", "source_domain"]).withColumn(
+    first = ranked.groupBy(F.col("run_id").alias("__run"), F.col("source_domain").alias("__domain")).agg(
+        F.min("rank").alias("__first")
+    )
+    same = F.col("run_id").eqNullSafe(F.col("__run")) & F.col("source_domain").eqNullSafe(F.col("__domain"))
+    return ranked.join(first, same).withColumn(
         "same_domain_as_prior", F.col("rank") > F.col("__first")
-    ).drop("__first")
+    ).drop("__first", "__run", "__domain")
 
 
 def initial_frontier(ranked: DataFrame, quotas: dict[str, int] | None = None) -> DataFrame:
@@ -416,26 +418,22 @@ def union_passes(passes: list[tuple[DataFrame, str, int]]) -> DataFrame:
             {"pass": F.lit(name), "pass_priority": F.lit(priority), "__pass": F.lit(i)}
         )
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return full_rank(
-        out, ["run_id"], [F.col("__pass"), F.col("ord")], "global_rank",
-        [F.col("__pass"), F.floor(F.col("ord") / 1_000_000)],
-    ).drop("__pass")
+    return full_rank(out, ["run_id"], [F.col("__pass"), F.col("ord")], "global_rank").drop("__pass")
 
 
 def merge_expansion(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Append only URLs new to the run, ranked after the existing hits."""
-    fresh = (
-        extra.filter(F.col("normalized_url") != "")
-        .join(base.select("run_id", "normalized_url"), ["run_id", "normalized_url"], "left_anti")
+    known = base.select(F.col("run_id").alias("__run"), F.col("normalized_url").alias("__url"))
+    fresh = extra.filter(F.col("normalized_url") != "").join(
+        known, F.col("run_id").eqNullSafe(F.col("__run")) & (F.col("normalized_url") == F.col("__url")), "left_anti"
     )
     fresh = top_n(fresh, ["run_id", "normalized_url"], [F.col("ord")], 1, "__rn").drop("__rn")
     sizes = base.groupBy("run_id").agg(F.count("*").alias("__n"))
-    fresh = full_rank(
-        fresh, ["run_id"], [F.col("ord")], "__rn", [F.floor(F.col("ord") / 1_000_000)]
-    ).join(sizes, "run_id", "left")
-    fresh = fresh.withColumn(
+    fresh = full_rank(fresh, ["run_id"], [F.col("ord")], "__rn")
+    sizes = sizes.withColumnRenamed("run_id", "__run")
+    fresh = fresh.join(sizes, F.col("run_id").eqNullSafe(F.col("__run")), "left").withColumn(
         "global_rank", (F.coalesce("__n", F.lit(0)) + F.col("__rn")).cast("int")
-    ).drop("__rn", "__n")
+    ).drop("__rn", "__n", "__run")
     return base.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,31 +17,47 @@ def _waves(leads: DataFrame, queued: DataFrame, cap: int) -> tuple[DataFrame, Da
 
     ``leads(run_id, hub_ord, lead_ord, url, ...)`` with one row per hub and URL;
     ``queued(run_id, url)`` are taken from the start.  A lead taken by a hub is
-    closed to later hubs.  A hub is settled once no earlier open hub wants one of
-    its URLs; all such hubs of all runs settle together, so the rounds are the
-    longest chain of hubs that want the same URLs (one, when none is shared).
+    closed to later hubs.  A lead that no earlier open hub wants is sure: its hub takes it if it comes that
+    far, so no hub goes past its ``cap``-th sure lead, and only URLs up to there can make a later hub wait. Each
+    round settles all hubs of all runs that do not wait; it is written once. Links at the end of many hubs,
+    such as footers, cost no round, as the hubs are full before they come to them.
     """
     hub = ["run_id", "hub_ord"]
-    todo = cut(leads.join(queued.select("run_id", "url").distinct(), ["run_id", "url"], "left_anti"))
-    taken = rest = None
+    every = cut(leads.join(queued.select("run_id", "url").distinct(), ["run_id", "url"], "left_anti"))
+    todo, rounds = every, []
     while not todo.isEmpty():
-        owner = todo.groupBy("run_id", "url").agg(F.min("hub_ord").alias("hub_ord"), F.count("*").alias("n"))
-        # A hub waits while some URL it wants belongs to an earlier hub.
+        # Twice: once the first cut has shortened the lists, more leads are sure.
+        reach = _within_reach(_within_reach(todo, cap), cap)
+        owner = reach.groupBy("run_id", "url").agg(F.min("hub_ord").alias("first"), F.count("*").alias("n"))
         waits = (
-            todo.join(owner.filter("n > 1").withColumnRenamed("hub_ord", "first"), ["run_id", "url"])
+            reach.join(owner.filter("n > 1"), ["run_id", "url"])
             .filter(F.col("hub_ord") > F.col("first")).select(*hub).distinct()
         )
-        ready = todo.join(waits, hub, "left_anti")
+        ready = reach.join(waits, hub, "left_anti")
         # The literal cap bounds what a hub brings to the shuffle.
         now = cut(top_n(ready, hub, [F.col("lead_ord")], cap, "__rn").drop("__rn"))
-        spare = ready.join(now.select(*hub, "url"), [*hub, "url"], "left_anti")
-        rest = cut(spare if rest is None else rest.unionByName(spare))
-        taken = cut(now if taken is None else taken.unionByName(now))
+        rounds.append(now)
         todo = cut(
             todo.join(waits, hub, "left_semi").join(now.select("run_id", "url").distinct(), ["run_id", "url"], "left_anti")
         )
-    empty = todo
-    return (empty if taken is None else taken), (empty if rest is None else rest)
+    taken = reduce(DataFrame.unionByName, rounds) if rounds else every
+    # A lead falls if its own or an earlier hub took its URL.
+    by = taken.select("run_id", "url", F.col("hub_ord").alias("__by"))
+    rest = every.join(by, ["run_id", "url"], "left").filter(F.col("__by").isNull() | (F.col("__by") > F.col("hub_ord")))
+    return taken, rest.drop("__by")
+
+
+def _within_reach(leads: DataFrame, cap: int) -> DataFrame:
+    """Leads of each hub up to its ``cap``-th that no earlier hub has."""
+    hub = ["run_id", "hub_ord"]
+    first = leads.groupBy("run_id", "url").agg(F.min("hub_ord").alias("__first"))
+    sure = leads.join(first, ["run_id", "url"]).filter(F.col("hub_ord") == F.col("__first"))
+    last = (
+        top_n(sure, hub, [F.col("lead_ord")], cap, "__rn").groupBy(*hub)
+        .agg(F.max("lead_ord").alias("__last"), F.count("*").alias("__m")).filter(F.col("__m") == cap)
+    )
+    held = leads.join(last.select(*hub, "__last"), hub, "left")
+    return held.filter(F.col("__last").isNull() | (F.col("lead_ord") <= F.col("__last"))).drop("__last")
 
 
 def stage_leads(
@@ -91,7 +109,7 @@ def lineage_outcomes(pages: DataFrame, decisions: DataFrame, origins: DataFrame)
         .otherwise(0)
     )
     d = decisions.groupBy("run_id", "url").agg(gain.alias("gain"))
-    o = origins.groupBy("run_id", "url").agg(F.first("parent_hub_url").alias("parent"))
+    o = origins.groupBy("run_id", "url").agg(F.min("parent_hub_url").alias("parent"))
     known = o.join(d, ["run_id", "url"], "full_outer")
     for side in ("canonical", "requested"):
         part = known.select(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import rule_matches
-from ..functions.ranks import top_n
+from ..functions.ranks import full_rank, top_n
 from ..functions.text import flag, listed, nonblank, tokens
 from .safety import is_sensitive, mask
 
@@ -143,8 +143,10 @@ def rank_order() -> list[Column]:
     ]
 
 
-def rank_offers(scored: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` offers per profile, ties in catalog order."""
+def rank_offers(scored: DataFrame, k: int | None) -> DataFrame:
+    """Best ``k`` offers per profile, ties in catalog order; all of them without a ``k``."""
+    if k is None:
+        return full_rank(scored, ["profile_id"], rank_order(), "rank")
     return top_n(scored, ["profile_id"], rank_order(), k, "rank")
 
 

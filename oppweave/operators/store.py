@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,7 +166,7 @@ def first_wins(rows: DataFrame, row: str, order: str, max_rounds: int | None = N
     keys = typed_keys(rows.withColumn("__row", F.struct(F.col(order).alias("o"), F.col(row).alias("r"))), "__row")
     sizes = keys.groupBy("__row").agg(F.count("*").alias("n"))
     todo = cut(keys.join(sizes, "__row"))
-    kept = None
+    parts = []
     rounds = 0
     while not todo.isEmpty():
         rounds += 1
@@ -173,13 +175,14 @@ def first_wins(rows: DataFrame, row: str, order: str, max_rounds: int | None = N
         firsts = todo.groupBy("key").agg(F.min(F.struct("__row", "n")).alias("f")).select(
             "key", "f.__row", "f.n"
         )
-        accepted = firsts.groupBy("__row", "n").agg(F.count("*").alias("m")).filter("m = n").select("__row")
+        accepted = cut(firsts.groupBy("__row", "n").agg(F.count("*").alias("m")).filter("m = n").select("__row"))
+        parts.append(accepted)
         blocked = firsts.join(accepted, "__row", "left_semi").select("key")
         gone = todo.join(blocked, "key", "left_semi").select("__row").distinct()
-        kept = cut(accepted if kept is None else kept.unionByName(accepted))
         todo = cut(todo.join(gone, "__row", "left_anti"))
-    if kept is None:
+    if not parts:
         return rows
+    kept = reduce(DataFrame.unionByName, parts)
     return rows.join(kept.select(F.col("__row.r").alias(row)), row, "left_semi")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import claims as c
 from ..operators import matching as m
 from ..operators import texts as t
+from ..session import cut
 
 MATCH_FIELDS = {
     "intended_major": "personalInfo.intendedMajor",
@@ -31,7 +32,7 @@ def match_profiles(
 
     ``pairs(profile_id, id)`` says which offers each profile considers.
     """
-    claims = t.extract_claims(documents)
+    claims = cut(t.extract_claims(documents))  # read by four of the tables below
     winners = c.merge_claims(claims)
     if overrides is not None:
         winners = c.apply_overrides(winners, overrides)
@@ -42,7 +43,7 @@ def match_profiles(
     scored = scored.join(overlap, ["profile_id", "id"], "left").withColumn(
         "essay_score", F.coalesce("essay_score", F.lit(0.0))
     )
-    ranked = m.rank_offers(scored, k or 1_000_000)
+    ranked = m.rank_offers(scored, k)
     values = winners.select("profile_id", F.col("field_path").alias("source_path"), "value")
     drafts = None
     if "form_fields" in catalog.columns:

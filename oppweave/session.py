@@ -16,6 +16,7 @@ def local_session(app: str = "oppweave", cores: str = "*", partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("OPPWEAVE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -45,11 +46,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work enough tasks when its input has few splits.
+    """Let adaptive execution deal rows into even partitions before costly per-row work.
 
-    A small file with one row group is one task however many cores there are.
-    Inputs that already have as many splits as cores, as on a cluster, pass as
-    they are.
+    For inputs whose files cannot be split, such as a file of one row group. The plan is the same for every size;
+    inputs of many splits need no such step.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.hint("rebalance")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.store import upsert_offers, upsert_queue
 
@@ -26,6 +27,16 @@ def upsert_tables(
     return a, b
 
 
-def write_run_trace(trace: DataFrame, path: str) -> None:
-    """Trace rows of any kind, partitioned by run and round."""
-    trace.write.mode("append").partitionBy("run_id", "round").parquet(path)
+def write_run_trace(trace: DataFrame, path: str, buckets: int = 64) -> None:
+    """Trace rows of any kind, in one folder per round and bucket of runs.
+
+    The folders of a written round's buckets are replaced, so a repeated job leaves no row twice; give all rows
+    of a round and bucket at once. A bucket holds many runs, so files stay few however many runs there are.
+    """
+    bucket = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")
+    (
+        trace.withColumn("run_bucket", bucket)
+        .repartition("round", "run_bucket")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("round", "run_bucket").parquet(path)
+    )

@@ -193,7 +193,7 @@ def merge_expansion(spark, sf):
     a = hits(spark, sf).select("run_id", "normalized_url", "ord", "provider_rank")
     base = o.full_rank(
         a.filter("provider_rank <= 5").groupBy("run_id", "normalized_url").agg(F.min("ord").alias("ord")),
-        ["run_id"], [F.col("ord")], "global_rank", [F.floor(F.col("ord") / 10**15)],
+        ["run_id"], [F.col("ord")], "global_rank",
     )
     extra = a.filter("provider_rank > 5").drop("provider_rank")
     return o.merge_expansion(base, extra).select("run_id", "normalized_url", "global_rank")
