@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "rn") -> DataFrame:
-    """First ``n`` rows per key.
+def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int | None, out: str = "rn") -> DataFrame:
+    """First ``n`` rows per key; all, numbered, without an ``n`` (for keys of bounded size, such as a page's links).
 
     The literal bound lets Spark trim each key to ``n`` rows before the shuffle
     (WindowGroupLimit), so a hot key costs tasks x n rows, not its whole group.
     """
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
+    numbered = df.withColumn(out, F.row_number().over(w))
+    return numbered if n is None else numbered.filter(F.col(out) <= n)
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

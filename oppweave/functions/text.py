@@ -67,6 +67,11 @@ def find_all(c: Column | str, pattern: str, group: int = 1) -> Column:
     )
 
 
+def first_items(items: Column, n: int | None) -> Column:
+    """First ``n`` items of an array; all without an ``n``."""
+    return items if n is None else F.slice(items, 1, n)
+
+
 def clip(c: Column | str, n: int) -> Column:
     """Cut a snippet to ``n`` characters, marking the cut with three dots."""
     return let(

@@ -172,7 +172,10 @@ STALE_WORDS = (
     r"\b(deadline|application|apply|applications?|award year|academic year|semester|fall|spring"
     r"|currently open|opens?|renewable)\b"
 )
-STALE_WORDS_PAGE = STALE_WORDS[:-len(r")\b")] + r"|scholarship)\b"
+STALE_WORDS_PAGE = (
+    r"\b(deadline|application|apply|applications?|award year|academic year|semester|fall|spring"
+    r"|currently open|opens?|renewable|scholarship)\b"
+)
 INDIRECT = (
     r"\b(these scholarship applications are currently open|you can apply today|our guide"
     r"|this guide|how to win|tips for|best scholarships|top \d+|list of scholarships"
@@ -365,3 +368,20 @@ FRONTIER_QUOTAS = {"direct_likely": 18, "hub_likely": 6, "list_likely": 8, "othe
 EXPANSION_PER_DEPTH = {1: 16, 2: 32, 3: 12}
 EXPANSION_PER_DOMAIN = 4
 EXPANSION_PER_RUN = 48
+
+
+# Limits of an interactive run. Operators have none by default; callers pass these on purpose.
+LIMITS = {
+    "requirements": 8,  # requirement sentences of a page
+    "essay_prompts": 3,
+    "links_per_page": 15,
+    "links_per_batch": 50,
+    "children": 4,
+    "child_rejects": 5,
+    "leads_per_page": 5,
+    "leads": 15,
+    "lead_rejects": 8,
+    "essays": 6,
+    "form_fields": 80,
+    "hits_per_answer": 20,
+}

@@ -118,14 +118,14 @@ def mark_seen(links: DataFrame, history: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def best_links(links: DataFrame, per_page: int = 15) -> DataFrame:
-    """Best-scored link per page and URL, then the best ``per_page`` of each page."""
+def best_links(links: DataFrame, per_page: int | None = None) -> DataFrame:
+    """Best-scored link per page and URL, then the best ``per_page`` of each page, or all of them."""
     order = [F.col("score").desc(), F.col("position").asc()]
     best = top_n(links, ["page_id", "url"], order, 1, "__rn").drop("__rn")
     return top_n(best, ["page_id"], order, per_page, "page_rank")
 
 
-def cap_links(links: DataFrame, batches: DataFrame, per_page: int = 15, total: int = 50) -> DataFrame:
+def cap_links(links: DataFrame, batches: DataFrame, per_page: int | None, total: int) -> DataFrame:
     """``best_links`` further cut to ``total`` per batch, in page order.
 
     ``batches(batch_id, page_id, page_ord)``.  Every page that still counts brings
@@ -143,8 +143,8 @@ def cap_links(links: DataFrame, batches: DataFrame, per_page: int = 15, total: i
     return best.join(room, "page_id").filter(F.col("page_rank") <= F.col("room")).drop("room")
 
 
-def link_counts(links: DataFrame, per_page: int = 15) -> DataFrame:
-    """Distinct links per page and whether one leads to an original source."""
+def link_counts(links: DataFrame, per_page: int | None = None) -> DataFrame:
+    """Distinct links per page and whether one of them, or of the best ``per_page``, leads to an original source."""
     source = ~F.col("same_host") & (
         has("anchor_text", v.LINK_SOURCE_ANCHOR) | F.col("detail_path_likely")
     )

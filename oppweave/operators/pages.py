@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..functions.lexicon import tag_states, tag_values
-from ..functions.text import clean, clip, col, distinct_ci, find, find_all, has, let, nonblank
+from ..functions.text import clean, clip, col, distinct_ci, first_items, find, find_all, first_items, has, let, nonblank
 from ..functions.urls import canonical_url, domain
 from .hits import years_are_stale
 
@@ -108,22 +108,21 @@ def is_requirement(s: Column) -> Column:
     )
 
 
-def with_sentences(df: DataFrame, text_col: str = "text", most: int = 8) -> DataFrame:
+def with_sentences(df: DataFrame, text_col: str = "text", most: int | None = None) -> DataFrame:
     """Add the sentence, requirement and stage-sentence arrays of each row."""
     return (
         df.withColumn("sentences", sentences(text_col))
-        .withColumn("requirements", F.slice(F.filter("sentences", is_requirement), 1, most))
+        .withColumn("requirements", first_items(F.filter("sentences", is_requirement), most))
         .withColumn("stage_sentences", F.filter("sentences", lambda s: has(s, v.STAGE_SENTENCE)))
     )
 
 
-def page_sentences(df: DataFrame, key: str, text_col: str = "text", most: int = 8) -> DataFrame:
-    """Sentence rows with position; the first ``most`` requirement sentences are numbered."""
+def page_sentences(df: DataFrame, key: str, text_col: str = "text", most: int | None = None) -> DataFrame:
+    """Sentence rows with position; the first ``most`` requirement sentences, or all, are numbered."""
     joined = df.select(key, sentences(text_col).alias("__s")).withColumn(
         "__req",
-        F.slice(
-            F.filter(F.transform("__s", lambda s, i: F.when(is_requirement(s), i)), lambda i: i.isNotNull()),
-            1, most,
+        first_items(
+            F.filter(F.transform("__s", lambda s, i: F.when(is_requirement(s), i)), lambda i: i.isNotNull()), most
         ),
     )
     return joined.select(key, "__req", F.posexplode("__s").alias("pos", "sentence")).select(
@@ -223,15 +222,15 @@ def first_number(text: Column | str, patterns: list[str]) -> Column:
     return F.coalesce(*[nonblank(find(text, p)).try_cast("double") for p in patterns])
 
 
-def essay_prompts(sents: Column) -> Column:
+def essay_prompts(sents: Column, most: int | None = None) -> Column:
     cut = F.transform(
         F.filter(sents, lambda s: has(s, v.ESSAY_CUE)),
         lambda s: F.when(F.length(s) > 260, F.concat(F.substring(s, 1, 257), F.lit("..."))).otherwise(s),
     )
-    return let(cut, lambda c: F.slice(distinct_ci(c), 1, 3))
+    return let(cut, lambda c: first_items(distinct_ci(c), most))
 
 
-def page_facts(text_df: DataFrame) -> DataFrame:
+def page_facts(text_df: DataFrame, prompts: int | None = None) -> DataFrame:
     """Award, deadline, GPA, ages, account and closed flags, essay prompts.
 
     Input is ``page_text`` plus ``with_sentences``.
@@ -247,7 +246,7 @@ def page_facts(text_df: DataFrame) -> DataFrame:
             "max_age": first_number(reqs, [v.MAX_AGE]).cast("int"),
             "requires_account": has("text", v.ACCOUNT),
             "closed_words": has("title", v.CLOSED) | has("text", v.CLOSED),
-            "essay_prompts": essay_prompts(F.col("sentences")),
+            "essay_prompts": essay_prompts(F.col("sentences"), prompts),
         }
     )
 

@@ -310,7 +310,10 @@ def upsert_offers(offers: DataFrame, incoming: DataFrame) -> DataFrame:
 def upsert_queue(queue: DataFrame, links: DataFrame) -> DataFrame:
     """Queue with new (user, offer) links; existing links stay as they are."""
     key = ["user_id", "scholarship_id"]
-    fresh = links.dropDuplicates(key).join(queue.select(*key), key, "left_anti")
+    other = [c for c in links.columns if c not in key]
+    # Of several rows for one link the smallest in column order counts, whatever order they come in.
+    once = links.groupBy(*key).agg(F.min(F.struct(*other)).alias("l")).select(*key, "l.*") if other else links.select(*key).distinct()
+    fresh = once.join(queue.select(*key), key, "left_anti")
     return queue.unionByName(fresh.withColumns({"status": F.lit("queued"), "notes": F.lit("")}), allowMissingColumns=True)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranks import first_per, top_n
-from ..functions.text import clean, flag, has, let, nonblank
+from ..functions.text import clean, flag, has, let, nonblank, first_items
 from .safety import sensitive_name  # noqa: F401  (re-exported for form checks)
 
 PAGE_MARK = r"^--\s*\d+\s+of\s+\d+\s*--$"
@@ -311,7 +311,7 @@ PROMPT_STARTS = [
 RESPONSE_START = r"^(I|My|Ever|From|Growing|Since|When|As|Baseball|One|This|That)(?!\w)"
 
 
-def segment_essays(documents: DataFrame, least: int = 400, most: int = 6) -> DataFrame:
+def segment_essays(documents: DataFrame, least: int = 400, most: int | None = None) -> DataFrame:
     """Prompt and response blocks, else long paragraphs, of each document.
 
     A block runs from one prompt opening to the next; its prompt takes up to four
@@ -354,8 +354,8 @@ def segment_essays(documents: DataFrame, least: int = 400, most: int = 6) -> Dat
         return let(starts, lambda st: F.transform(st, lambda s, j: block(s, j, st)))
 
     good = F.filter(let(lines, blocks), lambda b: F.length(b["content"]) > 120)
-    paragraphs = F.slice(
-        F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: F.length(x) > least), 1, most
+    paragraphs = first_items(
+        F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: F.length(x) > least), most
     )
     plain = F.transform(paragraphs, lambda x: F.struct(F.lit(None).cast("string").alias("prompt"), x.alias("content")))
     essays = let(good.cast(shape), lambda g: F.when(F.size(g) > 0, g).otherwise(plain.cast(shape)))
@@ -480,8 +480,8 @@ def manual_path(name: Column) -> Column:
     return F.concat(F.lit("__manual__."), F.coalesce(nonblank(slug), F.lit("manual_field")))
 
 
-def map_form_fields(fields: DataFrame, most: int = 80) -> DataFrame:
-    """Profile path of each raw form field, one row per name and label, ``most`` per form.
+def map_form_fields(fields: DataFrame, most: int | None = None) -> DataFrame:
+    """Profile path of each raw form field, one row per name and label, ``most`` per form or all.
 
     ``fields(form_id, ord, name, id, display_label, placeholder, aria_label, type)``.
     """

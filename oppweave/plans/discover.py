@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
+from ..functions.ranks import first_per
 from ..functions.urls import canonical_url
 from ..operators import bundles as b
 from ..operators import expansion as e
@@ -42,8 +43,11 @@ def classify_pages(pages: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     links = cut(li.best_links(li.page_links(pages, v.LINK_KEEP_CRAWL, v.LINK_DROP_CRAWL, crawl=True), 12))
     counts = links.groupBy("page_id").agg(F.count("*").alias("n_links"))
     ok = p.classify_fetch(pages).filter("fetch_status = 'ok'")
-    facts = p.page_facts(p.with_sentences(p.page_text(ok)))
+    facts = p.page_facts(p.with_sentences(p.page_text(ok), most=v.LIMITS["requirements"]), v.LIMITS["essay_prompts"])
     found = b.extract_candidates(facts, counts, as_of).withColumn("url", canonical_url("source_url"))
+    # Of several stored pages with one canonical URL the newest fetch counts, then the largest page id.
+    order = [F.col(c).desc_nulls_last() for c in ("fetched_at", "page_id") if c in found.columns]
+    found = first_per(found, ["url"], [*order, F.col("source_url").asc()])
     # A page belongs to no run here; the walk brings runs and pages together.
     return cut(found.drop("run_id", "profile_id", "depth", "global_rank", "query")), links
 
@@ -69,7 +73,7 @@ def discover(
         "url",
         F.when(F.col("skip_reason").isNull(), "offer").when(F.col("skip_reason") == "scholarship_list_page", "list")
         .otherwise("other").alias("kind"),
-    ).dropDuplicates(["url"])
+    )
     edges = links.select(
         canonical_url("src_url").alias("src_url"), canonical_url("url").alias("url"), "source_domain",
         F.col("page_rank").alias("position"),

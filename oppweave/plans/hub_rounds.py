@@ -122,7 +122,8 @@ def hub_rounds(
         added, spare = h.stage_leads(rows, queue.select("run_id", "url"), seen, backlog.select("run_id", "hub", "url"))
         queue = cut(queue.unionByName(_lead_rows(added)))
         backlog = cut(backlog.unionByName(_lead_rows(spare)))
-        fresh = rows.select("run_id", "url", F.col("hub").alias("parent_hub_url")).dropDuplicates(["run_id", "url"])
+        # Of several hubs that lead to a URL the last one is its origin.
+        fresh = rows.groupBy("run_id", "url").agg(F.max_by("hub", F.struct("hub_ord", "lead_ord", "hub")).alias("parent_hub_url"))
         origins = cut(origins.join(fresh, ["run_id", "url"], "left_anti").unionByName(fresh))
         # Where each run stands after the round.
         unf = b.unfetched(hits, fetched).groupBy("run_id").agg(F.count("*").alias("unfetched"))

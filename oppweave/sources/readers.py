@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, nonblank
+from ..functions.text import clean, nonblank, first_items
 from ..operators.store import split_list, to_boolean
 
 CATALOG_JSON = """
@@ -137,7 +137,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 PAYLOAD = "web STRUCT<results: ARRAY<STRUCT<title: STRING, url: STRING, description: STRING, page_age: STRING>>>"
 
 
-def explode_search_payload(payloads: DataFrame, limit: int = 20) -> DataFrame:
+def explode_search_payload(payloads: DataFrame, limit: int | None = None) -> DataFrame:
     """Ranked hits of each stored search answer.
 
     Entries without an http URL or a title go before ranks are given; everything
@@ -158,7 +158,7 @@ def explode_search_payload(payloads: DataFrame, limit: int = 20) -> DataFrame:
         lambda r: r["url"].rlike("(?i)^https?://") & (r["title"] != ""),
     )
     keep = [c for c in payloads.columns if c != "payload"]
-    return payloads.select(*keep, F.posexplode(F.slice(good, 1, limit)).alias("i", "r")).select(
+    return payloads.select(*keep, F.posexplode(first_items(good, limit)).alias("i", "r")).select(
         *keep, (F.col("i") + 1).alias("provider_rank"), "r.*"
     )
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import vocab as v
 from ..operators import bundles as b
 from ..operators import links as li
 from ..operators import pages as p
@@ -43,7 +44,7 @@ REQ_SQL = f"""(regexp_matches(sentence, '(?i){p.v.REQUIREMENT}') OR (regexp_matc
  SELECT doc_id, pos, sentence, CASE WHEN req AND rn <= 8 THEN rn END requirement_rank FROM n""",
 )
 def page_sentences(spark, sf):
-    return p.page_sentences(table(spark, sf, "documents"), "doc_id")
+    return p.page_sentences(table(spark, sf, "documents"), "doc_id", most=v.LIMITS["requirements"])
 
 
 # Word rules that occur in the test documents.
@@ -115,7 +116,7 @@ def cap_links(spark, sf):
     batches = table(spark, sf, "pages").select(
         (F.col("page_id") % 20).alias("batch_id"), "page_id", F.col("page_id").alias("page_ord")
     )
-    return li.cap_links(_links(spark, sf), batches).select("batch_id", "page_id", "url", "page_rank")
+    return li.cap_links(_links(spark, sf), batches, v.LIMITS["links_per_page"], v.LIMITS["links_per_batch"]).select("batch_id", "page_id", "url", "page_rank")
 
 
 @query(
@@ -140,7 +141,7 @@ def classify_fetch(spark, sf):
 
 
 def facts_of(pages):
-    return p.page_facts(p.with_sentences(p.page_text(pages)))
+    return p.page_facts(p.with_sentences(p.page_text(pages), most=v.LIMITS["requirements"]), v.LIMITS["essay_prompts"])
 
 
 def _facts(spark, sf):
@@ -186,7 +187,7 @@ def part_links(spark, sf):
 def part_bundles(spark, sf):
     """Bundles as a table of their own: later jobs read them more than once."""
     pages = p.classify_fetch(offer_pages(spark, sf))
-    return cut(b.page_bundles(facts_of(pages), li.link_counts(part_links(spark, sf)), PAGES_AS_OF))
+    return cut(b.page_bundles(facts_of(pages), li.link_counts(part_links(spark, sf), v.LIMITS["links_per_page"]), PAGES_AS_OF))
 
 
 @query(
@@ -274,7 +275,7 @@ def triage_queues(spark, sf):
 
 def _ordered_links(spark, sf):
     """Links in bundle order: best first, as the hub jobs read them."""
-    return li.best_links(part_links(spark, sf)).drop("position").withColumnRenamed("page_rank", "position").withColumn(
+    return li.best_links(part_links(spark, sf), v.LIMITS["links_per_page"]).drop("position").withColumnRenamed("page_rank", "position").withColumn(
         "seen_recently", F.lit(False)
     )
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import vocab as v
 from ..operators import expansion as e
 from ..operators import history as h
 from ..operators import queries as q
@@ -133,7 +134,7 @@ def prefixed_items(spark, sf):
  'I met number ' || c_custkey || repeat(' and went on with my work', 6) AS content FROM customer""",
 )
 def segment_essays(spark, sf):
-    return t.segment_essays(applications(spark, sf)).select("profile_id", "essay_id", "prompt", "content")
+    return t.segment_essays(applications(spark, sf), most=v.LIMITS["essays"]).select("profile_id", "essay_id", "prompt", "content")
 
 
 @query(
@@ -144,7 +145,7 @@ def segment_paragraphs(spark, sf):
     d = table(spark, sf, "documents").select(
         F.col("doc_id").alias("profile_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("doc_ord"), F.col("text").alias("raw_text")
     )
-    return t.segment_essays(d).select("profile_id", "essay_id", F.length("content").alias("n"))
+    return t.segment_essays(d, most=v.LIMITS["essays"]).select("profile_id", "essay_id", F.length("content").alias("n"))
 
 
 @query(
@@ -189,7 +190,7 @@ def _forms(spark, sf):
  row_number() OVER (PARTITION BY form_id ORDER BY ord) AS position FROM d QUALIFY position <= 80""",
 )
 def map_form_fields(spark, sf):
-    return t.map_form_fields(_forms(spark, sf)).select("form_id", "label", "source_path", "position")
+    return t.map_form_fields(_forms(spark, sf), v.LIMITS["form_fields"]).select("form_id", "label", "source_path", "position")
 
 
 @query(
@@ -197,7 +198,7 @@ def map_form_fields(spark, sf):
     f"""WITH {FORM_SQL}, g AS (SELECT DISTINCT form_id FROM f) SELECT form_id, field_name, source_path FROM g, (VALUES ('city', 'personalInfo.city'), ('transcript_upload', '__manual__.transcript_upload')) c(field_name, source_path)""",
 )
 def form_clues(spark, sf):
-    mapped = t.map_form_fields(_forms(spark, sf))
+    mapped = t.map_form_fields(_forms(spark, sf), v.LIMITS["form_fields"])
     forms = mapped.select("form_id").distinct().withColumn("text", F.lit("Your city and a transcript, please"))
     return t.form_clues(forms, mapped).select("form_id", "field_name", "source_path")
 
@@ -449,7 +450,7 @@ def hub_rounds_(spark, sf):
     from ..operators.links import best_links
     from ..operators.urls import canonical_url
 
-    links = best_links(part_links(spark, sf)).drop("position").withColumnRenamed("page_rank", "position").withColumn("seen_recently", F.lit(False))
+    links = best_links(part_links(spark, sf), v.LIMITS["links_per_page"]).drop("position").withColumnRenamed("page_rank", "position").withColumn("seen_recently", F.lit(False))
     s = F.col("kind")
     hits = part_hits(spark, sf).withColumns(
         {
