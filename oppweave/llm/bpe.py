@@ -45,8 +45,9 @@ class Encoder:
             return self._encode_word(self._space + word)
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if piece[-1] in MARKS and plain_word(piece[:-1]) is not None:
-            return self._pieces[piece[:-1]] + self._words[piece[-1]]
+        word = piece.rstrip(MARKS)
+        if word and len(word) < len(piece) and plain_word(word) is not None:
+            return self._pieces[word] + self._words[piece[len(word) :]]
         return self._encode_whole(" " + piece)
 
     def _encode_whole(self, text: str) -> bytes:

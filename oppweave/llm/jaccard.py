@@ -13,9 +13,9 @@ are merged, long ones only probed (DivideSkip). On a cluster:
    smallest partner that it may have) is alone: a passage that many texts share is not enough.
 4. Nodes are dealt to chunks, near copies to the same one, and search their own chunk and
    the next of its kind. That joins nearly all of a group at a cost linear in its size.
-5. Lists whose nodes are still in several groups: every node outside the list's largest group
-   searches the chunks in which the list has nodes. After this no linked pair is left
-   unsearched, unless both were in one group already.
+5. Lists whose nodes are still in several groups: a node searches the chunks in which at least l of
+   its lists have nodes of larger groups. After this no linked pair is left unsearched,
+   unless both were in one group already.
 
 Links are only needed as far as they join groups, so copies are never expanded to pairs.
 """
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,7 +39,7 @@ PERCENT = 80  # of the union that the intersection must have
 COMMON_IN_BLOCK = 3  # texts of one block in which a shingle looks common
 COMMON_KEPT = 1 << 17  # common shingles that are sent to all tasks, the most common first; only the order depends on it
 BITS = 1 << 26  # bits of the table of shingles that have lists
-CHUNK_NODES, CHUNK_SHINGLES = 256, 400_000  # of a chunk, about
+CHUNK_NODES, CHUNK_SHINGLES = 512, 800_000  # of a chunk, about
 PROBE = 0.01  # weight of a probe in the choice of the lists that are only probed
 
 
@@ -353,11 +353,15 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return with_groups(keyed, set_groups(docs, text), "doc_id")
 
 
+def _least_lists(n: Column) -> Column:
+    """Lists that a set of n shingles shares with any that it links with: those of its smallest partner."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * F.lit(PERCENT) / 100) / 20))
+
+
 def _members(nodes: DataFrame, lists: DataFrame) -> DataFrame:
     """``set_key, n, shingle`` of the lists, without nodes that have too few and without lists of one node."""
     every = nodes.select("set_key", "n", F.explode("prefix").alias("shingle")).join(lists, "shingle")
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * F.lit(PERCENT) / 100) / 20))
-    enough = every.groupBy("set_key", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least)
+    enough = every.groupBy("set_key", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= _least_lists(F.col("n")))
     kept = every.join(enough.select("set_key"), "set_key")
     several = kept.groupBy("shingle").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).filter("a <> b")
     return kept.join(several.select("shingle"), "shingle").select("set_key", "n", "shingle")
@@ -395,26 +399,31 @@ def set_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     links = stored(search_chunks(indexed.unionByName(following), inside=True), "links")
     part = stored(components(placed.select(F.col("set_key").alias("id")), links), "parts")
 
-    # Lists over several groups: nodes outside the largest group search the others' chunks.
-    at = member.join(part.withColumnRenamed("id", "set_key"), "set_key").join(
-        placed.select("set_key", chunk(0).alias("chunk")), "set_key"
-    )
-    sizes = at.groupBy("shingle", "component").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("shingle").agg(
-        F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("groups")
-    )
-    open_lists = stored(
-        at.join(main.filter("groups > 1").select("shingle", "main"), "shingle"), "open"
+    # Lists over several groups: a node searches the chunks in which enough of its lists have a node of a larger group.
+    # Of any two linked nodes in different groups, that of the smaller one finds the other so: all lists that
+    # they share are over several groups, and they share enough. Chunks that met in the first search are done.
+    larger = F.struct("m", "component")
+    around = {0: "chunk", 1: "following", -1: "leading"}  # chunks that a node has met in the first search
+    at = (
+        member.join(part.withColumnRenamed("id", "set_key"), "set_key")
+        .join(placed.select("set_key", *[chunk(k).alias(name) for k, name in around.items()]), "set_key")
+        .join(part.groupBy("component").agg(F.count("*").alias("m")), "component")
+        .withColumn("rank", larger)
     )
+    several = at.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    open_lists = stored(at.join(several.select("shingle"), "shingle"), "open")
     targets = open_lists.groupBy("shingle", "chunk").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c0"), F.max("component").alias("c1")
+        F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high")
     )
     routes = (
-        open_lists.filter("component <> main").select("shingle", "set_key", "n", "component")
+        open_lists.select("shingle", "set_key", "n", "component", "rank", *[F.col(c).alias(f"_{c}") for c in around.values()])
         .join(targets, "shingle")
+        .filter(F.col("rank") < F.col("top"))
+        .filter(" and ".join(f"chunk <> _{c}" for c in around.values()))
         .filter(f"100 * low <= {10000 // PERCENT} * n and 100 * n <= {10000 // PERCENT} * high")
-        .filter("c0 <> component or c1 <> component")
-        .select("set_key", "component", "chunk").distinct()
+        .groupBy("set_key", "n", "component", "chunk").agg(F.count("*").alias("shared"))
+        .filter(F.col("shared") >= _least_lists(F.col("n")))
+        .select("set_key", "component", "chunk")
     )
     routes = stored(routes, "routes")
     wanted = routes.select("chunk").distinct()

@@ -98,8 +98,9 @@ class PrefixCounter:
         counts = self._counts
         if self._lowers and (word := plain_word(piece.lower())) is not None:
             return self._count_word(word)
-        if self._lowers and piece[-1:] in MARKS and plain_word(piece[:-1]) is not None:
-            return self._pieces[piece[:-1]] + counts[piece[-1]]
+        head = piece.rstrip(MARKS)
+        if self._lowers and head and len(head) < len(piece) and plain_word(head) is not None:
+            return self._pieces[head] + counts[piece[len(head) :]]
         return sum(counts[w] for w in self.vocabulary.words(piece))
 
     def count(self, text: str) -> int:

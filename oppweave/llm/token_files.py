@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import Ranges, create, shared_folder, stored, task_file
-from .vocabulary import MARKS, Vocabulary, load, plain_word, share
+from .vocabulary import MARKS, Memo, Vocabulary, load, plain_word, share
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME = 1 << 18  # raw bytes of a frame
-KEPT = 1_000_000  # pieces whose ids a worker remembers
+KEPT = 600_000  # pieces whose ids a worker remembers
+BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _TABLE = struct.Struct("<QQI")  # documents, raw bytes of all ids, bytes of an id
 
 
@@ -145,21 +146,22 @@ class LibraryEncoder:
         for i, string in vocabulary.strings.items():
             self._starts[i] = string.startswith("Ġ")
         self._pieces: dict[str, bytes] = {}
-        alone = [m for m in sorted(MARKS) if vocabulary.words(f"a bc{m} d") == ["a", "Ġbc", m, "Ġd"]]
-        self._marks = dict(zip(alone, self._run(alone)))
+        self._alone = all(vocabulary.words(f"a bc{m}{m} d") == ["a", "Ġbc", m + m, "Ġd"] for m in MARKS)
+        self._marks = Memo(lambda marks: self._run([marks])[0], KEPT // 100)
 
     def _run(self, texts: list[str]) -> list[bytes]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _cut(self, text: str) -> list[str] | None:
+        """Pieces between single spaces, or None where a space has other white space beside it or an end."""
         if not self._by_spaces or any(s in text for s in self._special):
             return None
-        pieces = text.split(" ")
-        ends = pieces[0][-1:] + "".join([p[:1] + p[-1:] for p in pieces[1:]])
-        if "" in pieces or any(map(str.isspace, set(ends))):
+        if not text or text[0] == " " or text[-1] == " " or "  " in text:
             return None
-        return pieces
+        if any(b in text and (b + " " in text or " " + b in text) for b in BLANKS):
+            return None
+        return text.split(" ")
 
     def _run_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces without spaces: many in one text, cut again at the tokens that start with a space."""
@@ -173,22 +175,27 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._cut(t) for t in texts]
-        whole = [t if c is None else c[0] for t, c in zip(texts, cut)]
+        first = self._run([t if c is None else c[0] for t, c in zip(texts, cut)])
+        get = self._pieces.get
+        found = [list(map(get, c[1:])) if c else [] for c in cut]
+        open_places = [[k for k, ids in enumerate(own) if ids is None] if None in own else () for own in found]
+        new = {c[k + 1] for c, places in zip(cut, open_places) for k in places}
+        if new:
+            self._learn(new)
+            for c, own, places in zip(cut, found, open_places):
+                for k in places:
+                    own[k] = self._pieces[c[k + 1]]
+        return [a + b"".join(own) for a, own in zip(first, found)]
+
+    def _learn(self, new: set[str]) -> None:
         known = self._pieces
-        pieces = {p for c in cut if c for p in c[1:]}
-        new = pieces - known.keys()
         if len(known) + len(new) > KEPT:
             known.clear()
-            new = pieces
-        # A mark after a word is a word of its own, so the word's ids serve with and without it.
-        marked = [p for p in new if p[-1] in self._marks and plain_word(p[:-1]) is not None]
-        plain = list(new.difference(marked).union(p[:-1] for p in marked) - known.keys())
+        # Marks after a word are a word of their own, so the word's ids serve with and without them.
+        heads = {p: h for p in new if (h := p.rstrip(MARKS)) != p and plain_word(h) is not None} if self._alone else {}
+        plain = list(new.difference(heads).union(heads.values()) - known.keys())
         known.update(zip(plain, self._run_pieces(plain), strict=True))
-        known.update((p, known[p[:-1]] + self._marks[p[-1]]) for p in marked)
-        return [
-            first + b"".join(map(known.__getitem__, c[1:])) if c else first
-            for first, c in zip(self._run(whole), cut)
-        ]
+        known.update((p, known[h] + self._marks[p[len(h) :]]) for p, h in heads.items())
 
 
 def write_token_files(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 from functools import cached_property
 from itertools import chain
 from operator import add
@@ -22,8 +23,8 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-#: ASCII marks that stand alone after a word in every known splitting.
-MARKS = frozenset(".,;:!?")
+#: ASCII marks of which a run at the end of a word is a word of its own in every known splitting.
+MARKS = string.punctuation.replace("'", "")
 _TO_ALPHABET = {b: c for c, b in byte_alphabet().items()}
 
 
