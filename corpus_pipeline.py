@@ -48,7 +48,7 @@ def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the ids of the whole text, their number, and whether they decode to the text again."""
     path = public_tokenizers.path(VOCABULARY)
-    coded = bpe.decode(bpe.encode(docs, path), path, text="_decoded")
+    coded = bpe.round_trip(docs, path, decoded="_decoded")
     return coded.select(
         *[c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip")],
         "token_ids",

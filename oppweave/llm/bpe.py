@@ -102,3 +102,21 @@ def decode(rows: DataFrame, path: str, ids: str = "token_ids", text: str = "deco
         return pa.array([encoder.decode(a or b"") for a in arrays.to_pylist()], pa.string())
 
     return rows.withColumn(text, run(F.col(ids)))
+
+
+def round_trip(
+    docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded"
+) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one function, so that a task keeps one worker and its remembered pieces."""
+    shared = share(docs.sparkSession, path)
+    form = pa.struct([("ids", pa.binary()), ("text", pa.string())])
+
+    @F.arrow_udf("struct<ids:binary,text:string>")
+    def run(texts: pa.Array) -> pa.Array:
+        encoder = load(Encoder, shared.value)
+        coded = [encoder.encode(t or "") for t in texts.to_pylist()]
+        arrays = [pa.array(coded, pa.binary()), pa.array(map(encoder.decode, coded), pa.string())]
+        return pa.StructArray.from_arrays(arrays, fields=list(form))
+
+    both = docs.withColumn("_coded", run(F.col(text)))
+    return both.withColumns({ids: F.col("_coded.ids"), decoded: F.col("_coded.text")}).drop("_coded")

@@ -20,7 +20,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts encoded and decoded again; digests of the ids and of the decoded texts."""
     path = public_tokenizers.path(BYTE_BPE)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.round_trip(docs, path).select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

@@ -26,7 +26,7 @@ from .vocabulary import MARKS, Memo, Vocabulary, load, plain_word, share
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME = 1 << 18  # raw bytes of a frame
-KEPT = 600_000  # pieces whose ids a worker remembers
+KEPT = 800_000  # pieces whose ids a worker remembers
 BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _TABLE = struct.Struct("<QQI")  # documents, raw bytes of all ids, bytes of an id
 
@@ -146,6 +146,7 @@ class LibraryEncoder:
         for i, string in vocabulary.strings.items():
             self._starts[i] = string.startswith("Ġ")
         self._pieces: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._alone = all(vocabulary.words(f"a bc{m}{m} d") == ["a", "Ġbc", m + m, "Ġd"] for m in MARKS)
         self._marks = Memo(lambda marks: self._run([marks])[0], KEPT // 100)
 
@@ -188,9 +189,12 @@ class LibraryEncoder:
         return [a + b"".join(own) for a, own in zip(first, found)]
 
     def _learn(self, new: set[str]) -> None:
+        # At half of the limit the pieces become the old half; those in use come back from there.
+        if len(self._pieces) + len(new) > KEPT // 2:
+            self._old, self._pieces = self._pieces, {}
         known = self._pieces
-        if len(known) + len(new) > KEPT:
-            known.clear()
+        known.update((p, ids) for p in new if (ids := self._old.get(p)) is not None)
+        new = new - known.keys()
         # Marks after a word are a word of their own, so the word's ids serve with and without them.
         heads = {p: h for p in new if (h := p.rstrip(MARKS)) != p and plain_word(h) is not None} if self._alone else {}
         plain = list(new.difference(heads).union(heads.values()) - known.keys())

@@ -119,14 +119,22 @@ def load(kind: type, text: str):
 
 
 class Memo(dict):
-    """Values computed on first use; emptied when it holds ``limit`` keys, which changes no value."""
+    """Values computed on first use, of at most ``limit`` keys.
+
+    When half of them are held they become the old half, and what is asked for again comes back from there. So
+    keys in use stay, and the others go; no value depends on it.
+    """
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.old = make, limit // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
