@@ -46,6 +46,20 @@ def test_bpe_equals_library_and_decodes(docs):
         assert row["decoded"] == library(BYTE).decode(want, skip_special_tokens=False)
 
 
+def test_round_trip_is_encode_and_decode(docs):
+    both = {r["doc_id"]: (r["token_ids"], r["decoded"], r["n_tokens"]) for r in bpe.round_trip(docs, BYTE).collect()}
+    apart = bpe.decode(bpe.encode(docs, BYTE), BYTE).collect()
+    assert both == {r["doc_id"]: (r["token_ids"], r["decoded"], r["n_tokens"]) for r in apart}
+
+
+def test_a_full_memo_gives_the_same_values():
+    from oppweave.llm.vocabulary import Memo
+
+    memo = Memo(lambda k: k * 2, 6)
+    assert [memo[k % 17] for k in range(400)] == [2 * (k % 17) for k in range(400)]
+    assert len(memo) + len(memo.old) <= 6
+
+
 def test_bpe_of_no_rows_and_bad_bytes(spark, docs):
     assert bpe.decode(bpe.encode(docs.limit(0), BYTE), BYTE).count() == 0
     broken = spark.createDataFrame([(bytearray(struct.pack("<I", 127)),), (None,)], "token_ids binary")
