@@ -11,24 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oppweave.llm import bpe, decontamination, jaccard, quality, secrets
-from oppweave.llm.files import stored
+from oppweave.llm.files import small_batches, stored
 
 VOCABULARY = "byte_bpe_50k.json"
+KEPT_PIECES = 250_000  # workers serve all stages, so they keep less than for encoding alone
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rules or the line field reject; the field is fitted on labelled rows of ``docs``."""
+    small_batches(spark)
     field = quality.fit_lines(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(docs.select(F.struct("*").alias("row"), "text"), field).filter("kept").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, that with the smallest id."""
+    small_batches(spark)
     return jaccard.drop_near_copies(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark item stands, copied or edited."""
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     matched = decontamination.match_items(docs.select(F.struct("*").alias("row"), "text"), items)
     return matched.filter(F.size("matches") == 0).select("row.*")
@@ -36,6 +40,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mask and counts the characters of changed texts anew; no document goes."""
+    small_batches(spark)
     masked = secrets.redact(docs.withColumn("_before", F.col("text")))
     if "n_chars" in docs.columns:
         changed = ~F.col("text").eqNullSafe(F.col("_before"))
@@ -47,8 +52,9 @@ def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the ids of the whole text, their number, and whether they decode to the text again."""
+    small_batches(spark)
     path = public_tokenizers.path(VOCABULARY)
-    coded = bpe.round_trip(docs, path, decoded="_decoded")
+    coded = bpe.round_trip(docs, path, decoded="_decoded", kept=KEPT_PIECES)
     return coded.select(
         *[c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip")],
         "token_ids",

@@ -35,6 +35,10 @@ class Encoder:
             known = i not in vocabulary.special.values() and all(c in alphabet for c in s)
             self._bytes[i] = bytes(map(alphabet.__getitem__, s)) if known else s.encode()
 
+    def keep(self, pieces: int) -> None:
+        """Remember at most so many pieces from now on."""
+        self._pieces.half = pieces // 2
+
     def _encode_word(self, word: str) -> bytes:
         return b"".join(map(self._packed.__getitem__, self.vocabulary.encoded(word)))
 
@@ -105,15 +109,19 @@ def decode(rows: DataFrame, path: str, ids: str = "token_ids", text: str = "deco
 
 
 def round_trip(
-    docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded"
+    docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", kept: int = KEPT
 ) -> DataFrame:
-    """:func:`encode` and :func:`decode` in one function, so that a task keeps one worker and its remembered pieces."""
+    """:func:`encode` and :func:`decode` in one function, so that a task keeps one worker and its remembered pieces.
+
+    A worker lives on after the job with up to ``kept`` pieces (about 250 bytes each); a smaller number costs time.
+    """
     shared = share(docs.sparkSession, path)
     form = pa.struct([("ids", pa.binary()), ("text", pa.string())])
 
     @F.arrow_udf("struct<ids:binary,text:string>")
     def run(texts: pa.Array) -> pa.Array:
         encoder = load(Encoder, shared.value)
+        encoder.keep(kept)
         coded = [encoder.encode(t or "") for t in texts.to_pylist()]
         arrays = [pa.array(coded, pa.binary()), pa.array(map(encoder.decode, coded), pa.string())]
         return pa.StructArray.from_arrays(arrays, fields=list(form))

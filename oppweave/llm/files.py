@@ -29,6 +29,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/oppweave-{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bound what a task and its worker hold of the input at once, where the session has not been set otherwise.
+
+    Spark's own bounds, 10,000 rows and 64 MB, are held by the executor and again, as objects, by the worker.
+    """
+    for name, usual, wanted in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size),
+    ):
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, wanted)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
