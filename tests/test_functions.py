@@ -107,7 +107,7 @@ def test_full_rank_equals_plain_window(spark, parts):
     # One key holds most rows, and many scores tie.
     rows = [(0 if rnd.random() < 0.8 else rnd.randint(1, 4), i, float(rnd.randint(0, 5))) for i in range(500)]
     df = spark.createDataFrame(rows, "k int, ord int, s double").repartition(parts)
-    got = full_rank(df, ["k"], [F.col("s").desc(), F.col("ord")], "r", [-F.col("s"), F.floor(F.col("ord") / 50)])
+    got = full_rank(df, ["k"], [F.col("s").desc(), F.col("ord")], "r")
     want = {}
     for k in range(5):
         for r, x in enumerate(sorted((x for x in rows if x[0] == k), key=lambda x: (-x[2], x[1])), 1):
