@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .words import Words, text_blocks, word_blocks
 
 SEED = 3  # words of a seed
-RARE = 20  # a seed is rare if it is in at most so many times the documents that the item's lower quartile is in
 ITEM_BLOCK = 4 << 20  # bytes of benchmark texts that are held against the documents at once
 MATCH, CLOSE, MISMATCH, GAP = 2.0, 1.0, -1.0, -1.0
+WIDTH = 64  # bytes of words that are compared many at once
+TABLE = 1 << 22  # bytes that are compared at once
 MIN_SCORE = 0.5  # share of the best possible score of an item
 
 MATCHES = "array<struct<item_id:long,score:double,start:long,end:long>>"
@@ -48,9 +49,6 @@ class Items:
         place = np.concatenate(place) if place else np.zeros(0, dtype=np.int64)
         return cls([i for i, _ in rows], words, value[order], owner[order], place[order])
 
-    def only(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.seeds[keep], self.owner[keep], self.place[keep])
-
 
 def _lowered(text: bytes) -> bytes:
     return text.lower()  # of bytes: A to Z only
@@ -76,43 +74,6 @@ class Probe:
         return at[found], place[found]
 
 
-def seed_counts(docs: DataFrame, items: Items, text: str = "text") -> dict[int, int]:
-    """In how many documents each seed of a block of items stands; at most a number per seed is gathered."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.unique(items.seeds))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
-        probe, total = Probe(seeds), np.zeros(len(seeds), dtype=np.int64)
-        for batch in batches:
-            for _, _, words in word_blocks(batch.column(0), lower=True):
-                at, place = probe.hits(words)
-                both = np.unique(words.doc[at] * len(seeds) + place)
-                total += np.bincount(both % len(seeds), minlength=len(seeds))
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seeds[there].view(np.int64)), pa.array(total[there])], names=["seed", "n"]
-        )
-
-    if not len(items.seeds):
-        return {}
-    parts = docs.select(F.col(text).cast("string")).mapInArrow(count, "seed long, n long")
-    return {r["seed"]: r["n"] for r in parts.groupBy("seed").agg(F.sum("n").alias("n")).collect()}
-
-
-def rare_seeds(items: Items, counts: dict[int, int]) -> Items:
-    """Drop the seeds that are far more common than the item's rarer ones.
-
-    The bar follows the item, so an item that itself stands in many documents keeps its seeds.
-    """
-    n = np.array([counts.get(int(s), 0) for s in items.seeds.view(np.int64)], dtype=np.int64)
-    keep = np.zeros(len(n), dtype=bool)
-    for k in range(len(items.ids)):
-        own = items.owner == k
-        if own.any():
-            keep |= own & (n <= RARE * max(1, np.percentile(n[own], 25)))
-    return items.only(keep)
-
-
 # ------------------------------------------------------------------ alignment
 
 
@@ -134,26 +95,57 @@ def _close(a: bytes, b: bytes) -> bool:
     return (start + end) * 3 >= size * 2
 
 
-def align(passage: list[bytes], item: list[bytes]) -> tuple[float, int]:
+def _close_table(item: list[bytes], passage: list[bytes]) -> np.ndarray:
+    """:func:`_close` of all pairs of a word of the item and one of the passage."""
+    sizes, lengths = np.array([len(w) for w in item]), np.array([len(w) for w in passage])
+    longer, shorter = np.maximum.outer(sizes, lengths), np.minimum.outer(sizes, lengths)
+    near = shorter * 3 >= longer * 2
+    wide = near & (longer > WIDTH)
+    width = min(WIDTH, int(sizes.max()) * 3 // 2)
+
+    def letters(words: list[bytes], step: int) -> np.ndarray:
+        return np.array([w[::step][:width] for w in words], dtype=f"S{width}").view(np.uint8).reshape(len(words), width)
+
+    def common(step: int, a: int, b: int) -> np.ndarray:
+        same = np.zeros((b - a, len(passage), width + 1), dtype=bool)
+        np.equal(letters(item[a:b], step)[:, None], letters(passage, step), out=same[:, :, :width])
+        return np.minimum(same.argmin(axis=2), shorter[a:b])
+
+    rows = max(1, TABLE // (len(passage) * (width + 1)))
+    for a in range(0, len(item), rows):
+        b = min(len(item), a + rows)
+        start = common(1, a, b)
+        end = np.minimum(common(-1, a, b), shorter[a:b] - start)
+        near[a:b] &= (start + end) * 3 >= longer[a:b] * 2
+    for i, j in zip(*np.nonzero(wide)):
+        near[i, j] = _close(item[i], passage[j])
+    return near
+
+
+def align(passage: list[bytes], item: list[bytes], least: float = 0.0) -> tuple[float, int]:
     """Smith-Waterman local alignment of words: best score as a share of the item's full score, and where it ends.
 
     One row of the table per word of the item. Gaps in the passage's direction cost the same each, so
-    they come from a running maximum.
+    they come from a running maximum. The score is 0 if the best fits of the item's words, in any order,
+    add up to less than ``least``, as no alignment can have more.
     """
     n = len(passage)
     if not n or not item:
         return 0.0, 0
-    rows: dict[bytes, np.ndarray] = {}
-    distinct = list(dict.fromkeys(passage))
-    place = {w: k for k, w in enumerate(distinct)}
+    distinct, wanted = list(dict.fromkeys(passage)), list(dict.fromkeys(item))
+    place, row = {w: k for k, w in enumerate(distinct)}, {w: k for k, w in enumerate(wanted)}
+    table = np.where(_close_table(wanted, distinct), CLOSE, MISMATCH).astype(np.float32)
+    for w in wanted:
+        if w in place:
+            table[row[w], place[w]] = MATCH
+    lines = [row[w] for w in item]
+    if float(np.maximum(table.max(axis=1), 0)[lines].sum()) / (MATCH * len(item)) < least:
+        return 0.0, 0
     of = np.array([place[w] for w in passage])
     slope = np.arange(1, n + 1) * -GAP
     before, best, end = np.zeros(n + 1), 0.0, 0
-    for word in item:
-        fits = rows.get(word)
-        if fits is None:
-            fits = np.array([MATCH if w == word else CLOSE if _close(w, word) else MISMATCH for w in distinct])[of]
-            rows[word] = fits
+    for line in lines:
+        fits = table[line][of]
         down = np.maximum(np.maximum(before[:-1] + fits, before[1:] + GAP), 0)
         across = np.maximum.accumulate(down + slope) - slope
         before[1:] = np.maximum(down, across)
@@ -203,7 +195,7 @@ class Matcher:
             low = max(first, first + int(begin[a]) - slack)
             high = min(end, first + int(begin[b - 1]) + size + slack)
             passage = [_lowered(text[words.start[i] : words.end[i]]) for i in range(low, high)]
-            score, stop = align(passage, item)
+            score, stop = align(passage, item, min_score)
             if score >= min_score and (best is None or score > best["score"]):
                 best = {"item_id": self.items.ids[k], "score": score, "start": low - first, "end": low - first + stop}
         return best
@@ -233,9 +225,9 @@ def match_items(
 ) -> DataFrame:
     """``docs`` with the benchmark items that stand in each whole text: item_id, score, first and last word.
 
-    Two passes over the texts for each block of items: the first counts, over all documents, in how many each
-    three-word seed of the items stands; the second looks up the rare seeds, cuts out the passage around them and
-    aligns it with the item. The score is the best alignment's as a share of the item's full score, of the best
+    One pass over the texts for each block of items looks up the three-word seeds of the items, cuts out the passage around
+    them and aligns it with the item. Every text with a seed is aligned, however many texts hold that seed; only
+    those are skipped whose words cannot add up to ``min_score``. The score is the best alignment's as a share of the item's full score, of the best
     passage; one entry per text and item. Items travel to the tasks in blocks of ``ITEM_BLOCK`` bytes, so a
     benchmark of any size takes more passes, not more memory. Null texts, and items with fewer than three words, match
     nothing. Other columns pass through, a column named ``matches`` is replaced; rows are not moved.
@@ -243,7 +235,6 @@ def match_items(
     parts = []
     for number, rows in enumerate(item_blocks(items)):
         block = Items.of(rows)
-        block = rare_seeds(block, seed_counts(docs, block, text))
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         parts.append((f"_matches{number}", _lookup(shared, min_score)(F.col(text).cast("string"))))

@@ -288,6 +288,29 @@ def test_an_item_in_very_many_documents_is_still_found(spark):
     assert all(len(r["matches"]) == 1 for r in decontamination.match_items(docs, items).collect())
 
 
+def test_edited_copies_in_very_many_documents_are_found(spark):
+    """Five edited words break 15 of 38 seeds; the last item keeps one seed of ten."""
+    words = [f"word{k}" for k in range(40)]
+    short = [f"alphabet{k}" for k in range(12)]
+    edited = ["other" if k % 8 == 3 else w for k, w in enumerate(words)]
+    typos = [w if k in (3, 4, 5) else w + "x" for k, w in enumerate(short)]
+    texts = [f"start{k} {' '.join(v)} end{k}" for v in (edited, typos) for k in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(short))], "item_id long, text string")
+    got = Counter(m["item_id"] for r in decontamination.match_items(docs, items).collect() for m in r["matches"])
+    assert got == {1: 500, 2: 500}
+
+
+def test_close_words_of_many_pairs_at_once():
+    rng = random.Random(9)
+    words = sorted({bytes(rng.choices(b"ab\x00", k=rng.choice([1, 2, 3, 4, 5, 6, 9, 64, 70, 95]))) for _ in range(150)} | {b"a" * 70, b"a" * 63 + b"b" * 9})
+    got = decontamination._close_table(words[::2], words)
+    assert got.tolist() == [[decontamination._close(b, a) for b in words] for a in words[::2]]
+    passage, item = rng.choices(words, k=60), rng.choices(words, k=20)
+    score, end = decontamination.align(passage, item)
+    assert decontamination.align(passage, item, score) == (score, end)
+
+
 def test_no_rows_or_items(leaks):
     docs, items = leaks
     assert decontamination.match_items(docs.limit(0), items).count() == 0
