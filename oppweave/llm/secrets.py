@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -23,9 +25,11 @@ ASSIGN_LEAST = 6
 STEMS = ("pass", "pwd", "pin", "secret", "token", "key", "credential", "auth", "bearer", "login")
 CONTEXT = re.compile(
     r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|(?:client[ _-]?)?secret|token|(?:api|access|private|secret)[ _-]?key"""
-    r"""|credentials?|auth(?:orization)?|bearer|login)["']?\s{0,4}(?:[:=]>?|\bis\b|\s)\s{0,4}["']?([^\s"'<>,;]{6,})""",
+    r"""|credentials?|auth(?:orization)?|bearer|login)["']?\s{0,4}(?:[:=]>?|\bis\b|\s)\s{0,4}["']?(?=[^\s"'<>,;]{6})""",
     re.I | re.A,
 )
+VALUE = re.compile(r"""[^\s"'<>,;]+""", re.A)  # follows a context
+TRAILING = ".,;:!?)]}*#&%$"
 
 # Words and keyboard rows that guessers try first, the most common first.
 COMMON = (
@@ -141,7 +145,8 @@ def find(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, int, str]]:
 
     ``assign``, ``access`` and ``hex`` are the leftmost matches, of each kind apart, of the
     fixed patterns. ``guess`` are values in credential contexts whose guess cost is
-    ``min_bits`` or more and that no base span meets.
+    ``min_bits`` or more and that no base span meets. A value may be or hold a context word
+    and opens a context of its own then; within a guess span there is no other.
     """
     spans = [(*m.span(), "hex") for m in HEX.finditer(text)]
     if "AKIA" in text:
@@ -150,15 +155,26 @@ def find(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, int, str]]:
     if any(s in low for s in STEMS):
         spans += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
         taken = sorted(spans)
+        starts, reach = [a for a, _, _ in taken], list(accumulate((b for _, b, _ in taken), max))
+        run = tail = guessed = 0
+        soft = None  # the last value that is no secret: its start, its run and whether it is assigned
         for m in CONTEXT.finditer(text):
-            start = m.start(1)
-            value = m[1].rstrip(".,;:!?)]}*#&%$") if m[1][-1:] in ".,;:!?)]}*#&%$" else m[1]
-            end = start + len(value)
-            if len(value) < ASSIGN_LEAST or any(a < end and start < b for a, b, _ in taken):
+            start = m.end()
+            if start >= run:
+                run = tail = VALUE.match(text, start).end()
+                while tail > start and text[tail - 1] in TRAILING:
+                    tail -= 1
+            met = bisect_left(starts, tail)
+            if tail - start < ASSIGN_LEAST or start < guessed or (met and reach[met - 1] > start):
                 continue
             assigned = any(c in ":=" for c in text[m.start() : start])
-            if _hard(value, assigned, min_bits):
-                spans.append((start, end, "guess"))
+            # A value that only repeats the start of a weak one has a repeat less and is weak, too.
+            again = soft and soft[1] == run and soft[2] >= assigned and text.startswith(text[soft[0] : start], start)
+            if not again and _hard(text[start:tail], assigned, min_bits):
+                spans.append((start, tail, "guess"))
+                guessed = tail
+            else:
+                soft = start, run, assigned
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

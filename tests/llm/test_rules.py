@@ -110,6 +110,38 @@ def test_guesses_only_in_credential_contexts_and_masks(spark):
     assert got == {1: "a pwd: [secret]. b", 2: None, 3: "", 4: "[secret]"}
 
 
+def test_a_context_word_as_value_opens_a_context(spark):
+    hard = "Xk29vTq7Zp"
+    texts = [
+        f"Authorization: Bearer {hard}", f"login password is {hard}", f"secret credentials {hard}", f"secret token: {hard}",
+        f"client secret password login {hard}", f"token: Bearer {hard}", f'"auth": "Bearer {hard}"', f"password login:{hard}",
+    ]
+    for t in texts:
+        assert any(a <= t.index(hard) and t.index(hard) + len(hard) <= b for a, b, _ in secrets.find(t)), t
+    docs = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    assert secrets.redact(docs).first()["text"] == "Authorization: Bearer [secret]"
+    assert secrets.find("the login password is secret credentials and bearer") == []
+
+
+def test_contexts_in_values_equal_a_search_from_each_value_on():
+    rng = random.Random(5)
+    context = re.compile(secrets.CONTEXT.pattern.replace("(?=[", "([").replace("{6})", "{6,})"), re.I | re.A)
+    parts = ["login", "password", "pwd", "Bearer", "token", "secret", "is", "Xk29vTq7Zp", "abc", "q7Zp!", "2020"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice([" ", ": ", "=", ":", "-", ". ", ' "', ", "]) for _ in range(9))
+        base = [(*m.span(), "assign") for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 6]
+        want, m = [], context.search(text)
+        while m:
+            value, start = m[1].rstrip(secrets.TRAILING), m.start(1)
+            end, assigned = start + len(value), any(c in ":=" for c in text[m.start() : start])
+            if len(value) >= 6 and not any(a < end and start < b for a, b, _ in base + want):
+                if secrets._hard(value, assigned, secrets.MIN_BITS):
+                    want.append((start, end, "guess"))
+            m = context.search(text, m.start(1))
+        assert [s for s in secrets.find(text) if s[2] == "guess"] == want, text
+    assert len(secrets.find("login:" * 20_000 + " token:" + "token:" * 20_000)) < 20_010
+
+
 # ------------------------------------------------------------------ quality
 
 
