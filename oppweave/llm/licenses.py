@@ -16,6 +16,23 @@ MIN_CONTAINMENT = 0.8
 BITS = 1 << 16  # of the table of template shingles
 SEED = 77
 
+SLICE = 1024  # shingles of a text whose notices are held against each other at once
+
+# Parts of the BSD licenses. The opening alone does not tell which of them it is.
+BSD_OPENING = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met"
+)
+BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission.",
+)
+BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+
 # Notices and the licenses that they name.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -45,11 +62,7 @@ TEMPLATES = (
         "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
         "later version.",
     ),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met",
-    ),
+    ("BSD", BSD_OPENING),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
@@ -64,6 +77,34 @@ TEMPLATES = (
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version.",
+    ),
+    (
+        "LGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version.",
+    ),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version.",
+    ),
+    (
+        "LGPL-2.0-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) "
+        "any later version.",
+    ),
+    ("BSD-2-Clause", " ".join((BSD_OPENING, *BSD_CLAUSES[:2], BSD_END))),
+    ("BSD-2-Clause", " ".join((BSD_OPENING, "1.", BSD_CLAUSES[0], "2.", BSD_CLAUSES[1], BSD_END))),
+    ("BSD-3-Clause", " ".join((BSD_OPENING, *BSD_CLAUSES, BSD_END))),
+    ("BSD-3-Clause", " ".join((BSD_OPENING, "1.", BSD_CLAUSES[0], "2.", BSD_CLAUSES[1], "3.", BSD_CLAUSES[2], BSD_END))),
 )
 
 
@@ -110,6 +151,7 @@ def find_licenses(
     text: str = "text",
     rows: tuple[tuple[str, str], ...] = TEMPLATES,
     min_containment: float = MIN_CONTAINMENT,
+    own_only: bool = False,
 ) -> DataFrame:
     """License notices in whole texts: ``key, license, containment, first_word``, a row per key and license.
 
@@ -120,6 +162,9 @@ def find_licenses(
     shingle of both sides. They are left out before any signature is worked out, by a table of bits. What the bands
     retrieve is checked exactly: the share of the template's shingles that stand in the window.
 
+    Licenses whose notices share most of their words match each other's. With ``own_only`` a match goes if another
+    license's match holds every place of it and more shingles, see :func:`own_matches`.
+
     The templates are a fixed list given by the caller, so their table is broadcast. Nulls, and texts or templates of
     fewer than five words, have no shingles and give no rows. Rows with equal keys are one key. Columns of
     ``docs`` other than key and text are not read.
@@ -195,12 +240,41 @@ def find_licenses(
     own = F.filter(
         F.transform("_in", lambda v, i: F.when(F.array_contains("t_shingles", v), i)), lambda i: i.isNotNull()
     )
-    best = F.struct("containment", (-(F.col("start") + F.array_min(own))).alias("place"))
+    matches = checked.filter(F.col("containment") >= min_containment).select(
+        "_key", "license", "containment", F.transform(own, lambda i: F.col("start") + i).alias("places"),
+        F.size(F.array_intersect("t_shingles", "_in")).alias("shared"),
+    )
+    if own_only:
+        matches = own_matches(matches)
+    best = F.struct("containment", (-F.array_min("places")).alias("place"))
     return (
-        checked.filter(F.col("containment") >= min_containment)
-        .groupBy("_key", "license")
+        matches.groupBy("_key", "license")
         .agg(F.max(best).alias("best"))
         .select(
             F.col("_key").alias(key), "license", "best.containment", (-F.col("best.place")).cast("int").alias("first_word")
         )
     )
+
+
+def own_matches(matches: DataFrame) -> DataFrame:
+    """Drop matches that another license's match explains: it holds all their places in the text, and more shingles.
+
+    Two notices next to each other both stay, as each has places that the other has not; so do equally good matches.
+    A match is judged in the slice of its first place, where every match that holds this place is, too.
+    """
+    first, last = F.array_min("places"), F.array_max("places")
+    one = F.struct("license", "containment", "places", "shared", F.floor(first / SLICE).alias("home"))
+    spread = matches.select(
+        "_key", one.alias("m"), F.explode(F.sequence(F.floor(first / SLICE), F.floor(last / SLICE))).alias("slice")
+    )
+    grouped = spread.groupBy("_key", "slice").agg(F.collect_list("m").alias("all"))
+
+    def explained(x: Column) -> Column:
+        return F.exists(
+            "all",
+            lambda y: (y.license != x.license) & (y.shared > x.shared) & (F.size(F.array_except(x.places, y.places)) == 0),
+        )
+
+    return grouped.select(
+        "_key", F.inline(F.filter("all", lambda x: (x.home == F.col("slice")) & ~explained(x)))
+    )

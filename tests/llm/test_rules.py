@@ -254,6 +254,35 @@ def test_license_query_equals_all_windows(spark):
     assert got == {(k, n) for k, t in texts.items() for n in containments(t, licenses.TEMPLATES)}
 
 
+def test_similar_notices_have_their_own_license(spark):
+    by = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU{} General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    gpl2, gpl3 = by.format(";", "", ";", 2), by.format(":", "", ",", 3)
+    agpl, lgpl3 = by.format(":", " Affero", ",", 3), by.format(":", " Lesser", ",", 3)
+    lgpl21 = by.format(";", " Lesser", ";", "2.1").replace("program", "library")
+    lgpl2 = by.format(";", " Library", ";", 2).replace("program", "library")
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+        "{}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+        "{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+        "{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+    )
+    third = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    cases = [
+        (gpl2, "GPL-2.0-or-later"), (gpl3, "GPL-3.0-or-later"), (agpl, "AGPL-3.0-or-later"), (lgpl3, "LGPL-3.0-or-later"),
+        (lgpl21, "LGPL-2.1-or-later"), (lgpl2, "LGPL-2.0-or-later"), (bsd.format("1. ", "2. ", ""), "BSD-2-Clause"),
+        (bsd.format("* ", "* ", ""), "BSD-2-Clause"), (bsd.format("1. ", "2. ", "3. " + third.format("Google Inc.")), "BSD-3-Clause"),
+        (bsd.format("- ", "- ", "- " + third.format("the copyright holder")), "BSD-3-Clause"), (bsd[:143], "BSD"),
+    ]
+    texts = [("filler " * (700 + 31 * k) + t + " more" * 60, {n}) for k, (t, n) in enumerate(cases)]
+    texts += [(f"{a} {b}", {m, n}) for (a, m), (b, n) in zip(cases[:6], cases[1:6] + cases[:1])]
+    texts.append(("word " * 990 + "\n".join(t + " x" * 90 for t, _ in cases[:10]), {n for _, n in cases[:10]}))
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for r in licenses.find_licenses(docs, own_only=True).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {k: n for k, (_, n) in enumerate(texts)}
+
+
 # ------------------------------------------------------------------ decontamination
 
 
