@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .words import Words, text_blocks, word_blocks
 
-SEED = 3  # words of a seed
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 1, 4), (0, 2, 3), (0, 2, 4), (0, 3, 4))  # places of a seed's words: any three of five
 ITEM_BLOCK = 4 << 20  # bytes of benchmark texts that are held against the documents at once
 MATCH, CLOSE, MISMATCH, GAP = 2.0, 1.0, -1.0, -1.0
 WIDTH = 64  # bytes of words that are compared many at once
@@ -38,10 +38,11 @@ class Items:
         words, seeds, owner, place = [], [], [], []
         for k, (_, text) in enumerate(rows):
             for _, _, w in word_blocks(pa.array([text]), lower=True):
-                value, at = w.windows(SEED)
-                seeds.append(value)
-                owner.append(np.full(len(at), k))
-                place.append(at)
+                for shape in SHAPES:
+                    value, at = w.shaped(shape)
+                    seeds.append(value)
+                    owner.append(np.full(len(at), k))
+                    place.append(at)
             words.append(_lowered(text.encode()).split())
         value = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
         order = np.argsort(value, kind="stable")
@@ -55,7 +56,7 @@ def _lowered(text: bytes) -> bytes:
 
 
 class Probe:
-    """Finds which windows of a block of texts are seeds: a bit table first, then a binary search."""
+    """Finds which words of a block of texts begin seeds: a bit table first, then a binary search."""
 
     BITS = 20
 
@@ -65,13 +66,17 @@ class Probe:
         self._bits[(seeds & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """First words of the windows that are seeds, and the first place of each in the sorted seeds."""
-        value, at = words.windows(SEED)
-        maybe = np.flatnonzero(self._bits[(value & np.uint64((1 << self.BITS) - 1)).astype(np.int64)])
-        value, at = value[maybe], at[maybe]
-        place = np.searchsorted(self.seeds, value)
-        found = (place < len(self.seeds)) & (self.seeds[np.minimum(place, len(self.seeds) - 1)] == value)
-        return at[found], place[found]
+        """First words of the seeds in the texts, of all shapes, and the first place of each in the sorted seeds."""
+        ats, places = [], []
+        for shape in SHAPES:
+            value, at = words.shaped(shape)
+            maybe = np.flatnonzero(self._bits[(value & np.uint64((1 << self.BITS) - 1)).astype(np.int64)])
+            value, at = value[maybe], at[maybe]
+            place = np.searchsorted(self.seeds, value)
+            found = (place < len(self.seeds)) & (self.seeds[np.minimum(place, len(self.seeds) - 1)] == value)
+            ats.append(at[found])
+            places.append(place[found])
+        return np.concatenate(ats), np.concatenate(places)
 
 
 # ------------------------------------------------------------------ alignment
@@ -194,7 +199,7 @@ class Matcher:
         for a, b in zip(groups, [*groups[1:], len(begin)]):
             low = max(first, first + int(begin[a]) - slack)
             high = min(end, first + int(begin[b - 1]) + size + slack)
-            passage = [_lowered(text[words.start[i] : words.end[i]]) for i in range(low, high)]
+            passage = _lowered(text[words.start[low] : words.end[high - 1]]).split() if low < high else []
             score, stop = align(passage, item, min_score)
             if score >= min_score and (best is None or score > best["score"]):
                 best = {"item_id": self.items.ids[k], "score": score, "start": low - first, "end": low - first + stop}
@@ -225,8 +230,8 @@ def match_items(
 ) -> DataFrame:
     """``docs`` with the benchmark items that stand in each whole text: item_id, score, first and last word.
 
-    One pass over the texts for each block of items looks up the three-word seeds of the items, cuts out the passage around
-    them and aligns it with the item. Every text with a seed is aligned, however many texts hold that seed; only
+    One pass over the texts for each block of items looks up the seeds of the items, any three of five words in
+    a row, cuts out the passage around them and aligns it with the item. Every text with a seed is aligned, however many texts hold that seed; only
     those are skipped whose words cannot add up to ``min_score``. The score is the best alignment's as a share of the item's full score, of the best
     passage; one entry per text and item. Items travel to the tasks in blocks of ``ITEM_BLOCK`` bytes, so a
     benchmark of any size takes more passes, not more memory. Null texts, and items with fewer than three words, match

@@ -89,6 +89,17 @@ class Words:
         at = np.flatnonzero(self.doc[: len(self) - n + 1] == self.doc[n - 1 :])
         return self.runs(at, n), at
 
+    def shaped(self, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words at the places of a shape, counted from each word on, and that first word; all in one text."""
+        size = shape[-1] + 1
+        if len(self) < size:
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(self.doc[: len(self) - size + 1] == self.doc[size - 1 :])
+        value = np.full(len(at), np.uint64(sum(1 << k for k in shape)))
+        for k in shape:
+            value = mixed(value * np.uint64(_BASE) + self.hash[at + k])
+        return value, at
+
     def runs(self, at: np.ndarray, n: int) -> np.ndarray:
         """Hashes of the runs of ``n`` words from the given words on."""
         value = np.full(len(at), np.uint64(n))

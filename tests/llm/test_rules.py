@@ -362,6 +362,17 @@ def test_edited_copies_in_very_many_documents_are_found(spark):
     assert got == {1: 500, 2: 500}
 
 
+def test_copies_without_three_equal_words_in_a_row_are_found(spark):
+    words = [f"alphabet{k}" for k in range(30)]
+    edits = [
+        [w + "x" if k % 3 == 2 else w for k, w in enumerate(words)], [w + "x" if k % 2 else w for k, w in enumerate(words)],
+        [w + "x" if k % 4 > 1 else w for k, w in enumerate(words)], ["other" if k % 3 == 2 else w for k, w in enumerate(words)],
+    ]
+    docs = spark.createDataFrame([(k, "some text " + " ".join(v) + " more") for k, v in enumerate(edits)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert [len(r["matches"]) for r in decontamination.match_items(docs, items).orderBy("doc_id").collect()] == [1] * 4
+
+
 def test_close_words_of_many_pairs_at_once():
     rng = random.Random(9)
     words = sorted({bytes(rng.choices(b"ab\x00", k=rng.choice([1, 2, 3, 4, 5, 6, 9, 64, 70, 95]))) for _ in range(150)} | {b"a" * 70, b"a" * 63 + b"b" * 9})
