@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, licenses, quality, secrets, sharding, token_counts, token_files, wacz
+from . import bpe, decontamination, jaccard, licenses, quality, secrets, sharding, spelling, token_counts, token_files, wacz
 from .registry import query, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -134,3 +134,74 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents, each by its own license."""
     return licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), own_only=True)
+
+
+DAMAGE = 97
+
+#: CRC-32 by bytes, as DuckDB has no function for it; words with all one-deletion strings, joined on these.
+SPELLING_SQL = """
+with recursive step(b, k, c) as (
+    select b::uinteger, 0, b::uinteger from range(256) t(b)
+    union all
+    select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::uinteger) else c >> 1 end from step where k < 8
+),
+tab as (select list(c order by b) as t from step where k = 8),
+runs as (
+    select doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) as run
+    from documents where text is not null
+),
+distinct_runs as (select doc_id, run, count(*) as n from runs group by all),
+coded as (
+    select run, n, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from distinct_runs
+),
+bytes as (
+    select run, n,
+        list_prepend(4294967295::uinteger, list_transform(range(0, length(x) // 2),
+            lambda i: (strpos('0123456789ABCDEF', x[2 * i + 1]) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 17)::uinteger))
+            as b
+    from coded
+),
+hashed as (
+    select run, n, xor(list_reduce(b, lambda c, v: xor(c >> 8, t[xor(c & 255, v)::bigint + 1])), 4294967295::uinteger)::bigint as h
+    from bytes, tab
+),
+given as (
+    select case when h % 97 = 0 then run[: (h % length(run))] || run[(h % length(run)) + 2 :] else run end as word, n from hashed
+),
+words as (
+    select word, sum(n)::bigint as n from given where length(word) >= 5 group by word having sum(n) >= 3
+),
+holes as (
+    select word, n, length(word) as len, k, word[: k - 1] || word[k + 1 :] as hole
+    from words, unnest(range(1, length(word) + 1)) as r(k)
+),
+near as (
+    select a.word as a, b.word as b from holes a join holes b on a.hole = b.hole and a.k = b.k and a.len = b.len and a.word <> b.word
+    union select a.word, b.word from holes a join words b on a.hole = b.word
+    union select b.word, a.word from holes a join words b on a.hole = b.word
+),
+best as (
+    select a as word, count(*) as n_near, max(w.n) as top_n, arg_min(b, (-w.n, b)) as top
+    from near join words w on w.word = near.b group by a
+),
+formed as (
+    select words.word, words.n, coalesce(n_near, 0) as n_near,
+        case when top_n >= 2 * words.n then top end as form, case when top_n >= 2 * words.n then top_n end as form_n
+    from words left join best using (word)
+),
+chain(word, here) as (
+    select word, word from formed
+    union all
+    select chain.word, formed.form from chain join formed on formed.word = chain.here where formed.form is not null
+),
+ends as (select chain.word, chain.here as root from chain join formed on formed.word = chain.here where formed.form is null)
+select formed.word, form, root, n, n_near, form_n from formed join ends using (word)
+"""
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their neighbours by one code point, and the forms they vary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variant_groups(spelling.count_words(docs, damage=DAMAGE))
