@@ -207,7 +207,7 @@ def fit_lines(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) ->
 # ------------------------------------------------------------------ the rules over documents
 
 
-def _repeated(words, rows: int) -> np.ndarray:
+def repeated_words(words, rows: int) -> np.ndarray:
     """Words of each text that stand in a window found twice or more in the text."""
     value, at = words.windows(WINDOW)
     out = np.zeros(rows, dtype=np.int64)
@@ -272,7 +272,7 @@ def judge(docs: DataFrame, field: LineField, text: str = "text", min_content: fl
         for row, end, words in word_blocks(texts):
             rows = end - row
             n_words = np.diff(words.first)
-            repeats = _repeated(words, rows)
+            repeats = repeated_words(words, rows)
             block = [t or "" for t in texts.slice(row, rows).to_pylist()]
             inked = [len(t) - sum(map(t.count, BLANKS)) for t in block]
             symbols = [sum(map(t.count, SYMBOLS)) for t in block]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard, licenses, quality, secrets, sharding, spelling, token_counts, token_files, wacz
+from . import bpe, classifier, decontamination, jaccard, licenses, negatives, quality, secrets, sharding, spelling, token_counts, token_files, wacz
 from .registry import query, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -205,3 +205,55 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, their neighbours by one code point, and the forms they vary."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spelling.variant_groups(spelling.count_words(docs, damage=DAMAGE))
+
+
+FOLDS = 5  # rows of the first fold are held out of the fit
+GOOD = 0.3
+
+
+@query("op12_quality_classifier")
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by trees that never saw the labels of the held-out ones."""
+
+    def held_out():
+        return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(True))
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = classifier.fit_trees(docs.filter(~held_out()), labels.filter(~held_out()))
+    return classifier.with_scores(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
+    )
+
+
+NEGATIVES_SQL = """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as q
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scores as (
+    select a.vec_id as a, b.vec_id as b, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as s
+    from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+),
+positives as (
+    select a, b as p, s as ps from scores where same qualify row_number() over (partition by a order by s desc, b) <= 5
+),
+found as (
+    select positives.a as anchor_id, p as positive_id, b as negative_id, ps as positive_score, s as negative_score,
+        row_number() over (partition by positives.a, p order by s desc, b)::int as rank
+    from positives join scores on scores.a = positives.a and not same and 80 * ps <= 100 * s and s <= ps
+)
+select * from found where rank <= 5
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives just below the positives of every hundredth vector; every seventh vector's label is shifted."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.scaled(rows.withColumn("label", shifted), 256.0)
+    return negatives.hard_negatives(vectors, F.col("id") % 100 == 0)
