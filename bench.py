@@ -9,7 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from oppweave.session import local_session  # noqa: E402
+from oppweave.session import SPLITS, local_session  # noqa: E402
 from oppweave.workloads import load  # noqa: E402
 from oppweave.workloads.registry import QUERIES  # noqa: E402
 
@@ -29,7 +29,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     load()
-    spark = local_session("bench", cpus, partitions=int(cpus) if cpus.isdigit() else 8)
+    n = int(cpus) if cpus.isdigit() else 8
+    spark = local_session("bench", cpus, partitions=n)
+    spark.conf.set(SPLITS, str(n))
     spark.read.parquet(f"{sf_dir}/nation.parquet").count()  # start the workers
     times = {}
     for name in names:

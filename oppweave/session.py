@@ -45,10 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Let adaptive execution deal rows into even partitions before costly per-row work.
+#: Session setting of benchmarks: partitions for test tables whose files are one row group each.
+SPLITS = "spark.oppweave.testTableSplits"
 
-    For inputs whose files cannot be split, such as a file of one row group. The plan is the same for every size;
-    inputs of many splits need no such step.
+
+def split_rows(df: DataFrame) -> DataFrame:
+    """Deal the rows of a test table to as many partitions as the session says; without the setting the scan's own stay.
+
+    Tables of many files or row groups are split by the scan, and moving their texts would only cost.
     """
-    return df.hint("rebalance")
+    n = int(df.sparkSession.conf.get(SPLITS, "0"))
+    return df.repartition(n) if n else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import split_rows
 
 
 # Tables whose rows cost much work each.
@@ -14,7 +14,7 @@ WIDE = {"pages", "documents"}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in WIDE else df
+    return split_rows(df) if name in WIDE else df
 
 
 # Offer rules derived from part types: (type, majors, minimum GPA).
@@ -246,7 +246,7 @@ def _fill(template: str):
 
 def offer_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Web pages written from the rows of ``part``."""
-    p = spread(table(spark, sf, "part")).withColumn("kind", F.col("p_size") % 10)
+    p = split_rows(table(spark, sf, "part")).withColumn("kind", F.col("p_size") % 10)
     slug = F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))
     url = F.lit(None).cast("string")
     body = F.lit(None).cast("string")
