@@ -130,11 +130,10 @@ def _path(level: int) -> Column:
 def one_edit_pairs(words: DataFrame) -> DataFrame:
     """``a, b``: words (column word, distinct) that differ by one inserted, deleted or replaced code point.
 
-    Both orders of each pair. Words of fewer than two code points are not searched for neighbours.
+    Both orders of each pair.
     """
     both = words.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "word")
     sided = both.select("side", F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")).alias("t"))
-    sided = sided.filter(F.char_length("t") > 1)
     half = F.floor(F.char_length("t") / 2).cast("int")
     searching = sided.withColumn("h", half)
     # A word of odd length is also found from words that are one code point longer, whose half is longer.
