@@ -92,3 +92,11 @@ def task_file(folder: str, suffix: str, part: int = 0) -> str:
 
     task = TaskContext.get()
     return f"{folder}/{task.partitionId():06d}-{part:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex}{suffix}"
+
+
+def by_file(files: DataFrame, name: str) -> DataFrame:
+    """A table of files, read by as many tasks as it has rows.
+
+    The number is given, so that adaptive execution does not merge a table of few bytes into one partition.
+    """
+    return files.repartitionByRange(max(1, files.count()), name)

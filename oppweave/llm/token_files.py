@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .files import Ranges, create, shared_folder, stored, task_file
+from .files import Ranges, by_file, create, shared_folder, stored, task_file
 from .vocabulary import MARKS, Memo, Vocabulary, load, plain_word, share
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME = 1 << 18  # raw bytes of a frame
+FILE_BYTES, FILE_DOCUMENTS = 1 << 28, 1 << 20  # of ids and documents, at which a file is closed and a new one begun
 KEPT = 800_000  # pieces whose ids a worker remembers
 BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _TABLE = struct.Struct("<QQI")  # documents, raw bytes of all ids, bytes of an id
@@ -39,17 +40,21 @@ class Writer:
 
         self._out, self._width = out, id_bytes
         self._press = zstandard.ZstdCompressor(level=3, write_checksum=False)
-        self._raw, self._frames, self._written = bytearray(), [], 0
-        self._keys, self._lengths = [], []
+        self._raw, self._frames = bytearray(), []
+        self._keys, self._lengths, self.size = [], [], 0
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
         self._raw += ids.astype(f"<u{self._width}").tobytes()
+        self.size += len(ids) * self._width
         self._keys.append(key)
         self._lengths.append(len(ids))
         while len(self._raw) >= FRAME:
             self._frame(self._raw[:FRAME])
             del self._raw[:FRAME]
 
+    def full(self) -> bool:
+        return self.size >= FILE_BYTES or len(self._keys) >= FILE_DOCUMENTS
+
     def _frame(self, raw: bytes) -> None:
         import xxhash
 
@@ -177,27 +182,25 @@ class LibraryEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._cut(t) for t in texts]
         first = self._run([t if c is None else c[0] for t, c in zip(texts, cut)])
-        get = self._pieces.get
-        found = [list(map(get, c[1:])) if c else [] for c in cut]
-        open_places = [[k for k, ids in enumerate(own) if ids is None] if None in own else () for own in found]
-        new = {c[k + 1] for c, places in zip(cut, open_places) for k in places}
-        if new:
-            self._learn(new)
-            for c, own, places in zip(cut, found, open_places):
-                for k in places:
-                    own[k] = self._pieces[c[k + 1]]
-        return [a + b"".join(own) for a, own in zip(first, found)]
-
-    def _learn(self, new: set[str]) -> None:
+        rest = [c[1:] if c else [] for c in cut]
+        self._learn(set().union(*rest))
+        known = self._pieces.__getitem__
+        return [a + b"".join(map(known, own)) for a, own in zip(first, rest)]
+
+    def _learn(self, wanted: set[str]) -> None:
+        new = wanted.difference(self._pieces)
         # At half of the limit the pieces become the old half; those in use come back from there.
         if len(self._pieces) + len(new) > KEPT // 2:
-            self._old, self._pieces = self._pieces, {}
-        known = self._pieces
-        known.update((p, ids) for p in new if (ids := self._old.get(p)) is not None)
-        new = new - known.keys()
+            self._old, self._pieces, new = self._pieces, {}, wanted
+        if not new:
+            return
+        known, old = self._pieces, self._old
+        again = [p for p in new if p in old]
+        known.update(zip(again, map(old.__getitem__, again)))
+        new = new.difference(known)
         # Marks after a word are a word of their own, so the word's ids serve with and without them.
         heads = {p: h for p in new if (h := p.rstrip(MARKS)) != p and plain_word(h) is not None} if self._alone else {}
-        plain = list(new.difference(heads).union(heads.values()) - known.keys())
+        plain = list(new.difference(heads).union(heads.values()).difference(known))
         known.update(zip(plain, self._run_pieces(plain), strict=True))
         known.update((p, known[h] + self._marks[p[len(h) :]]) for p, h in heads.items())
 
@@ -207,7 +210,8 @@ def write_token_files(
 ) -> DataFrame:
     """Encode whole texts with the library and write their ids in ascending order of ``key``; return the files.
 
-    Each document's ids are followed by ``end_id``. Files hold ranges of keys that do not overlap; the table
+    Each document's ids are followed by ``end_id``. Files hold ranges of keys that do not overlap, and end at
+    ``FILE_BYTES`` of ids or ``FILE_DOCUMENTS``; the table
     returned is written and has a row per file: ``file, n_docs, n_tokens, start`` (ids in all files before it).
     Null keys come first, rows of one key in the order of their texts' hashes; null texts are empty. The range
     is taken over key and hash, so one key with many rows is split as well.
@@ -216,31 +220,38 @@ def write_token_files(
     shared = share(spark, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = load(LibraryEncoder, shared.value), None
+        from pyspark import TaskContext
+
+        encoder, out, made = load(LibraryEncoder, shared.value), None, []
         width = 2 if encoder._library.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], dtype="<u4")
+        task = TaskContext.get().partitionId()
+
+        def close() -> None:
+            made.append((task, len(made), name, *out.close()))
+
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 texts = [t or "" for t in part["t"].to_pylist()]
-                if out is None:
-                    name = task_file(folder, ".ids.zst")
-                    out = Writer(create(name), width)
                 for k, ids in zip(part["k"].to_pylist(), encoder.encode(texts)):
+                    if out is not None and out.full():
+                        close()
+                        out = None
+                    if out is None:
+                        name = task_file(folder, ".ids.zst", len(made))
+                        out = Writer(create(name), width)
                     out.add(k, np.concatenate([np.frombuffer(ids, dtype="<u4"), end]))
         if out is not None:
-            from pyspark import TaskContext
-
-            n_docs, n_tokens = out.close()
-            rows = {"part": [TaskContext.get().partitionId()], "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]}
-            yield pa.RecordBatch.from_pydict(rows)
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], names=["task", "part", "file", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     order = [F.col("k").asc_nulls_first(), F.xxhash64("t").asc()]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    files = stored(dealt.mapInArrow(write, "part long, file string, n_docs long, n_tokens long"), "files")
-    # One row per file: the running sum is over file sizes only.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = stored(dealt.mapInArrow(write, "task long, part long, file string, n_docs long, n_tokens long"), "files")
+    # One narrow row per file of up to FILE_BYTES: the running sum is over file sizes only.
+    before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)
     return files.select(
         "file", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")
     )
@@ -265,7 +276,7 @@ def read_token_files(spark: SparkSession, files: DataFrame) -> DataFrame:
                             names=["key", "start", "ids"],
                         )
 
-    return files.repartition("file").mapInArrow(read, "key long, start long, ids binary")
+    return by_file(files, "file").mapInArrow(read, "key long, start long, ids binary")
 
 
 def token_file_folder(spark: SparkSession) -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import Ranges, create, shared_folder, stored, task_file
+from .files import Ranges, by_file, create, shared_folder, stored, task_file
 
 # Fixed values of the ZIP and WARC formats.
 END, END64, LOCATOR, CENTRAL, LOCAL = (
@@ -273,7 +273,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, form)
 
-    return packages.repartition("package").mapInArrow(read, schema)
+    return by_file(packages, "package").mapInArrow(read, schema)
 
 
 def package_folder(spark: SparkSession) -> str:
