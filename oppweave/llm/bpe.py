@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import give_back
 from .vocabulary import MARKS, Memo, Vocabulary, byte_alphabet, load, plain_word, share
 
 KEPT = 600_000  # pieces whose ids a worker remembers
@@ -39,6 +41,12 @@ class Encoder:
         """Remember at most so many pieces from now on."""
         self._pieces.half = pieces // 2
 
+    def forget(self) -> None:
+        """Drop all remembered pieces and words."""
+        for memo in (self._pieces, self._words):
+            memo.clear()
+            memo.old = {}
+
     def _encode_word(self, word: str) -> bytes:
         return b"".join(map(self._packed.__getitem__, self.vocabulary.encoded(word)))
 
@@ -113,18 +121,39 @@ def round_trip(
 ) -> DataFrame:
     """:func:`encode` and :func:`decode` in one function, so that a task keeps one worker and its remembered pieces.
 
-    A worker lives on after the job with up to ``kept`` pieces (about 250 bytes each); a smaller number costs time.
+    Columns of ``docs`` with the names ``ids`` and ``decoded`` are replaced. A worker remembers up to ``kept`` pieces
+    (about 250 bytes each) until its task ends; a smaller number costs time.
     """
+    return _with_both(docs, path, text, kept, ids, decoded, "string", lambda texts, back: pa.array(back, pa.string()))
+
+
+def checked(
+    docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", same: str = "round_trip", kept: int = KEPT
+) -> DataFrame:
+    """Like :func:`round_trip`, but with a boolean in place of the decoded text: whether it equals the text (null: empty)."""
+    return _with_both(
+        docs, path, text, kept, ids, same, "boolean",
+        lambda texts, back: pa.array([t == b for t, b in zip(texts, back)], pa.bool_()),
+    )
+
+
+def _with_both(docs: DataFrame, path: str, text: str, kept: int, first: str, second: str, kind: str, made) -> DataFrame:
+    """``docs`` with the ids of the texts and what ``made`` gives for texts and decoded texts."""
     shared = share(docs.sparkSession, path)
-    form = pa.struct([("ids", pa.binary()), ("text", pa.string())])
 
-    @F.arrow_udf("struct<ids:binary,text:string>")
-    def run(texts: pa.Array) -> pa.Array:
+    @F.arrow_udf(f"struct<ids:binary,other:{kind}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = load(Encoder, shared.value)
         encoder.keep(kept)
-        coded = [encoder.encode(t or "") for t in texts.to_pylist()]
-        arrays = [pa.array(coded, pa.binary()), pa.array(map(encoder.decode, coded), pa.string())]
-        return pa.StructArray.from_arrays(arrays, fields=list(form))
-
-    both = docs.withColumn("_coded", run(F.col(text)))
-    return both.withColumns({ids: F.col("_coded.ids"), decoded: F.col("_coded.text")}).drop("_coded")
+        for column in batches:
+            texts = [t or "" for t in column.to_pylist()]
+            coded = list(map(encoder.encode, texts))
+            arrays = [pa.array(coded, pa.binary()), made(texts, map(encoder.decode, coded))]
+            yield pa.StructArray.from_arrays(arrays, names=["ids", "other"])
+        encoder.forget()
+        give_back()
+
+    # The row travels as one struct, so that no column of it can have the name of the result.
+    both = docs.select(F.struct("*").alias("row"), run(F.col(text).cast("string")).alias("coded"))
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in (first, second)]
+    return both.select(*others, F.col("coded.ids").alias(first), F.col("coded.other").alias(second))

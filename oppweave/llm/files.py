@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
@@ -29,19 +30,33 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/oppweave-{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Bound what a task and its worker hold of the input at once, where the session has not been set otherwise.
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m", row_group: int = 32 << 20) -> None:
+    """Bound what a task and its worker hold of the input and output at once, where the session has not been set otherwise.
 
-    Spark's own bounds, 10,000 rows and 64 MB, are held by the executor and again, as objects, by the worker.
+    Spark's own bounds, 10,000 rows and 64 MB, are held by the executor and again, as objects, by the worker; a
+    Parquet writer holds a row group, 128 MB by default.
     """
     for name, usual, wanted in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(rows)),
         ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size),
+        ("parquet.block.size", str(128 << 20), str(row_group)),
     ):
         if spark.conf.get(name, usual) == usual:
             spark.conf.set(name, wanted)
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the machine, before it waits for tasks of another kind."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
