@@ -14,7 +14,7 @@ from oppweave.llm import bpe, decontamination, jaccard, quality, secrets
 from oppweave.llm.files import small_batches, stored
 
 VOCABULARY = "byte_bpe_50k.json"
-KEPT_PIECES = 250_000  # workers serve all stages, so they keep less than for encoding alone
+KEPT_PIECES = 120_000  # workers serve all stages, so they keep less than for encoding alone
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,26 +41,23 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mask and counts the characters of changed texts anew; no document goes."""
     small_batches(spark)
-    masked = secrets.redact(docs.withColumn("_before", F.col("text")))
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    masked = secrets.redact(rows)
+    own = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     if "n_chars" in docs.columns:
-        changed = ~F.col("text").eqNullSafe(F.col("_before"))
-        masked = masked.withColumn(
-            "n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        )
-    return masked.select(*docs.columns)
+        changed = ~F.col("text").eqNullSafe(F.col("row.text"))
+        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        own[docs.columns.index("n_chars")] = F.when(changed, count).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return masked.select(*own)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the ids of the whole text, their number, and whether they decode to the text again."""
     small_batches(spark)
-    path = public_tokenizers.path(VOCABULARY)
-    coded = bpe.round_trip(docs, path, decoded="_decoded", kept=KEPT_PIECES)
-    return coded.select(
-        *[c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip")],
-        "token_ids",
-        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    rows = docs.drop("token_ids", "n_tokens", "round_trip")
+    coded = bpe.checked(rows, public_tokenizers.path(VOCABULARY), kept=KEPT_PIECES)
+    n_tokens = (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens")
+    return coded.select(*rows.columns, "token_ids", n_tokens, "round_trip")
 
 
 STAGES = [
