@@ -57,7 +57,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.drop("token_ids", "n_tokens", "round_trip")
     coded = bpe.checked(rows, public_tokenizers.path(VOCABULARY), kept=KEPT_PIECES)
     n_tokens = (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens")
-    return coded.select(*rows.columns, "token_ids", n_tokens, "round_trip")
+    return coded.select(*[F.col(f"`{c}`") for c in rows.columns], "token_ids", n_tokens, "round_trip")
 
 
 STAGES = [
