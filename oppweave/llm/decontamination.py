@@ -230,11 +230,11 @@ def match_items(
 ) -> DataFrame:
     """``docs`` with the benchmark items that stand in each whole text: item_id, score, first and last word.
 
-    One pass over the texts for each block of items looks up the seeds of the items, any three of five words in
+    One pass over the texts looks up the seeds of the items, any three of five words in
     a row, cuts out the passage around them and aligns it with the item. Every text with a seed is aligned, however many texts hold that seed; only
     those are skipped whose words cannot add up to ``min_score``. The score is the best alignment's as a share of the item's full score, of the best
-    passage; one entry per text and item. Items travel to the tasks in blocks of ``ITEM_BLOCK`` bytes, so a
-    benchmark of any size takes more passes, not more memory. Null texts, and items with fewer than three words, match
+    passage; one entry per text and item. Items travel to the tasks in broadcasts of ``ITEM_BLOCK`` bytes, all held
+    against a text in the same pass, so memory grows with the benchmark, not with the documents. Null texts, and items with fewer than three words, match
     nothing. Other columns pass through, a column named ``matches`` is replaced; rows are not moved.
     """
     parts = []
@@ -242,12 +242,14 @@ def match_items(
         block = Items.of(rows)
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        parts.append((f"_matches{number}", _lookup(shared, min_score)(F.col(text).cast("string"))))
+        parts.append(_lookup(shared, min_score)(F.col(text).cast("string")).alias(f"block{number}"))
     if not parts:
         return docs.withColumn(matches, F.array().cast(MATCHES))
-    found = docs.withColumns(dict(parts))
-    names = [name for name, _ in parts]
-    return found.withColumn(matches, F.concat(*names) if len(names) > 1 else F.col(names[0])).drop(*names)
+    # The row travels as one struct, so that no column of it can have the name of a block's result.
+    found = docs.select(F.struct("*").alias("row"), *parts)
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c != matches]
+    blocks = [F.col(f"block{k}") for k in range(len(parts))]
+    return found.select(*others, (F.concat(*blocks) if len(blocks) > 1 else blocks[0]).alias(matches))
 
 
 def _lookup(shared: Broadcast, min_score: float):

@@ -456,9 +456,9 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     text has no words are no copies of anything and all stay. Only ids and hashes of the rows that go are joined to
     the documents, so texts move once.
     """
-    columns = docs.columns
-    marked = docs.withColumn("_row", F.xxhash64(*columns))
-    keyed = shingle_counts(marked.select(F.col(doc_id).alias("_id"), "_row", F.col(text).alias("_text")), "_text")
+    # The row travels as one struct, so that no column of it can have the name of a column made here.
+    marked = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("_id"), F.xxhash64(F.struct("*")).alias("_row"))
+    keyed = shingle_counts(marked.select("_id", "_row", F.col(f"row.`{text}`").alias("_text")), "_text")
     keyed = stored(keyed.filter("set_key is not null").select("_id", "_row", "set_key"), "keyed")
     groups = set_groups(docs, text).withColumnRenamed("id", "set_key")
     named = keyed.join(groups, "set_key", "left").withColumn("_group", F.coalesce("component", "set_key"))
@@ -469,7 +469,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     judged = rows.join(first, "_group").withColumn("_goes", ~F.col("_order").eqNullSafe(F.col("_first")))
 
     def same(left: DataFrame, right: DataFrame):
-        return left[doc_id].eqNullSafe(right["_gone_id"]) & (left["_row"] == right["_gone_row"])
+        return left["_id"].eqNullSafe(right["_gone_id"]) & (left["_row"] == right["_gone_row"])
 
     gone = judged.filter("_goes").select(F.col("_id").alias("_gone_id"), F.col("_row").alias("_gone_row"))
     left = marked.join(gone, same(marked, gone), "left_anti")
@@ -477,5 +477,5 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     if not repeated.isEmpty():
         again = repeated.select(F.col("_id").alias("_gone_id"), F.col("_row").alias("_gone_row"))
         single = left.join(again, same(left, again), "left_anti")
-        left = single.unionByName(left.join(again, same(left, again), "left_semi").dropDuplicates([doc_id, "_row"]))
-    return left.select(*columns)
+        left = single.unionByName(left.join(again, same(left, again), "left_semi").dropDuplicates(["_id", "_row"]))
+    return left.select("row.*")

@@ -282,9 +282,11 @@ def judge(docs: DataFrame, field: LineField, text: str = "text", min_content: fl
             parts.append(pa.StructArray.from_arrays(arrays, fields=list(_OUT)))
         return pa.concat_arrays(parts) if parts else pa.array([], _OUT)
 
+    # The row travels as one struct, so that no column of it can have the name of a result on the way.
     names = [f.name for f in _OUT]
-    judged = docs.withColumn("_judged", run(F.col(text)))
-    judged = judged.withColumns({c: F.col(f"_judged.{c}") for c in names}).drop("_judged")
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in (*names, "base_failed", "kept")]
+    judged = docs.select(F.struct("*").alias("row"), run(F.col(text).cast("string")).alias("judged"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    judged = judged.withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("content_share") >= min_content))
+    kept = ~F.col("base_failed") & (F.col("content_share") >= min_content)
+    measured = judged.select("row", "judged.*").withColumn("base_failed", failed).withColumn("kept", kept)
+    return measured.select(*others, *names, "base_failed", "kept")

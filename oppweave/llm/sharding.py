@@ -167,10 +167,11 @@ def shuffle_into_shards(
     limit = rows or max(LEAST_ROWS, int(total**0.5))
     levels = max(0, (max(1, -(-total // limit)) - 1).bit_length())
     cells = max(1, -(-total // (limit * shards)))  # of each shard
-    drop = [c for c in ("shard", "slot") if c in docs.columns]
-    plain = docs.drop(*drop)
-    order = [F.xxhash64(F.lit(seed + 1), *key), *key]
-    placed = plain.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << levels)))
+    # The row travels as one struct, so that no column of it can have the name of a column made here.
+    own = [F.col(f"row.`{k}`") for k in key]
+    order = [F.xxhash64(F.lit(seed + 1), *own), *own]
+    packed = docs.drop("shard", "slot").select(F.struct("*").alias("row"))
+    placed = packed.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(1 << levels)))
     counts = stored(placed.groupBy(F.col("_block").alias("block")).agg(F.count("*").alias("n")), "blocks")
 
     # Cell c = shard * cells + part has an exact size and a first slot that follow from the row count alone.
@@ -207,13 +208,11 @@ def shuffle_into_shards(
         lambda s: s.low,
     )
     sent = dealt.withColumn("_cell", cell).drop("_ends", "_place", "_block")
-    again = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 2), *key), *key)
-    return (
-        sent.withColumn("slot", F.row_number().over(again) - 1 + cell_start(F.col("_cell")))
-        .withColumn("shard", F.floor(F.col("_cell") / cells).cast("int"))
-        .withColumn("slot", F.col("slot").cast("long"))
-        .drop("_cell")
-    )
+    again = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 2), *own), *own)
+    slot = F.row_number().over(again) - 1 + cell_start(F.col("_cell"))
+    return sent.select(
+        "row", F.floor(F.col("_cell") / cells).cast("int").alias("shard"), slot.cast("long").alias("slot")
+    ).select("row.*", "shard", "slot")
 
 
 def _halve(s: Column, _: Column) -> Column:
