@@ -375,6 +375,7 @@ LIMITS = {
     "requirements": 8,  # requirement sentences of a page
     "essay_prompts": 3,
     "links_per_page": 15,
+    "links_per_list": 12,
     "links_per_batch": 50,
     "children": 4,
     "child_rejects": 5,

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
@@ -11,6 +12,7 @@ from ..functions.lexicon import rule_matches, stage_terms, state_code, student_s
 from ..functions.ranks import top_n
 from ..functions.text import clean, flag, has, listed, nonblank, norm, num
 from ..session import cut
+from .history import history_gate, history_lookup, select_revisits
 
 
 def score_candidate_fit(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -139,48 +141,111 @@ def list_promise(lists: DataFrame, children_count: Column) -> Column:
     return score >= 5
 
 
-def expand_lists(
-    seeds: DataFrame, pages: DataFrame, links: DataFrame, max_depth: int = 2, deep_ok: DataFrame | None = None
+def walk_lists(
+    front: DataFrame,
+    reach: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    ranked: DataFrame | None = None,
+    history: DataFrame | None = None,
+    as_of: str | None = None,
+    mode: str = "normal",
+    max_depth: int = 2,
+    promise: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Breadth-first walk over list pages within the quotas.
+    """Breadth-first walk over list pages of many runs, with the fetch history's gate at every depth.
+
+    ``front(run_id, url, ord, rank, fit_score, query)`` is depth 0. Each depth:
+
+    1. gate: URLs that the history holds as recently fetched are skipped, unless ``mode`` bypasses them; a run with
+       too little left takes its best skipped ones again, after its fresh ones (:func:`select_revisits`);
+    2. ``reach`` is given the URLs to fetch and returns ``(pages(url, kind), links(src_url, url, source_domain,
+       position))`` for them; kind is offer, list or other, a URL without a page has failed;
+    3. children of the list pages, in the order of their parents, join the next front within the quotas. A run never
+       queues a URL twice, nor one of ``ranked(run_id, url)``, its search hits; what the quotas count is what was queued, fetched or not.
 
-    ``seeds(run_id, url, ord)``, ``pages(url, kind)`` with kind offer / list /
-    other, ``links(src_url, url, source_domain, position)``.  Depth 3 needs
-    ``max_depth=3`` and the list in ``deep_ok(run_id, url)``.  Every round is
-    written out, and the walk ends when no child is left.  A hub linked from many
-    lists costs one row per run and list, cut by the quotas before the shuffle.
+    A child's rank is its parent's plus a hundredth of its place in the round, and it has no fit. Lists of depth 2 are expanded only if ``max_depth`` is 3
+    and ``promise``, given them as (run_id, url, query), returns them. Returned: run_id, url, parent_url, depth, ord,
+    rank, query, outcome and fetched (false for what the history skipped). Every round is written out, and the walk
+    ends when no child is left.
     """
-    front = seeds.select("run_id", "url", "ord", F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("depth"))
-    front, out, seen = cut(front), None, None
+    front = cut(front.withColumns({"parent_url": F.lit(None).cast("string"), "depth": F.lit(0)}))
+    queued = front.select("run_id", "url")
+    seen = queued if ranked is None else queued.unionByName(ranked.select("run_id", "url")).distinct()
+    out, used = None, None
+    columns = ["run_id", "url", "parent_url", "depth", "ord", "rank", "query", "outcome", "fetched"]
     for depth in range(max_depth + 1):
-        got = front.join(pages.select("url", "kind"), "url", "left").withColumn(
+        go, skipped = _gated(front, history, as_of, mode)
+        pages, links = reach(go.select("run_id", "url"))
+        kind = F.col("kind")
+        got = go.join(pages.select("url", "kind"), "url", "left").withColumn(
             "outcome",
-            F.when(F.col("kind").isNull(), "page_fetch_failed").when(F.col("kind") == "offer", "candidate")
-            .when((F.col("kind") == "list") & F.lit(depth >= max_depth), "max_list_expansion_depth_reached")
-            .when(F.col("kind") == "list", "scholarship_list_page").otherwise("insufficient_scholarship_signals"),
+            F.when(kind.isNull(), "page_fetch_failed").when(kind == "offer", "candidate")
+            .when((kind == "list") & F.lit(depth >= max_depth), "max_list_expansion_depth_reached")
+            .when(kind == "list", "scholarship_list_page").otherwise("insufficient_scholarship_signals"),
         )
-        if depth == 2 and max_depth >= 3 and deep_ok is not None:
-            ok = deep_ok.select("run_id", "url", F.lit(True).alias("__ok")).distinct()
-            got = got.join(ok, ["run_id", "url"], "left").withColumn(
-                "outcome",
-                F.when((F.col("outcome") == "scholarship_list_page") & F.col("__ok").isNull(), "depth_3_not_promising")
-                .otherwise(F.col("outcome")),
-            ).drop("__ok")
-        got = cut(got.drop("kind"))
+        if depth == 2 and max_depth >= 3:
+            got = cut(got)
+            lists = got.filter("outcome = 'scholarship_list_page'").select("run_id", "url", "query")
+            good = lists.limit(0) if promise is None else promise(lists)
+            good = good.select("run_id", "url").distinct().withColumn("__good", F.lit(True))
+            dull = (F.col("outcome") == "scholarship_list_page") & F.col("__good").isNull()
+            got = got.join(good, ["run_id", "url"], "left").withColumn(
+                "outcome", F.when(dull, "depth_3_not_promising").otherwise(F.col("outcome"))
+            )
+        got = cut(got.withColumn("fetched", F.lit(True)).select(*columns).unionByName(skipped.select(*columns)))
         out = got if out is None else out.unionByName(got)
-        seen = front.select("run_id", "url") if seen is None else seen.unionByName(front.select("run_id", "url"))
         if depth == max_depth:
             break
         lists = got.filter("outcome = 'scholarship_list_page'").select(
-            "run_id", F.col("url").alias("src_url"), F.col("ord").alias("parent_ord")
-        )
-        used = seen.join(seeds.select("run_id", "url"), ["run_id", "url"], "left_anti").groupBy("run_id").agg(
-            F.count("*").alias("n_used")
+            "run_id", F.col("url").alias("src_url"), F.col("ord").alias("parent_ord"), F.col("rank").alias("parent_rank"), "query"
         )
         kids = expand_quota(lists.join(links, "src_url"), seen, depth + 1, used)
         front = cut(
-            kids.select("run_id", "url", F.col("child_rank").cast("bigint").alias("ord"), F.col("src_url").alias("parent_url"), "depth")
-        )
+            kids.select(
+                "run_id", "url", F.col("child_rank").cast("bigint").alias("ord"),
+                (F.col("parent_rank") + F.col("child_rank") / 100).alias("rank"), F.lit(None).cast("double").alias("fit_score"),
+                F.concat("query", F.lit(" [list-expanded]")).alias("query"), F.col("src_url").alias("parent_url"), "depth",
+            )
+        )
         if front.isEmpty():
             break
+        seen = seen.unionByName(front.select("run_id", "url"))
+        count = front.groupBy("run_id").agg(F.count("*").alias("n_used"))
+        used = count if used is None else used.unionByName(count).groupBy("run_id").agg(F.sum("n_used").alias("n_used"))
     return out
+
+
+#: Revisited pages are fetched, and their children queued, after all others.
+LATER = 1 << 40
+
+
+def _gated(front: DataFrame, history: DataFrame | None, as_of: str | None, mode: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a front to fetch, and those that the history skips."""
+    none = F.lit(None).cast("string")
+    if history is None:
+        return front, front.withColumns({"outcome": none, "fetched": F.lit(False)}).limit(0)
+    known = front.withColumn("normalized_url", F.col("url"))
+    gated = cut(history_gate(history_lookup(known, history, as_of), mode))
+    again = cut(select_revisits(gated, mode == "fresh").select("run_id", "url", "revisit_rank"))
+    fresh = gated.filter("decision <> 'skip'")
+    both = gated.filter("decision = 'skip'").join(again, ["run_id", "url"], "left")
+    later = both.filter("revisit_rank is not null").withColumn("ord", F.col("revisit_rank") + F.lit(LATER))
+    skipped = both.filter("revisit_rank is null").withColumns(
+        {"outcome": F.concat(F.lit("history_recent_"), "page_type"), "fetched": F.lit(False)}
+    )
+    return fresh.select(*front.columns).unionByName(later.select(*front.columns)), skipped
+
+
+def expand_lists(
+    seeds: DataFrame, pages: DataFrame, links: DataFrame, max_depth: int = 2, deep_ok: DataFrame | None = None
+) -> DataFrame:
+    """:func:`walk_lists` over stored tables, without a history or search hits.
+
+    ``seeds(run_id, url, ord)``; the lists of ``deep_ok(run_id, url)`` may be expanded to depth 3.
+    """
+    front = seeds.select(
+        "run_id", "url", F.col("ord").cast("bigint").alias("ord"), F.col("ord").cast("double").alias("rank"),
+        F.lit(None).cast("double").alias("fit_score"), F.lit("").alias("query"),
+    )
+    promise = None if deep_ok is None else lambda lists: lists.join(deep_ok, ["run_id", "url"], "left_semi")
+    walk = walk_lists(front, lambda urls: (pages, links), max_depth=max_depth, promise=promise)
+    return walk.select("run_id", "url", "ord", "parent_url", "depth", "outcome")

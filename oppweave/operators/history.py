@@ -79,7 +79,7 @@ def history_gate(looked_up: DataFrame, mode: str = "normal") -> DataFrame:
 def select_revisits(gated: DataFrame, fresh_start: bool = False, most: int = 6, least: int = 6) -> DataFrame:
     """Recently fetched pages to fetch again when too little else is left.
 
-    Lists before direct pages, oldest first, then rank; at most ``most`` per run.
+    Lists before direct pages, oldest first, then rank, then place (``ord``) where there is one; at most ``most`` per run.
     """
     counts = gated.groupBy("run_id").agg(
         F.count_if(F.col("decision") != "skip").alias("n_fetchable"),
@@ -99,6 +99,7 @@ def select_revisits(gated: DataFrame, fresh_start: bool = False, most: int = 6,
         F.when(F.col("page_type") == "scholarship_list_page", 0).otherwise(1).asc(),
         F.col("age_hours").desc_nulls_last(),
         F.col("rank").asc(),
+        *[F.col(c).asc() for c in ("ord",) if c in gated.columns],
     ]
     return (
         top_n(pool, ["run_id"], order, most, "revisit_rank")

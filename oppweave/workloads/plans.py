@@ -400,6 +400,127 @@ def expand_lists(spark, sf):
     return e.expand_lists(seeds, pages, links).select("run_id", "url", "parent_url", "depth", "outcome")
 
 
+# ---- the walk with a fetch history at every depth ----------------------------------------------
+
+WALK_AS_OF = "2026-01-15 00:00:00"
+GOOD_TYPES = "('direct_scholarship', 'scholarship_list_page')"
+
+
+def _walk_sql(mode: str, max_depth: int) -> str:
+    """The walk of :func:`expand_lists`' graph as one statement: per depth a gate, revisits, children and quotas."""
+    ttl = "CASE pt " + " ".join(f"WHEN '{k}' THEN {t}" for k, t in v.PAGE_TYPE_TTL_HOURS.items()) + " END"
+    bypass = f"(fit >= 11 AND pt IN {GOOD_TYPES} AND age >= 2)" if mode == "rerun" else "false"
+    stage = " OR ".join(f"contains(t, '{x}')" for x in v.STAGE_TERMS["starting_college"])
+    parts = [
+        """e AS (SELECT 's' || l_suppkey src, 'p' || l_partkey url, 'd' || (l_partkey % 40) dom, min(l_orderkey * 8 + l_linenumber) pos FROM lineitem GROUP BY 1, 2, 3
+ UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, 'd' || (l_suppkey % 30), min(l_orderkey * 8 + l_linenumber) FROM lineitem GROUP BY 1, 2, 3)""",
+        "k AS (SELECT 's' || s_suppkey url, 'list' kind FROM supplier UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_size % 2 = 1 THEN 'offer' ELSE 'list' END FROM part WHERE p_size <= 45)",
+        """h AS (SELECT 'p' || p_partkey url, CASE WHEN p_size % 2 = 1 THEN 'direct_scholarship' ELSE 'scholarship_list_page' END pt, p_size % 13 age FROM part WHERE p_partkey % 23 <> 0
+ UNION ALL SELECT 's' || s_suppkey, 'scholarship_list_page', s_suppkey % 12 FROM supplier WHERE s_suppkey % 5 = 0 OR s_nationkey % 4 = 0)""",
+        "known AS (SELECT p_partkey % 25 run_id, 'p' || p_partkey url FROM part WHERE p_size % 3 = 0)",
+        "f0 AS (SELECT s_nationkey run_id, 's' || s_suppkey url, s_suppkey ord, s_suppkey::DOUBLE AS rank, s_suppkey % 15 fit, NULL parent FROM supplier)",
+        """good AS (SELECT run_id, url FROM (SELECT r.n_nationkey run_id, 's' || s_suppkey url, s_suppkey, lower(s_name || chr(10) || chr(10) || n.n_name || ' ' || CASE s_suppkey % 5 WHEN 0 THEN 'engineering scholarships' WHEN 1 THEN 'furniture awards for incoming freshman'
+   WHEN 2 THEN 'phd programs' WHEN 3 THEN 'top 10 hispanic awards' ELSE 'plain' END || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN '/scholarships/' ELSE '/list/' END) t, n_links, r.n_nationkey % 3 m, lower(r.n_name) st
+   FROM supplier JOIN nation n ON n.n_nationkey = s_nationkey CROSS JOIN nation r JOIN (SELECT src, count(*) n_links FROM e GROUP BY 1) c ON c.src = 's' || s_suppkey)
+  WHERE CASE WHEN n_links BETWEEN 2 AND 8 THEN 2 WHEN n_links > 8 THEN 1 ELSE 0 END + CASE WHEN """
+        + stage
+        + """ THEN 3 ELSE 0 END
+   + CASE WHEN m = 0 AND contains(t, 'engineering') THEN 2 WHEN m = 1 AND contains(t, 'furniture') THEN 3 ELSE 0 END + CASE WHEN contains(t, 'hispanic') THEN 2 ELSE 0 END + CASE WHEN contains(t, st) THEN 1 ELSE 0 END
+   + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, 'top [0-9]+|scholarships for|engineering scholarships') THEN 1 ELSE 0 END - CASE WHEN contains(t, 'phd') THEN 3 ELSE 0 END >= 5)""",
+    ]
+    outcomes = []
+    for d in range(max_depth + 1):
+        stop = "max_list_expansion_depth_reached" if d == max_depth else "scholarship_list_page"
+        expand = "kind = 'list'" + (" AND EXISTS (FROM good WHERE good.run_id = g.run_id AND good.url = g.url)" if d == 2 else "")
+        deep = f"CASE WHEN {expand} THEN '{stop}' ELSE 'depth_3_not_promising' END" if d == 2 and max_depth == 3 else f"'{stop}'"
+        parts += [
+            f"l{d} AS (SELECT *, coalesce(age < {ttl}, false) AND NOT coalesce({bypass}, false) AS skipped FROM f{d} LEFT JOIN h USING (url))",
+            f"""r{d} AS (SELECT run_id, url, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN pt = 'scholarship_list_page' THEN 0 ELSE 1 END, age DESC, rank, ord) AS place FROM l{d}
+ WHERE skipped AND pt IN {GOOD_TYPES} AND run_id NOT IN (SELECT run_id FROM l{d} WHERE NOT skipped) QUALIFY place <= 6)""",
+            f"""g{d} AS (SELECT run_id, url, ord, rank, parent FROM l{d} WHERE NOT skipped UNION ALL
+ SELECT run_id, url, {1 << 40} + place, rank, parent FROM l{d} JOIN r{d} USING (run_id, url))""",
+            f"""o{d} AS (SELECT run_id, g.url, parent, {d} AS depth, rank, CASE WHEN kind IS NULL THEN 'page_fetch_failed' WHEN kind = 'offer' THEN 'candidate' ELSE {deep} END outcome FROM g{d} g LEFT JOIN k ON k.url = g.url
+ UNION ALL SELECT run_id, url, parent, {d}, rank, 'history_recent_' || pt FROM l{d} ANTI JOIN g{d} USING (run_id, url))""",
+        ]
+        outcomes.append(f"SELECT * FROM o{d}")
+        if d == max_depth:
+            break
+        queued = " UNION ALL ".join(f"SELECT run_id, url FROM f{x}" for x in range(d + 1))
+        before = " UNION ALL ".join(f"SELECT run_id FROM f{x}" for x in range(1, d + 1)) or "SELECT 0 AS run_id WHERE false"
+        parts += [
+            f"c{d} AS (SELECT g.run_id, e.url, e.dom, g.ord po, g.rank pr, e.pos, g.url parent FROM g{d} g JOIN k ON k.url = g.url AND {expand} JOIN e ON e.src = g.url)",
+            f"u{d} AS (SELECT * FROM c{d} QUALIFY row_number() OVER (PARTITION BY run_id, url ORDER BY po, pos) = 1)",
+            f"n{d} AS (SELECT * FROM u{d} ANTI JOIN (SELECT * FROM known UNION ALL {queued}) s USING (run_id, url))",
+            f"q{d} AS (SELECT * FROM n{d} QUALIFY row_number() OVER (PARTITION BY run_id, dom ORDER BY po, pos, url) <= {v.EXPANSION_PER_DOMAIN})",
+            f"""f{d + 1} AS (SELECT run_id, url, ord, pr + ord::DOUBLE / 100::DOUBLE AS rank, NULL::BIGINT fit, parent FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY po, pos, url) ord FROM q{d})
+ LEFT JOIN (SELECT run_id, count(*) n FROM ({before}) GROUP BY 1) b USING (run_id) WHERE ord <= {v.EXPANSION_PER_DEPTH[d + 1]} AND ord + coalesce(n, 0) <= {v.EXPANSION_PER_RUN})""",
+        ]
+    rows = " UNION ALL ".join(outcomes)
+    return f"WITH {', '.join(parts)} SELECT run_id, url, parent AS parent_url, depth, round(rank, 4) AS rank, outcome FROM ({rows})"
+
+
+def _history_walk(spark, sf, mode: str, max_depth: int):
+    """Suppliers and parts as pages of runs (one per nation) whose history holds most of them."""
+    li, sup, part = (table(spark, sf, x) for x in ("lineitem", "supplier", "part"))
+    s, p = F.concat(F.lit("s"), F.col("s_suppkey")), F.concat(F.lit("p"), F.col("p_partkey"))
+    ls, lp = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey"))
+    pos = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position")
+    down = li.select(ls.alias("src_url"), lp.alias("url"), F.concat(F.lit("d"), F.col("l_partkey") % 40).alias("source_domain"), pos)
+    up = li.select(lp.alias("src_url"), ls.alias("url"), F.concat(F.lit("d"), F.col("l_suppkey") % 30).alias("source_domain"), pos)
+    links = down.unionByName(up).groupBy("src_url", "url", "source_domain").agg(F.min("position").alias("position"))
+    odd = F.col("p_size") % 2 == 1
+    pages = sup.select(s.alias("url"), F.lit("list").alias("kind")).unionByName(
+        part.filter("p_size <= 45").select(p.alias("url"), F.when(odd, "offer").otherwise("list").alias("kind"))
+    )
+    ago = lambda hours: (F.lit(WALK_AS_OF).cast("timestamp") - F.make_interval(hours=hours)).alias("last_fetched_at")
+    kept = part.filter("p_partkey % 23 <> 0").select(
+        p.alias("normalized_url"), F.when(odd, "direct_scholarship").otherwise("scholarship_list_page").alias("page_type"),
+        ago(F.col("p_size") % 13),
+    ).unionByName(
+        sup.filter("s_suppkey % 5 = 0 OR s_nationkey % 4 = 0").select(
+            s.alias("normalized_url"), F.lit("scholarship_list_page").alias("page_type"), ago((F.col("s_suppkey") % 12).cast("int"))
+        )
+    )
+    ranked = part.filter("p_size % 3 = 0").select((F.col("p_partkey") % 25).alias("run_id"), p.alias("url"))
+    front = sup.select(
+        F.col("s_nationkey").alias("run_id"), s.alias("url"), F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("double").alias("rank"),
+        (F.col("s_suppkey") % 15).cast("double").alias("fit_score"), F.lit("").alias("query"),
+    )
+    nation = table(spark, sf, "nation")
+    key = F.col("s_suppkey")
+    texts = sup.join(nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
+        s.alias("url"), F.col("s_name").alias("title"),
+        F.concat_ws(
+            " ", "n_name",
+            F.when(key % 5 == 0, "engineering scholarships").when(key % 5 == 1, "furniture awards for incoming freshman")
+            .when(key % 5 == 2, "phd programs").when(key % 5 == 3, "top 10 hispanic awards").otherwise("plain"),
+        ).alias("text"),
+        F.when(key % 2 == 0, "/scholarships/").otherwise("/list/").alias("path"),
+    )
+    people = nation.select(
+        F.col("n_nationkey").alias("run_id"), F.element_at(F.array(F.lit("mechanical engineering"), F.lit("furniture"), F.lit("")), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("intended_major"),
+        F.lit("hispanic").alias("ethnicity"), F.col("n_name").alias("state"), F.lit("starting_college").alias("student_stage"), F.lit("").alias("grade_level"),
+    )
+    sizes = links.groupBy(F.col("src_url").alias("url")).agg(F.count("*").alias("n_links"))
+
+    def promise(lists):
+        seen = lists.join(texts, "url").join(sizes, "url").join(people, "run_id")
+        return seen.filter(e.list_promise(seen, F.col("n_links"))).select("run_id", "url")
+
+    walk = e.walk_lists(front, lambda urls: (pages, links), ranked, kept, WALK_AS_OF, mode, max_depth, promise)
+    return walk.select("run_id", "url", "parent_url", "depth", F.round("rank", 4).alias("rank"), "outcome")
+
+
+@query("walk_history", _walk_sql("normal", 2))
+def walk_history(spark, sf):
+    return _history_walk(spark, sf, "normal", 2)
+
+
+@query("walk_deep", _walk_sql("rerun", 3))
+def walk_deep(spark, sf):
+    return _history_walk(spark, sf, "rerun", 3)
+
+
 # ---- composed jobs ---------------------------------------------------------------------------
 
 
