@@ -8,10 +8,11 @@ are merged, long ones only probed (DivideSkip). On a cluster:
 2. Whatever order all sets keep to, two linked sets share at least l of the first n - T + l
    shingles of each, for any l. The order puts shingles that looked common in some block
    of texts last. Any order gives the same result; this one keeps lists short. Here l is a
-   twentieth of n.
+   fifth of n.
 3. Prefix shingles of two or more nodes are the lists. A node with fewer than l of them (of the
-   smallest partner that it may have) is alone: a passage that many texts share is not enough.
-4. Nodes are dealt to chunks, near copies to the same one, and search their own chunk and
+   smallest partner that it may have) is alone: a passage that many texts share is not enough, unless
+   it is two fifths of a text.
+4. Nodes are dealt to chunks by their longest list, near copies to the same one, and search their own chunk and
    the next of its kind. That joins nearly all of a group at a cost linear in its size.
 5. Lists whose nodes are still in several groups: a node searches the chunks in which at least l of
    its lists have nodes of larger groups. After this no linked pair is left unsearched,
@@ -36,10 +37,12 @@ from .words import Words, word_blocks
 
 SHINGLE = 5  # words
 PERCENT = 80  # of the union that the intersection must have
+LISTS = 5  # the share of a set that must be in lists with a partner is one in so many
 COMMON_IN_BLOCK = 3  # texts of one block in which a shingle looks common
 COMMON_KEPT = 1 << 17  # common shingles that are sent to all tasks, the most common first; only the order depends on it
 BITS = 1 << 26  # bits of the table of shingles that have lists
 CHUNK_NODES, CHUNK_SHINGLES = 512, 800_000  # of a chunk, about
+SEARCHES = 2048  # nodes that search a copy of a chunk
 PROBE = 0.01  # weight of a probe in the choice of the lists that are only probed
 
 
@@ -53,7 +56,7 @@ def needed(n: int) -> int:
 
 def least_lists(n: int) -> int:
     """Lists that a set of n shingles has in common with a linked set that is not smaller."""
-    return max(1, n // 20)
+    return max(1, n // LISTS)
 
 
 def linked(shared: int, n: int, m: int) -> bool:
@@ -141,13 +144,14 @@ def lists_of(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 sets = {v.tobytes(): v for v in block_sets(words, end - row) if len(v)}
                 if sets:
                     parts = [_prefix(v, shared.value) for v in sets.values()]
-                    keys = np.repeat(np.array([_key(v) for v in sets.values()]), [len(p) for p in parts])
+                    names = np.array([_key(v) for v in sets.values()]).astype(np.int32)  # enough to see that two differ
+                    keys = np.repeat(names, [len(p) for p in parts])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys)], names=["shingle", "set_key"]
+                        [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys)], names=["shingle", "name"]
                     )
 
-    rows = texts.mapInArrow(emit, "shingle long, set_key long")
-    ends = rows.groupBy("shingle").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b"))
+    rows = texts.mapInArrow(emit, "shingle long, name int")
+    ends = rows.groupBy("shingle").agg(F.min("name").alias("a"), F.max("name").alias("b"))
     return ends.filter("a <> b").select("shingle")
 
 
@@ -226,19 +230,13 @@ class Chunk:
         alive = (100 * np.minimum(self.sizes, n) >= PERCENT * np.maximum(self.sizes, n))
         if not all_links:
             own = self.root(group)
-            alive &= np.array([self.root(g) != own for g in self.groups])
+            alive &= np.fromiter((self.root(g) != own for g in self.groups), dtype=bool, count=len(self.groups))
         if not alive.any():
             return []
         first = np.searchsorted(self._value, values, "left")
         last = np.searchsorted(self._value, values, "right")
-        lists = [
-            own for a, b in zip(first, last) if b > a and len(own := [d for d in self._owner[a:b].tolist() if alive[d]])
-        ]
-        out = []
-        for d, shared in divide_skip(lists, needed(n)):
-            if linked(shared, n, int(self.sizes[d])):
-                out.append(d)
-        return out
+        lists = [self._owner[a:b] for a, b in zip(first.tolist(), last.tolist()) if b > a]
+        return [d for d, shared in divide_skip(lists, needed(n), alive) if linked(shared, n, int(self.sizes[d]))]
 
     def join(self, key: int, group: int, values: np.ndarray) -> list[tuple[int, int]]:
         """Search, and join the groups that are found to be linked; the links that joined them."""
@@ -255,39 +253,28 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs]), pa.array([x[1] for x in pairs])], names=["a", "b"])
 
 
-def divide_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
-    """Members of at least ``least`` of the sorted lists, and of how many.
+def divide_skip(lists: list[np.ndarray], least: int, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Members of at least ``least`` of the sorted lists, and of how many; with ``wanted``, only members that it marks.
 
     The longest lists are set aside; members of enough of the short ones are found by a merge with a heap, and
-    looked up in each long list by binary search.
+    looked up in each long list by binary search, all that can still reach ``least`` at once.
     """
     if len(lists) < least:
         return
-    lists = sorted(lists, key=len)
-    longest = len(lists[-1])
-    aside = min(least - 1, int(least / (PROBE * np.log2(max(longest, 2)) + 1)))
+    lists = sorted(map(np.asarray, lists), key=len)
+    aside = min(least - 1, int(least / (PROBE * np.log2(max(len(lists[-1]), 2)) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    from bisect import bisect_left
-
-    member, count = -1, 0
-
-    def total(member: int, count: int) -> int:
-        for k, own in enumerate(long):
-            if count + len(long) - k < least:
-                return 0
-            at = bisect_left(own, member)
-            count += at < len(own) and own[at] == member
-        return count
-
-    for d in heapq.merge(*short):
-        if d == member:
-            count += 1
-            continue
-        if member >= 0 and count >= least - aside and (found := total(member, count)) >= least:
-            yield member, found
-        member, count = d, 1
-    if member >= 0 and count >= least - aside and (found := total(member, count)) >= least:
-        yield member, found
+    merged = np.fromiter(heapq.merge(*[own.tolist() for s in short if len(own := s if wanted is None else s[wanted[s]])]), dtype=np.int64)
+    begins = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]]) if len(merged) else np.zeros(0, dtype=np.int64)
+    members, counts = merged[begins], np.diff(np.append(begins, len(merged)))
+    for k, own in enumerate(long):
+        open_ones = counts + len(long) - k >= least
+        members, counts = members[open_ones], counts[open_ones]
+        if not len(members):
+            return
+        at = np.minimum(np.searchsorted(own, members), len(own) - 1)
+        counts = counts + (own[at] == members)
+    yield from ((d, c) for d, c in zip(members.tolist(), counts.tolist()) if c >= least)
 
 
 def search_chunks(rows: DataFrame, inside: bool) -> DataFrame:
@@ -355,16 +342,16 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def _least_lists(n: Column) -> Column:
     """Lists that a set of n shingles shares with any that it links with: those of its smallest partner."""
-    return F.greatest(F.lit(1), F.floor(F.ceil(n * F.lit(PERCENT) / 100) / 20))
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * F.lit(PERCENT) / 100) / LISTS))
 
 
 def _members(nodes: DataFrame, lists: DataFrame) -> DataFrame:
-    """``set_key, n, shingle`` of the lists, without nodes that have too few and without lists of one node."""
+    """``set_key, n, shingle, size`` of the lists (size: nodes), without nodes that have too few and without lists of one node."""
     every = nodes.select("set_key", "n", F.explode("prefix").alias("shingle")).join(lists, "shingle")
     enough = every.groupBy("set_key", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= _least_lists(F.col("n")))
     kept = every.join(enough.select("set_key"), "set_key")
-    several = kept.groupBy("shingle").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).filter("a <> b")
-    return kept.join(several.select("shingle"), "shingle").select("set_key", "n", "shingle")
+    several = kept.groupBy("shingle").agg(F.count_distinct("set_key").alias("size")).filter("size > 1")
+    return kept.join(several, "shingle").select("set_key", "n", "shingle", "size")
 
 
 def set_groups(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -377,66 +364,99 @@ def set_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     nodes = stored(first, "nodes")
     member = stored(_members(nodes, lists), "members")
 
-    # Chunks: nodes with the same smallest list shingle, split by hash where they are many.
-    home = member.groupBy("set_key", "n").agg(F.min("shingle").alias("kind"))
+    # Chunks: nodes with the same longest list, split by hash where they are many. So the nodes of a long list, which
+    # have many others to search, lie in few chunks.
+    home = member.groupBy("set_key", "n").agg(F.max_by("shingle", F.struct("size", "shingle")).alias("kind"))
+    placed = stored(_placed(home), "chunks")
+
+    sets = nodes.select("set_key", "n", "shingles")
+    links = stored(_meet(sets, placed), "links")
+    part = stored(components(placed.select(F.col("set_key").alias("id")), links), "parts")
+
+    # Lists whose nodes are in several groups.
+    at = member.join(part.select(F.col("id").alias("set_key"), "component"), "set_key")
+    open_lists = stored(_several(at), "open")
+    routes = stored(_routes(open_lists, placed), "routes")
+    group = part.select(F.col("id").alias("set_key"), F.col("component").alias("part"))
+    more = _search_routes(routes, nodes.select("set_key", "shingles"), placed, group)
+    return stored(components(placed.select(F.col("set_key").alias("id")), links.unionByName(more)), "groups")
+
+
+def _chunk(shift: int = 0) -> Column:
+    """The chunk of a placed node, or the one so many further on of its kind."""
+    return F.xxhash64("kind", F.pmod(F.col("part_no") + shift, F.col("of")))
+
+
+def _meet(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links that nodes find in their own chunk and in the following one of its kind.
+
+    ``placed``: set_key, kind, of, part_no and, where nodes are in groups already, part.
+    """
+    own = F.col("part") if "part" in placed.columns else F.col("set_key")
+    rows = sets.join(placed.drop("n"), "set_key")
+
+    def role(number: int, shift: int) -> list[Column]:
+        return [_chunk(shift).alias("chunk"), F.lit(number).alias("role"), F.col("set_key"), own.alias("part"), F.col("shingles")]
+
+    following = rows.filter("of > 1").select(*role(1, 1))
+    return search_chunks(rows.select(*role(0, 0)).unionByName(following), inside=True)
+
+
+def _placed(home: DataFrame) -> DataFrame:
+    """Nodes (set_key, n, kind) with their number among the chunks of their kind, which split it by hash where it is large."""
     kinds = home.groupBy("kind").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     split = F.greatest(F.ceil(F.col("m") / CHUNK_NODES), F.ceil(F.col("s") / CHUNK_SHINGLES))
-    placed = stored(
-        home.join(kinds.select("kind", split.alias("of")), "kind").select(
-            "set_key", "n", "kind", "of", F.pmod(F.xxhash64("set_key"), F.col("of")).alias("part_no")
-        ),
-        "chunks",
+    return home.join(kinds.select("kind", split.alias("of")), "kind").withColumn(
+        "part_no", F.pmod(F.xxhash64("set_key"), F.col("of"))
     )
 
-    def chunk(shift: int):
-        return F.xxhash64("kind", F.pmod(F.col("part_no") + shift, F.col("of")))
 
-    sets = nodes.select("set_key", "n", "shingles").join(placed, ["set_key", "n"])
-    indexed = sets.select(chunk(0).alias("chunk"), F.lit(0).alias("role"), "set_key", F.col("set_key").alias("part"), "shingles")
-    following = sets.filter("of > 1").select(
-        chunk(1).alias("chunk"), F.lit(1).alias("role"), "set_key", F.col("set_key").alias("part"), "shingles"
-    )
-    links = stored(search_chunks(indexed.unionByName(following), inside=True), "links")
-    part = stored(components(placed.select(F.col("set_key").alias("id")), links), "parts")
+def _several(members: DataFrame) -> DataFrame:
+    """Members (shingle, component) of lists that several groups have."""
+    several = members.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    return members.join(several.select("shingle"), "shingle")
 
-    # Lists over several groups: a node searches the chunks in which enough of its lists have a node of a larger group.
-    # Of any two linked nodes in different groups, that of the smaller one finds the other so: all lists that
-    # they share are over several groups, and they share enough. Chunks that met in the first search are done.
-    larger = F.struct("m", "component")
-    around = {0: "chunk", 1: "following", -1: "leading"}  # chunks that a node has met in the first search
-    at = (
-        member.join(part.withColumnRenamed("id", "set_key"), "set_key")
-        .join(placed.select("set_key", *[chunk(k).alias(name) for k, name in around.items()]), "set_key")
-        .join(part.groupBy("component").agg(F.count("*").alias("m")), "component")
-        .withColumn("rank", larger)
-    )
-    several = at.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-    open_lists = stored(at.join(several.select("shingle"), "shingle"), "open")
-    targets = open_lists.groupBy("shingle", "chunk").agg(
-        F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high")
-    )
-    routes = (
-        open_lists.select("shingle", "set_key", "n", "component", "rank", *[F.col(c).alias(f"_{c}") for c in around.values()])
-        .join(targets, "shingle")
+
+def _routes(open_lists: DataFrame, placed: DataFrame) -> DataFrame:
+    """Chunks in which a node still has to search: those in which enough of its open lists have a node of a larger group.
+
+    Of any two linked nodes in different groups, that of the smaller one finds the other so: all lists that
+    they share are open, and they share enough.
+    """
+    sizes = open_lists.select("set_key", "component").distinct().groupBy("component").agg(F.count("*").alias("m"))
+    at = open_lists.join(sizes, "component").withColumn("rank", F.struct("m", "component"))
+    met = {"chunk": 0, "following": 1, "leading": -1}  # chunks that a node has met in the first search
+    at = at.join(placed.select("set_key", *[_chunk(k).alias(name) for name, k in met.items()]), "set_key")
+    targets = at.groupBy("shingle", "chunk").agg(F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
+    return (
+        at.select("shingle", "set_key", "n", "component", "rank", *[F.col(c).alias(f"_{c}") for c in met]).join(targets, "shingle")
         .filter(F.col("rank") < F.col("top"))
-        .filter(" and ".join(f"chunk <> _{c}" for c in around.values()))
+        .filter(" and ".join(f"chunk <> _{c}" for c in met))
         .filter(f"100 * low <= {10000 // PERCENT} * n and 100 * n <= {10000 // PERCENT} * high")
         .groupBy("set_key", "n", "component", "chunk").agg(F.count("*").alias("shared"))
         .filter(F.col("shared") >= _least_lists(F.col("n")))
         .select("set_key", "component", "chunk")
     )
-    routes = stored(routes, "routes")
-    wanted = routes.select("chunk").distinct()
-    full = nodes.select("set_key", "shingles").join(part.withColumnRenamed("id", "set_key"), "set_key")
-    again = (
-        full.join(placed.select("set_key", chunk(0).alias("chunk")), "set_key").join(wanted, "chunk", "left_semi")
-        .select("chunk", F.lit(0).alias("role"), "set_key", F.col("component").alias("part"), "shingles")
+
+
+def _search_routes(routes: DataFrame, sets: DataFrame, placed: DataFrame, group: DataFrame) -> DataFrame:
+    """Links that the routed nodes find; a chunk that many search is copied to several tasks, which share the searches.
+
+    ``group``: set_key and part, the group as far as it is known; nodes of one part are not compared again.
+    """
+    wanted = routes.groupBy("chunk").agg(F.ceil(F.count("*") / SEARCHES).alias("copies"))
+    salted = F.xxhash64("chunk", "salt").alias("chunk")
+    indexed = (
+        placed.select("set_key", _chunk().alias("chunk")).join(wanted, "chunk")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .join(sets, "set_key").join(group, "set_key")
+        .select(salted, F.lit(0).alias("role"), "set_key", "part", "shingles")
     )
-    searching = routes.join(nodes.select("set_key", "shingles"), "set_key").select(
-        "chunk", F.lit(1).alias("role"), "set_key", F.col("component").alias("part"), "shingles"
-    )
-    more = search_chunks(again.unionByName(searching), inside=False)
-    return stored(components(placed.select(F.col("set_key").alias("id")), links.unionByName(more)), "groups")
+    searching = (
+        routes.join(wanted, "chunk").withColumn("salt", F.pmod(F.xxhash64("set_key"), F.col("copies"))).join(sets, "set_key")
+        .select(salted, F.lit(1).alias("role"), "set_key", F.col("component").alias("part"), "shingles")
+    )
+    return search_chunks(indexed.unionByName(searching), inside=False)
 
 
 def with_groups(keyed: DataFrame, groups: DataFrame, doc_id: str) -> DataFrame:
