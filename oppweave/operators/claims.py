@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running_max
 from ..functions.text import distinct_ci, nonblank
 
 KEY = ["profile_id", "field_path"]
@@ -40,25 +40,15 @@ def merge_claims(claims: DataFrame) -> DataFrame:
     )
 
 
-def claim_conflicts(claims: DataFrame, slice_size: int = 100_000) -> DataFrame:
+def claim_conflicts(claims: DataFrame) -> DataFrame:
     """Claims that differ from the winner so far, in document order.
 
-    The winner so far is a running maximum.  Each key is cut into slices of
-    document order; a slice starts from the best of the slices before it, so a
-    field with very many claims is not sorted in one task.
+    The winner so far is a running maximum over even ranges, so a field with very many claims is not sorted in one task. Of
+    claims with one ``doc_ord`` the larger value, then the larger document id, comes first, as in :func:`merge_claims`.
     """
-    rows = claims.filter(nonblank("value").isNotNull()).withColumns(
-        {"r": _rank(), "__slice": F.floor(F.col("doc_ord") / slice_size)}
-    )
-    part = [*KEY, "__slice"]
-    earlier = W.partitionBy(*KEY).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy(*part).agg(F.max("r").alias("m")).select(
-        *part, F.max("m").over(earlier).alias("start")
-    )
-    inside = W.partitionBy(*part).orderBy("doc_ord").rowsBetween(W.unboundedPreceding, -1)
-    best = rows.join(starts, part).withColumn(
-        "best", F.greatest("start", F.max("r").over(inside))
-    )
+    rows = claims.filter(nonblank("value").isNotNull())
+    order = [F.col("doc_ord").asc(), F.col("value").desc(), F.col("document_id").desc()]
+    best = running_max(rows, KEY, order, _rank(), "best")
     wins = F.col("confidence") > F.col("best.confidence")
     return best.filter(F.col("best").isNotNull() & (F.col("value") != F.col("best.value"))).select(
         *KEY,

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
+from ..functions.ranks import running_max
 from ..functions.text import clean, listed, nonblank, num
 from ..functions.urls import canonical_url, domain, path
 from ..session import cut
@@ -164,7 +164,7 @@ def first_wins(rows: DataFrame, row: str, order: str, max_rounds: int | None = N
     number of rounds is the longest chain of such decisions.
     """
     keys = typed_keys(rows.withColumn("__row", F.struct(F.col(order).alias("o"), F.col(row).alias("r"))), "__row")
-    sizes = keys.groupBy("__row").agg(F.count("*").alias("n"))
+    sizes = keys.groupBy("__row").agg(F.count_distinct("key").alias("n"))  # a repeated row is one row
     todo = cut(keys.join(sizes, "__row"))
     parts = []
     rounds = 0
@@ -201,51 +201,119 @@ def replace_pending(existing: DataFrame, imported: DataFrame, replace: bool = Tr
     return kept.unionByName(imported, allowMissingColumns=True)
 
 
-def review_updates(candidates: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply approve / reject / submit; refused reviews come back with a reason.
+def review_updates(
+    candidates: DataFrame, reviews: DataFrame, prefix_reviewer: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Apply reviews, marks and field patches in ``ord`` order; refused ones come back with a reason.
 
-    Reviews of one candidate apply in ``ord`` order; the last valid one decides.
-    A rejected candidate cannot be submitted, neither by stored status nor by an
-    earlier review of the same batch.
+    ``reviews(id, ord, decision, reviewer, notes, tier_override, reviewed_at)``; decision is approve, reject, submit,
+    suggest (marks the candidate as suggested by its user) or patch. A patch has a struct ``patch`` with any of the
+    candidates' columns; null fields are left as they are, and a status in it counts like a review's. A candidate that is rejected at
+    that point, by its stored status or by an earlier update, cannot be submitted. A submit without notes or reviewer
+    keeps the earlier ones. With ``prefix_reviewer`` the notes begin with the reviewer in brackets, before the earlier
+    notes in case of such a submit.
     """
-    valid = F.col("decision").isin("approve", "reject", "submit")
-    ids = candidates.select("id", F.col("status").alias("old_status"))
-    r = reviews.join(ids, "id", "left")
-    # A submit is refused when the last approve/reject before it (or the stored
-    # status) says rejected; a running max_by finds that decision.
-    w = W.partitionBy("id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    verdict = F.when(F.col("decision").isin("approve", "reject"), F.col("ord"))
-    before = F.coalesce(
-        F.max_by("decision", verdict).over(w),
-        F.when(F.col("old_status") == "rejected", "reject").otherwise(""),
-    )
+    fields = reviews.schema["patch"].dataType.fieldNames() if "patch" in reviews.columns else []
+    r = reviews.join(candidates.select("id", F.col("status").alias("__old")), "id", "left")
+    d = F.col("decision")
+    reviewed = d.isin("approve", "reject")
+    set_status = F.when(d == "patch", F.col("patch.status")) if "status" in fields else F.lit(None).cast("string")
+    verdict = F.when(d == "approve", "approved").when(d == "reject", "rejected").otherwise(set_status)
+    # A submit that is not refused follows no rejection, so only the other updates decide about refusals.
+    seen = F.when(verdict.isNotNull(), F.struct(F.col("ord").alias("at"), verdict.alias("status")))
+    r = running_max(r, ["id"], [F.col("ord").asc()], seen, "__seen")
+    now = F.coalesce("__seen.status", "__old")
+    known = ("approve", "reject", "submit", "suggest", *(["patch"] if fields else []))
     r = r.withColumn(
         "refused",
-        F.when(F.col("old_status").isNull(), "Candidate not found")
-        .when(~valid, "decision must be 'approve' or 'reject'")
-        .when((F.col("decision") == "submit") & (before == "reject"), "Rejected candidates cannot be marked as submitted"),
+        F.when(F.col("__old").isNull(), "Candidate not found")
+        .when(~d.isin(*known) | d.isNull(), "decision must be 'approve' or 'reject'")
+        .when((d == "submit") & (now == "rejected"), "Rejected candidates cannot be marked as submitted"),
     )
     refused = r.filter(F.col("refused").isNotNull()).select(*reviews.columns, "refused")
-    ok = r.filter(F.col("refused").isNull())
-    last = ok.groupBy("id").agg(
-        F.max_by(F.struct("decision", "reviewer", "notes", "reviewed_at"), "ord").alias("r"),
-        F.max_by("tier_override", F.when(nonblank("tier_override").isNotNull(), F.col("ord"))).alias("tier"),
-    )
-    j = candidates.join(last, "id", "left")
-    hit, sub = F.col("r").isNotNull(), F.col("r.decision") == "submit"
-    done = j.withColumns(
+    given = F.concat_ws(" ", F.concat(F.lit("["), nonblank("reviewer"), F.lit("]")), nonblank("notes")) if prefix_reviewer else F.col("notes")
+    ok = r.filter(F.col("refused").isNull()).withColumns(
         {
-            "status": F.when(~hit, F.col("status")).when(sub, "submitted")
-            .when(F.col("r.decision") == "approve", "approved").otherwise("rejected"),
-            "review_notes": F.when(~hit, F.col("review_notes"))
-            .when(sub, F.coalesce(nonblank("r.notes"), "review_notes")).otherwise(F.col("r.notes")),
-            "reviewed_by": F.when(~hit, F.col("reviewed_by"))
-            .when(sub, F.coalesce(nonblank("r.reviewer"), "reviewed_by")).otherwise(F.col("r.reviewer")),
-            "reviewed_at": F.when(hit, F.col("r.reviewed_at")).otherwise(F.col("reviewed_at")),
-            "recommended_tier": F.coalesce("tier", "recommended_tier"),
+            "__status": F.when(d == "submit", "submitted").otherwise(verdict),
+            # Notes that replace the earlier ones, and submits that keep them.
+            "__notes": F.when(reviewed | ((d == "submit") & nonblank("notes").isNotNull()), given),
+            "__keeps": (d == "submit") & nonblank("notes").isNull() & nonblank("reviewer").isNotNull(),
+            "__by": F.when(reviewed, F.coalesce("reviewer", F.lit(""))).when(d == "submit", nonblank("reviewer")),
+            "__at": F.when(reviewed | (d == "submit"), F.col("reviewed_at")),
         }
-    ).drop("r", "tier")
-    return done, refused
+    )
+
+    def last(value: str) -> Column:
+        return F.max_by(value, F.when(F.col(value).isNotNull(), F.col("ord")))
+
+    patched = [f for f in fields if f != "status"]
+    final = ok.groupBy("id").agg(
+        last("__status").alias("__status"), last("__notes").alias("__notes"), last("__by").alias("__by"), last("__at").alias("__at"),
+        F.max(F.when(F.col("__notes").isNotNull(), F.col("ord"))).alias("__noted"),
+        F.collect_list(F.when(F.col("__keeps"), F.struct((-F.col("ord")).alias("o"), "reviewer"))).alias("__kept"),
+        F.max_by("tier_override", F.when(nonblank("tier_override").isNotNull(), F.col("ord"))).alias("__tier"),
+        F.bool_or(d == "suggest").alias("__suggested"),
+        *[F.max_by(f"patch.{f}", F.when(F.col(f"patch.{f}").isNotNull(), F.col("ord"))).alias(f"__p_{f}") for f in patched],
+    )
+    j = candidates.join(final, "id", "left")
+    notes = F.coalesce("__notes", "review_notes")
+    if prefix_reviewer:
+        later = F.filter("__kept", lambda x: F.col("__noted").isNull() | (-x["o"] > F.col("__noted")))
+        marks = F.transform(F.array_sort(later), lambda x: F.concat(F.lit("["), F.trim(x["reviewer"]), F.lit("]")))
+        notes = F.when(F.size("__kept") > 0, F.concat_ws(" ", marks, nonblank(notes))).otherwise(notes)
+    out = {
+        "status": F.coalesce("__status", "status"), "review_notes": notes, "reviewed_by": F.coalesce("__by", "reviewed_by"),
+        "reviewed_at": F.coalesce("__at", "reviewed_at"), "recommended_tier": F.coalesce("__tier", "recommended_tier"),
+    }
+    out |= {f: F.coalesce(f"__p_{f}", f) for f in patched}
+    old_mark = F.col("user_suggested") if "user_suggested" in candidates.columns else F.lit(False)
+    if "user_suggested" in patched:
+        old_mark = out["user_suggested"]
+    out["user_suggested"] = F.coalesce("__suggested", F.lit(False)) | F.coalesce(old_mark, F.lit(False))
+    return j.withColumns(out).drop(*[c for c in j.columns if c.startswith("__")]), refused
+
+
+def judge_suggestions(suggestions: DataFrame, catalog: DataFrame, queue: DataFrame) -> DataFrame:
+    """What becomes of suggested offers: ``user_id, ord, status, existing_id, reprioritized``.
+
+    ``suggestions(user_id, ord, ...)`` as :func:`suggested_offers` gives them, ``queue(user_id, ...)`` and ``catalog`` with
+    id, source_url, name and source_domain. In ``ord`` order: an offer with the URL of a catalog offer is
+    already_in_catalog, and that offer is given priority if it is in the user's queue; one that shares an identity (id, URL, name
+    and domain) with the catalog, the user's queue or an imported suggestion of the same user before it is already_in_queue; the rest is imported.
+    """
+    rows = suggestions.withColumns({"__row": F.concat_ws("|", "user_id", "ord"), "__url": F.lower("source_url")})
+    offers = catalog.filter(nonblank("source_url").isNotNull()).groupBy(F.lower("source_url").alias("__url")).agg(
+        F.min(F.col("id").cast("string")).alias("existing_id")
+    )
+    listed_ = rows.join(offers, "__url").select("user_id", "ord", "__row", "existing_id")
+    mine = queue.select("user_id", F.col("id").cast("string").alias("existing_id"), F.lit(True).alias("reprioritized")).distinct()
+    vetted = listed_.join(mine, ["user_id", "existing_id"], "left")
+    rest = rows.join(listed_.select("__row"), "__row", "left_anti")
+    keys = typed_keys(rest.withColumn("id", F.lit(None).cast("string")), "__row").join(rest.select("__row", "user_id"), "__row")
+    in_catalog = known_keys(catalog).withColumn("__hit", F.lit(True))
+    queued = typed_keys(queue, "user_id").distinct().withColumn("__mine", F.lit(True))
+    known = (
+        keys.join(in_catalog, "key", "left").join(queued, ["user_id", "key"], "left")
+        .filter("__hit is not null or __mine is not null").select("__row").distinct()
+    )
+    # Suggestions of different users do not meet: the user is part of every key.
+    def own(c: str) -> Column:
+        return F.when(nonblank(c).isNotNull(), F.concat_ws("|", "user_id", F.lower(F.trim(c))))
+
+    new = rest.join(known, "__row", "left_anti").select(
+        "__row", "ord", F.lit(None).cast("string").alias("id"), own("source_url").alias("source_url"), own("name").alias("name"),
+        own("source_domain").alias("source_domain"),
+    )
+    imported = first_wins(cut(new), "__row", "ord").select("__row").withColumn("__new", F.lit(True))
+    judged = rest.join(imported, "__row", "left").select(
+        "user_id", "ord", F.when(F.col("__new"), "imported").otherwise("already_in_queue").alias("status"),
+        F.lit(None).cast("string").alias("existing_id"), F.lit(False).alias("reprioritized"),
+    )
+    return judged.unionByName(
+        vetted.select(
+            "user_id", "ord", F.lit("already_in_catalog").alias("status"), "existing_id", F.coalesce("reprioritized", F.lit(False)).alias("reprioritized")
+        )
+    )
 
 
 def export_offers(candidates: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def merge_claims(spark, sf):
  FROM r JOIN ok p ON p.doc_ord = r.b WHERE r.value <> p.value""",
 )
 def claim_conflicts(spark, sf):
-    return c.claim_conflicts(claims(spark, sf), slice_size=3000)
+    return c.claim_conflicts(claims(spark, sf))
 
 
 @query(
@@ -283,6 +283,84 @@ def _reviewed(spark, sf):
     return s.review_updates(candidates(spark, sf), rv)
 
 
+PATCH_SQL = f"""{CAND_SQL}, ev AS (SELECT event_id ord, 'o' || (event_id % 900) id, CASE event_id % 7 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'submit' WHEN 3 THEN 'submit' WHEN 4 THEN 'suggest' ELSE 'patch' END decision,
+   CASE WHEN user_id % 4 <> 0 THEN 'u' || (user_id % 5) END reviewer, CASE WHEN event_id % 3 = 0 THEN 'note ' || event_id ELSE '' END notes, CASE WHEN event_id % 7 >= 5 AND user_id % 2 = 0 THEN 'name ' || event_id END p_name,
+   CASE WHEN event_id % 7 >= 5 AND user_id % 3 = 0 THEN value END p_award, CASE WHEN event_id % 7 = 6 AND user_id % 5 = 0 THEN 'pending' WHEN event_id % 7 = 6 AND user_id % 5 = 1 THEN 'rejected' END p_status FROM events),
+ j0 AS (SELECT ev.*, cand.status old, CASE decision WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE p_status END verdict FROM ev LEFT JOIN cand USING (id)),
+ j1 AS (SELECT *, coalesce(last_value(verdict IGNORE NULLS) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), old) now FROM j0),
+ j2 AS (SELECT *, CASE WHEN old IS NULL THEN 'Candidate not found' WHEN decision = 'submit' AND now = 'rejected' THEN 'Rejected candidates cannot be marked as submitted' END refused FROM j1),
+ ok AS (SELECT *, CASE WHEN decision IN ('approve', 'reject') OR (decision = 'submit' AND notes <> '') THEN trim(concat_ws(' ', '[' || reviewer || ']', nullif(notes, ''))) END n,
+   CASE WHEN decision IN ('approve', 'reject') THEN coalesce(reviewer, '') WHEN decision = 'submit' THEN reviewer END who FROM j2 WHERE refused IS NULL),
+ base AS (SELECT id, max(ord) FILTER (n IS NOT NULL) noted FROM ok GROUP BY 1),
+ fin AS (SELECT ok.id, arg_max(coalesce(CASE WHEN decision = 'submit' THEN 'submitted' END, verdict), ord) FILTER (decision = 'submit' OR verdict IS NOT NULL) st, arg_max(n, ord) FILTER (n IS NOT NULL) n,
+   arg_max(who, ord) FILTER (who IS NOT NULL) who, string_agg('[' || reviewer || ']', ' ' ORDER BY ord DESC) FILTER (decision = 'submit' AND notes = '' AND reviewer IS NOT NULL AND (noted IS NULL OR ord > noted)) marks,
+   bool_or(decision = 'suggest') sug, arg_max(p_name, ord) FILTER (p_name IS NOT NULL) p_name, arg_max(p_award, ord) FILTER (p_award IS NOT NULL) p_award FROM ok JOIN base USING (id) GROUP BY 1)"""
+
+
+@query(
+    "review_patches",
+    f"""WITH {PATCH_SQL} SELECT cand.id, coalesce(st, cand.status) status, CASE WHEN marks IS NULL THEN coalesce(fin.n, '') ELSE concat_ws(' ', marks, nullif(fin.n, '')) END AS review_notes,
+ coalesce(who, '') reviewed_by, coalesce(sug, false) user_suggested, coalesce(p_name, 'n') AS name, coalesce(p_award, cand.award_amount) award_amount FROM cand LEFT JOIN fin USING (id)""",
+)
+def review_patches(spark, sf):
+    """Reviews, marks and patches of the same few hundred candidates, many of them each."""
+    done, _ = _patched(spark, sf)
+    return done.select("id", "status", "review_notes", "reviewed_by", "user_suggested", "name", "award_amount")
+
+
+@query("refused_patches", f"WITH {PATCH_SQL} SELECT ord, id, refused FROM j2 WHERE refused IS NOT NULL")
+def refused_patches(spark, sf):
+    return _patched(spark, sf)[1].select("ord", "id", "refused")
+
+
+def _patched(spark, sf):
+    k, u = F.col("event_id"), F.col("user_id")
+    kind = k % 7
+    patch = F.struct(
+        F.when((kind >= 5) & (u % 2 == 0), F.concat(F.lit("name "), k)).alias("name"), F.when((kind >= 5) & (u % 3 == 0), F.col("value")).alias("award_amount"),
+        F.when((kind == 6) & (u % 5 == 0), "pending").when((kind == 6) & (u % 5 == 1), "rejected").alias("status"),
+    )
+    rv = table(spark, sf, "events").select(
+        k.alias("ord"), F.concat(F.lit("o"), k % 900).alias("id"),
+        F.when(kind == 0, "approve").when(kind == 1, "reject").when(kind.isin(2, 3), "submit").when(kind == 4, "suggest").otherwise("patch").alias("decision"),
+        F.when(u % 4 != 0, F.concat(F.lit("u"), u % 5)).alias("reviewer"), F.when(k % 3 == 0, F.concat(F.lit("note "), k)).otherwise("").alias("notes"),
+        F.lit("").alias("tier_override"), F.col("ts").alias("reviewed_at"), patch.alias("patch"),
+    )
+    stored = candidates(spark, sf).withColumns({"name": F.lit("n"), "review_notes": F.lit(""), "reviewed_by": F.lit("")})
+    return s.review_updates(stored, rv, prefix_reviewer=True)
+
+
+# Parts are the catalog; a user's queue holds the parts of its open orders; all other order lines are suggestions.
+SUGGEST_SQL = """ l AS (SELECT o_custkey user_id, ((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 10007 + l_suppkey ord, l_partkey p, l_linestatus = 'O' AND o_orderstatus = 'O' queued FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+ q AS (SELECT DISTINCT user_id, p FROM l WHERE queued), s AS (SELECT * FROM l WHERE NOT queued),
+ vet AS (SELECT user_id, ord, 'already_in_catalog' status, p::VARCHAR existing_id, EXISTS (FROM q WHERE q.user_id = s.user_id AND q.p = s.p) reprioritized FROM s WHERE p % 4 = 0),
+ rest AS (SELECT s.*, p // 3 g FROM s WHERE p % 4 <> 0),
+ kn AS (SELECT DISTINCT user_id, p // 3 g FROM q WHERE p % 4 <> 0)"""
+
+
+@query(
+    "judge_suggestions",
+    f"""WITH {SUGGEST_SQL} SELECT * FROM vet UNION ALL SELECT rest.user_id, ord, CASE WHEN kn.g IS NOT NULL OR row_number() OVER (PARTITION BY rest.user_id, rest.g ORDER BY ord) > 1 THEN 'already_in_queue' ELSE 'imported' END,
+ NULL, false FROM rest LEFT JOIN kn ON kn.user_id = rest.user_id AND kn.g = rest.g""",
+)
+def judge_suggestions(spark, sf):
+    l = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    p = F.col("l_partkey")
+    vetted = p % 4 == 0
+    rows = l.select(
+        F.col("o_custkey").alias("user_id"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000003 + p) * 10007 + F.col("l_suppkey")).alias("ord"), p.cast("string").alias("id"),
+        ((F.col("l_linestatus") == "O") & (F.col("o_orderstatus") == "O")).alias("queued"),
+        F.when(vetted, F.concat(F.lit("https://P.example.org/"), p)).otherwise(F.concat(F.lit("https://u.example.org/"), p)).alias("source_url"),
+        F.when(vetted, F.concat(F.lit("v"), p)).otherwise(F.concat(F.lit("n"), F.floor(p / 3))).alias("name"), F.lit("x.org").alias("source_domain"),
+    )
+    k = F.col("p_partkey")
+    catalog_ = table(spark, sf, "part").filter(k % 4 == 0).select(
+        k.alias("id"), F.concat(F.lit("https://p.example.org/"), k).alias("source_url"), F.concat(F.lit("offer "), k).alias("name"), F.lit("y.org").alias("source_domain")
+    )
+    queue = rows.filter("queued").select("user_id", "id", "source_url", "name", "source_domain")
+    return s.judge_suggestions(rows.filter("not queued").drop("queued", "id"), catalog_, queue)
+
+
 @query(
     "export_offers",
     f"WITH {CAND_SQL} SELECT id, 'Tier 1' source_tier, strftime(o_orderdate, '%Y-%m-%d') verified_at, award_amount FROM cand WHERE status = 'approved'",

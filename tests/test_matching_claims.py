@@ -100,11 +100,10 @@ def test_claims_against_plain_loop(spark):
             conflicts.append((p, d, cur[0], val, cur[0], cur[2]))
     got = {x.profile_id: (x.value, x.confidence, x.document_id) for x in c.merge_claims(df).collect()}
     assert got == want
-    for size in (7, 1000):
-        out = c.claim_conflicts(df, size).collect()
-        assert sorted(
-            (x.profile_id, x.doc_ord, x.previous_value, x.incoming_value, x.chosen_value, x.chosen_source) for x in out
-        ) == sorted(conflicts)
+    out = c.claim_conflicts(df).collect()
+    assert sorted(
+        (x.profile_id, x.doc_ord, x.previous_value, x.incoming_value, x.chosen_value, x.chosen_source) for x in out
+    ) == sorted(conflicts)
 
 
 def test_overrides_and_model_values(spark):
