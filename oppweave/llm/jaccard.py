@@ -8,10 +8,10 @@ are merged, long ones only probed (DivideSkip). On a cluster:
 2. Whatever order all sets keep to, two linked sets share at least l of the first n - T + l
    shingles of each, for any l. The order puts shingles that looked common in some block
    of texts last. Any order gives the same result; this one keeps lists short. Here l is a
-   fifth of n.
+   tenth of n.
 3. Prefix shingles of two or more nodes are the lists. A node with fewer than l of them (of the
    smallest partner that it may have) is alone: a passage that many texts share is not enough, unless
-   it is two fifths of a text.
+   it is about a quarter of a text.
 4. Nodes are dealt to chunks by their longest list, near copies to the same one, and search their own chunk and
    the next of its kind. That joins nearly all of a group at a cost linear in its size.
 5. Lists whose nodes are still in several groups: a node searches the chunks in which at least l of
@@ -37,7 +37,7 @@ from .words import Words, word_blocks
 
 SHINGLE = 5  # words
 PERCENT = 80  # of the union that the intersection must have
-LISTS = 5  # the share of a set that must be in lists with a partner is one in so many
+LISTS = 10  # the share of a set that must be in lists with a partner is one in so many
 COMMON_IN_BLOCK = 3  # texts of one block in which a shingle looks common
 COMMON_KEPT = 1 << 17  # common shingles that are sent to all tasks, the most common first; only the order depends on it
 BITS = 1 << 26  # bits of the table of shingles that have lists
