@@ -53,24 +53,22 @@ def full_rank(df: DataFrame, keys: list[str], order: list[Column], out: str) ->
     )
 
 
-def running_max(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
-    """The largest ``value`` (nulls aside) of each key's earlier rows, null for the first, without one task per key.
+def running_max(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """``df`` with the largest of each of ``values`` (nulls aside) in the key's earlier rows, null where there is none.
 
-    With a struct that begins with the order, this is the last value before a row. The rows are cut into even ranges
-    as in :func:`full_rank`; a range starts from the largest value of the key's ranges before it.
+    With a struct that begins with the order, this is the last value before a row. No key is one task: the rows are cut
+    into even ranges as in :func:`full_rank`, and a range starts from the largest value of the key's ranges before it.
     """
     by = [*map(F.col, keys), *order]
-    ranged = cut(df.withColumn("__value", value).repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))
+    own = {f"__v{i}": value for i, value in enumerate(values.values())}
+    ranged = cut(df.withColumns(own).repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))
     parts = [*keys, "__range"]
     before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     names = {k: f"__k{i}" for i, k in enumerate(parts)}
-    starts = ranged.groupBy(*parts).agg(F.max("__value").alias("__most")).select(
-        *[F.col(k).alias(n) for k, n in names.items()], F.max("__most").over(before).alias("__start")
+    starts = ranged.groupBy(*parts).agg(*[F.max(c).alias(c) for c in own]).select(
+        *[F.col(k).alias(n) for k, n in names.items()], *[F.max(c).over(before).alias(f"{c}_start") for c in own]
     )
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
     inner = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        ranged.join(starts, same)
-        .withColumn(out, F.greatest("__start", F.max("__value").over(inner)))
-        .drop(*names.values(), "__start", "__range", "__value")
-    )
+    found = {out: F.greatest(f"{c}_start", F.max(c).over(inner)) for out, c in zip(values, own)}
+    return ranged.join(starts, same).withColumns(found).drop(*names.values(), *own, *[f"{c}_start" for c in own], "__range")

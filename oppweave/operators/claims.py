@@ -48,7 +48,7 @@ def claim_conflicts(claims: DataFrame) -> DataFrame:
     """
     rows = claims.filter(nonblank("value").isNotNull())
     order = [F.col("doc_ord").asc(), F.col("value").desc(), F.col("document_id").desc()]
-    best = running_max(rows, KEY, order, _rank(), "best")
+    best = running_max(rows, KEY, order, {"best": _rank()})
     wins = F.col("confidence") > F.col("best.confidence")
     return best.filter(F.col("best").isNotNull() & (F.col("value") != F.col("best.value"))).select(
         *KEY,

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..functions.ranks import top_n
+from ..functions.ranks import running_max, top_n
 from ..functions.text import clean, nonblank
 
 HISTORY_COLUMNS = [
@@ -128,6 +128,29 @@ def upsert_history(history: DataFrame, updates: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce("normalized_url", F.lit("")) != "").groupBy("normalized_url").agg(*aggs)
 
 
+def recent_fetches(history: DataFrame, updates: DataFrame, ttl: dict[str, float] | None = None) -> DataFrame:
+    """``updates`` with the record of their URL just before each, and whether that was still fresh (``skip``).
+
+    The record is ``history`` with the earlier updates (by ``ord``, of the same table) folded in, and an update's clock
+    is its own ``last_seen_at``, so the flags do not depend on how a stream of updates is cut into tables.
+    """
+    fetched, kind = F.col("last_fetched_at"), nonblank(clean("page_type"))
+    at = F.col("ord").alias("at")
+    keyed = updates.filter(F.coalesce("normalized_url", F.lit("")) != "")
+    earlier = running_max(
+        keyed, ["normalized_url"], [F.col("ord").asc()],
+        {"__f": F.when(fetched.isNotNull(), F.struct(at, fetched.alias("x"))), "__p": F.when(kind.isNotNull(), F.struct(at, kind.alias("x")))},
+    )
+    stored = history.select("normalized_url", F.col("last_fetched_at").alias("__hf"), nonblank("page_type").alias("__hp"))
+    both = earlier.join(stored, "normalized_url", "left").withColumns(
+        {"fetched_before": F.coalesce("__f.x", "__hf"), "type_before": F.coalesce("__p.x", "__hp", F.lit("unknown"))}
+    )
+    age = F.greatest(F.lit(0.0), (_seconds(F.col("last_seen_at")) - _seconds(F.col("fetched_before"))) / 3600)
+    aged = both.withColumn("age_hours", F.when(F.col("fetched_before").isNotNull(), age))
+    fresh = F.col("age_hours") < ttl_hours(F.col("type_before"), ttl or v.PAGE_TYPE_TTL_HOURS)
+    return aged.withColumn("skip", F.coalesce(fresh, F.lit(False))).drop("__f", "__p", "__hf", "__hp")
+
+
 def recent(history: DataFrame, as_of: str, days: int = 14) -> DataFrame:
     """History rows fetched within the trailing window."""
     age = _seconds(F.lit(as_of)) - _seconds(F.col("last_fetched_at"))

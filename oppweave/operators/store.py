@@ -221,7 +221,7 @@ def review_updates(
     verdict = F.when(d == "approve", "approved").when(d == "reject", "rejected").otherwise(set_status)
     # A submit that is not refused follows no rejection, so only the other updates decide about refusals.
     seen = F.when(verdict.isNotNull(), F.struct(F.col("ord").alias("at"), verdict.alias("status")))
-    r = running_max(r, ["id"], [F.col("ord").asc()], seen, "__seen")
+    r = running_max(r, ["id"], [F.col("ord").asc()], {"__seen": seen})
     now = F.coalesce("__seen.status", "__old")
     known = ("approve", "reject", "submit", "suggest", *(["patch"] if fields else []))
     r = r.withColumn(

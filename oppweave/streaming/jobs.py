@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.history import HISTORY_COLUMNS, history_lookup, upsert_history
+from ..operators.history import HISTORY_COLUMNS, recent_fetches, upsert_history
 from ..sources.readers import RUN_LOG, parse_run_log
 
 
-def _version(table: str, batch_id: int) -> str:
-    return f"{table}/v={batch_id}"
-
-
 HISTORY_SCHEMA = (
     "normalized_url STRING, url STRING, source_domain STRING, page_type STRING, last_seen_at TIMESTAMP, "
     "last_fetched_at TIMESTAMP, last_search_query STRING, last_error STRING, candidate_id STRING, "
@@ -21,39 +17,65 @@ HISTORY_SCHEMA = (
 )
 
 
+BUCKETS = 64  # of a history table
+
+
 def stream_history(
-    updates: DataFrame, table: str, checkpoint: str, suppressed: str | None = None, available_now: bool = True
+    updates: DataFrame, table: str, checkpoint: str, suppressed: str | None = None, available_now: bool = True,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Keep the history table current from a stream of fetch events.
 
-    Each batch folds its updates into the newest version below its own id and
-    writes a version named after the batch, so a batch that runs again after a
-    failure gives the same version instead of applying twice.  With ``suppressed``
-    the events that came within the TTL of the stored fetch are written as well.
+    The table is cut into buckets by URL. A batch folds its updates into the buckets that they touch, writes these
+    below its own number (``v=<batch>/b=<bucket>``), and then a list of each bucket's newest version
+    (``versions/v=<batch>``). A batch that runs again after a failure starts from the list of the batch before and gives the same files. With
+    ``suppressed`` the events that came within the TTL of their URL's record at that moment are written as well, the
+    same ones however the stream is cut into batches.
     """
     spark = updates.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        before = _below(spark, table, batch_id)
+        keyed = batch.filter(F.coalesce("normalized_url", F.lit("")) != "").withColumn("b", _bucket(buckets))
+        touched = [r["b"] for r in keyed.select("b").distinct().collect()]  # at most a row per bucket
+        versions = _versions(spark, table, batch_id)
+        before = _read(spark, table, {b: versions[b] for b in touched if b in versions})
         if suppressed:
-            newest = batch.agg(F.max("last_seen_at")).first()[0]
-            if newest is not None:
-                probe = batch.select("normalized_url", "ord", "last_seen_at")
-                looked = history_lookup(probe, before, str(newest))
-                looked.filter("skip").write.mode("overwrite").parquet(_version(suppressed, batch_id))
-        upsert_history(before, batch.select(*HISTORY_COLUMNS, "ord")).write.mode("overwrite").parquet(
-            _version(table, batch_id)
-        )
+            flagged = recent_fetches(before, batch.select(*HISTORY_COLUMNS, "ord"))
+            flagged.filter("skip").write.mode("overwrite").parquet(f"{suppressed}/v={batch_id}")
+        after = upsert_history(before, batch.select(*HISTORY_COLUMNS, "ord")).withColumn("b", _bucket(buckets))
+        after.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{table}/v={batch_id}")
+        versions |= dict.fromkeys(touched, batch_id)
+        rows = spark.createDataFrame(sorted(versions.items()), VERSION_SCHEMA)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{table}/versions/v={batch_id}")
 
     writer = updates.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _below(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
-    """Version of the batch before, which the stream has always finished first."""
+VERSION_SCHEMA = "b INT, v LONG"
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("normalized_url"), F.lit(buckets)).cast("int")
+
+
+def _versions(spark: SparkSession, table: str, batch_id: int) -> dict[int, int]:
+    """Newest version of each bucket before a batch; the stream has always finished the batch before."""
     if batch_id == 0:
+        return {}
+    rows = spark.read.schema(VERSION_SCHEMA).parquet(f"{table}/versions/v={batch_id - 1}")
+    return {r["b"]: r["v"] for r in rows.collect()}
+
+
+def _read(spark: SparkSession, table: str, versions: dict[int, int]) -> DataFrame:
+    if not versions:
         return spark.createDataFrame([], HISTORY_SCHEMA)
-    return spark.read.schema(HISTORY_SCHEMA).parquet(_version(table, batch_id - 1))
+    return spark.read.schema(HISTORY_SCHEMA).parquet(*[f"{table}/v={v}/b={b}" for b, v in sorted(versions.items())])
+
+
+def read_history(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
+    """The history table as it stood after a batch."""
+    return _read(spark, table, _versions(spark, table, batch_id + 1))
 
 
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:

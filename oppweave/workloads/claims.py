@@ -212,17 +212,18 @@ def candidate_risk(spark, sf):
 
 @query(
     "import_candidates",
-    """WITH i AS (SELECT o_orderkey id, o_custkey FROM orders WHERE o_orderstatus = 'O'), p AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000)
- SELECT min(id) id FROM i ANTI JOIN p USING (o_custkey) GROUP BY o_custkey""",
+    """WITH p AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus IN ('P', 'F'))
+ SELECT min(o_orderkey) id FROM (SELECT * FROM orders WHERE o_orderstatus = 'O') i ANTI JOIN p USING (o_custkey, o_orderpriority) GROUP BY o_custkey, o_orderpriority""",
 )
 def import_candidates(spark, sf):
+    """Open orders against rejected ones in the store and filled ones in the catalog; customer and priority are the offer."""
+    offer = F.concat_ws("/", "o_custkey", "o_orderpriority")
     o = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("id"), F.concat(F.lit("https://x.example.org/"), F.col("o_custkey")).alias("source_url"),
-        F.concat(F.lit("n"), F.col("o_custkey")).alias("name"), F.lit("x.example.org").alias("source_domain"),
-        "o_orderstatus", "o_totalprice",
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("https://x.example.org/"), offer).alias("source_url"),
+        F.concat(F.lit("n"), offer).alias("name"), F.lit("x.example.org").alias("source_domain"), "o_orderstatus",
     )
-    kept = o.filter("o_orderstatus = 'P' AND o_totalprice > 300000")
-    return s.import_candidates(o.filter("o_orderstatus = 'O'"), kept, kept, "id", "id").select("id")
+    part = {x: o.filter(F.col("o_orderstatus") == x) for x in "OPF"}
+    return s.import_candidates(part["O"], part["P"], part["F"], "id", "id").select("id")
 
 
 # Chains of shared keys: rows of one customer share a URL with the next row and a

@@ -284,11 +284,33 @@ def weakness_after_history(spark, sf):
     return o.weakness_after_history(h.history_gate(_looked(spark, sf), "rerun"))
 
 
+_TTL = "CASE tb " + " ".join(f"WHEN '{k}' THEN {t}" for k, t in v.PAGE_TYPE_TTL_HOURS.items()) + " END"
+
+
+@query(
+    "recent_fetches",
+    f"""WITH {EVENTS_SQL}, hist AS (SELECT DISTINCT 'https://u' || user_id || '.example.net/' normalized_url, TIMESTAMP '2023-12-31 20:00:00' hf, CASE WHEN user_id % 2 = 0 THEN 'fetch_error' ELSE '' END hp FROM events WHERE user_id % 3 > 0),
+ b AS (SELECT ord, u.normalized_url, last_seen_at, coalesce(last_value(last_fetched_at IGNORE NULLS) OVER w, hf) fb, coalesce(last_value(nullif(trim(page_type), '') IGNORE NULLS) OVER w, nullif(hp, ''), 'unknown') tb
+   FROM updates u LEFT JOIN hist USING (normalized_url) WINDOW w AS (PARTITION BY u.normalized_url ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ a AS (SELECT *, CASE WHEN fb IS NOT NULL THEN greatest(0, (epoch(last_seen_at) - epoch(fb)) / 3600) END age FROM b)
+ SELECT ord, normalized_url, tb type_before, round(age, 4) age_hours, coalesce(age < {_TTL}, false) AS skip FROM a""",
+)
+def recent_fetches(spark, sf):
+    """Every fetch event against its URL's record at that moment."""
+    users = table(spark, sf, "events").filter("user_id % 3 > 0").select("user_id").distinct()
+    hist = users.select(
+        F.concat(F.lit("https://u"), "user_id", F.lit(".example.net/")).alias("normalized_url"),
+        F.lit("2023-12-31 20:00:00").cast("timestamp").alias("last_fetched_at"), F.when(F.col("user_id") % 2 == 0, "fetch_error").otherwise("").alias("page_type"),
+    )
+    got = h.recent_fetches(hist, event_updates(spark, sf))
+    return got.select("ord", "normalized_url", "type_before", F.round("age_hours", 4).alias("age_hours"), "skip")
+
+
 REVISIT_SQL = f"""
 WITH {EVENTS_SQL},
- f AS (SELECT user_id // 10 run_id, event_id AS rank, normalized_url, CASE WHEN ts > TIMESTAMP '2024-01-29' OR user_id % 3 > 0 THEN 'skip' ELSE 'fetch' END decision,
+ f AS (SELECT user_id // 10 run_id, event_id AS rank, normalized_url, CASE WHEN event_id % 500 = 0 THEN 'fetch' ELSE 'skip' END decision,
    page_type, round(epoch(TIMESTAMP '{AS_OF}' - last_fetched_at) / 3600, 3) age_hours
-   FROM updates JOIN events ON event_id = ord WHERE ts > TIMESTAMP '2024-01-28'),
+   FROM updates JOIN events ON event_id = ord),
  c AS (SELECT run_id, count(*) FILTER (decision <> 'skip') n, count(*) FILTER (decision = 'skip') k FROM f GROUP BY 1),
  b AS (SELECT run_id, least(6, greatest(1, least(CASE WHEN n = 0 THEN 6 ELSE greatest(1, 6 - n) END, k))) budget FROM c
    WHERE k > 0 AND n < 6),
@@ -302,7 +324,7 @@ WITH {EVENTS_SQL},
     REVISIT_SQL + " SELECT r.run_id, rank, page_type, age_hours, revisit_rank FROM r JOIN b ON b.run_id = r.run_id WHERE revisit_rank <= budget",
 )
 def select_revisits(spark, sf):
-    up = event_updates(spark, sf).filter(F.col("last_seen_at") > "2024-01-28")
+    up = event_updates(spark, sf)
     age = F.lit(AS_OF).cast("timestamp").cast("double") - F.col("last_fetched_at").cast("double")
     users = table(spark, sf, "events").select(F.col("event_id").alias("ord"), "user_id")
     gated = up.join(users, "ord").select(
@@ -310,8 +332,7 @@ def select_revisits(spark, sf):
         F.col("ord").alias("rank"),
         "page_type",
         F.round(age / 3600, 3).alias("age_hours"),
-        F.when((F.col("last_seen_at") > "2024-01-29") | (F.col("user_id") % 3 > 0), "skip")
-        .otherwise("fetch").alias("decision"),
+        F.when(F.col("ord") % 500 == 0, "fetch").otherwise("skip").alias("decision"),
     )
     return h.select_revisits(gated, fresh_start=True).select(
         "run_id", "rank", "page_type", "age_hours", "revisit_rank"
@@ -373,16 +394,20 @@ def recent_domain_counts(spark, sf):
     )
 
 
-FEED_SQL = """ fb AS (SELECT 'u' || (o_custkey % 30) || '.example.net' source_domain, count(*) FILTER (o_orderstatus = 'F') approved,
+FEED_SQL = """ fb AS (SELECT CASE WHEN o_orderstatus = 'P' AND o_custkey % 11 = 0 THEN 'r' || (o_custkey % 3) ELSE 'u' || (o_custkey % 30) END || '.example.net' source_domain, count(*) FILTER (o_orderstatus = 'F') approved,
  count(*) FILTER (o_orderstatus = 'P') rejected, 0 submitted, count(*) FILTER (o_orderstatus = 'O') pending FROM orders
- WHERE o_totalprice > 480000 GROUP BY 1)"""
+ GROUP BY 1)"""
 
 
 def _feedback(spark, sf):
     s = F.col("o_orderstatus")
     return h.domain_feedback(
-        table(spark, sf, "orders").filter("o_totalprice > 480000").select(
-            F.concat(F.lit("u"), F.col("o_custkey") % 30, F.lit(".example.net")).alias("source_domain"),
+        table(spark, sf, "orders").select(
+            F.concat(
+                F.when((s == "P") & (F.col("o_custkey") % 11 == 0), F.concat(F.lit("r"), F.col("o_custkey") % 3))
+                .otherwise(F.concat(F.lit("u"), F.col("o_custkey") % 30)),
+                F.lit(".example.net"),
+            ).alias("source_domain"),
             F.when(s == "F", "approved").when(s == "P", "rejected").otherwise("pending").alias("status"),
         )
     )

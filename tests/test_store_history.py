@@ -54,13 +54,41 @@ def test_stream_equals_batch_with_restart(spark, tmp_path):
         spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(ddl).parquet(src)
         st.stream_history(stream, table, ck, skip).awaitTermination()
-    got = spark.read.schema(HIST).parquet(f"{table}/v=1")
+    got = st.read_history(spark, table, 1)
     want = h.upsert_history(spark.createDataFrame([], HIST), spark.createDataFrame(rows, ddl))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     # u1 failed at 1h and comes again at 4h, within the six hours of an error.
     assert {x.normalized_url for x in spark.read.parquet(f"{skip}/v=1").collect()} >= {"u1"}
 
 
+def test_flags_and_table_do_not_depend_on_the_cut(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    kinds = ["", "direct_scholarship", "scholarship_list_page", "fetch_error"]
+    rows = [
+        (*rec(f"u{rng.randint(0, 4)}", rng.choice(kinds), datetime(2026, 1, 1 + i // 20, i % 20), last_error=f"e{i}" if i % 3 else ""), i) for i in range(40)
+    ]
+    rows = [(*r[:5], None if i % 5 == 0 else r[5], *r[6:]) for i, r in enumerate(rows)]  # some are seen and not fetched
+    ddl = HIST + ", ord bigint"
+    whole = spark.createDataFrame(rows, ddl)
+    none = spark.createDataFrame([], HIST)
+    flags = {r["ord"] for r in h.recent_fetches(none, whole).filter("skip").collect()}
+    table_rows = sorted(map(str, h.upsert_history(none, whole).collect()))
+    assert 0 < len(flags) < 40
+    for name, cuts in (("a", [40]), ("b", [1, 17, 19, 40])):
+        src, table, ck, skip = (str(tmp_path / name / x) for x in ("in", "table", "ck", "skip"))
+        for start, end in zip([0, *cuts], cuts):
+            spark.createDataFrame(rows[start:end], ddl).coalesce(1).write.mode("append").parquet(src)
+            st.stream_history(spark.readStream.schema(ddl).parquet(src), table, ck, skip, buckets=4).awaitTermination()
+        last = len(cuts) - 1
+        assert {r["ord"] for r in spark.read.parquet(skip).collect()} == flags
+        assert sorted(map(str, st.read_history(spark, table, last).collect())) == table_rows
+    # A batch rewrites the buckets of its URLs only.
+    touched = {r["b"] for r in spark.createDataFrame(rows[17:19], ddl).select(st._bucket(4).alias("b")).collect()}
+    assert {r["b"] for r in spark.read.parquet(f"{table}/v=2").select("b").collect()} == touched
+
+
 def test_log_stream_equals_batch(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("log", "out", "ck"))
     import json
