@@ -9,6 +9,7 @@ from ..functions.text import flag
 from ..operators import batch as b
 from ..operators import hubs as h
 from ..operators import routing as r
+from ..operators.links import mark_seen
 from ..session import cut
 
 LEAD = "run_id STRING, hub STRING, url STRING, lead_ord BIGINT, source_type STRING, verification_priority STRING, is_official BOOLEAN, needs_verification BOOLEAN, enqueued_round INT"
@@ -23,17 +24,20 @@ def _lead_rows(df: DataFrame) -> DataFrame:
 
 def hub_rounds(
     hits: DataFrame, bundles: DataFrame, links: DataFrame, max_rounds: int = 5, pages_per_run: int = 18,
-    per_round: int = 6, leads_per_hub: int = 6, target: int = 5,
+    per_round: int = 6, leads_per_hub: int = 6, target: int = 5, history: DataFrame | None = None, as_of: str | None = None,
 ) -> dict[str, DataFrame]:
     """Run the hub flow until every run stops.
 
     ``hits`` carry the batch features, ``bundles(run_id, page_id, canonical_url,
     ...)`` the stored pages as each run sees them, ``links(page_id, ...)`` their
-    child links.  All runs move together; runs that stopped leave the round.  The
+    child links. With a fetch ``history``, links whose page was fetched recently at ``as_of`` are marked and rank
+    lower; without one the links' own ``seen_recently`` counts.  All runs move together; runs that stopped leave the round.  The
     state of each round is written out, so a lost executor costs one round at most.
     A hub's leads are cut to ``leads_per_hub`` whatever the page budget left.
     """
     spark = hits.sparkSession
+    if history is not None:
+        links = cut(mark_seen(links.drop("seen_recently"), history, as_of))
     hits = cut(hits.withColumn("run_id", F.col("run_id").cast("string")))
     bundles = cut(bundles.withColumn("run_id", F.col("run_id").cast("string")))
     runs = hits.select("run_id").distinct()

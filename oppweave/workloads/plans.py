@@ -7,6 +7,9 @@ from ..operators import expansion as e
 from ..operators import history as h
 from ..operators import queries as q
 from ..operators import texts as t
+from ..functions.ranks import first_per
+from ..functions.urls import canonical_url
+from ..operators.links import mark_seen
 from ..plans.discover import discover
 from ..plans.hub_rounds import hub_rounds
 from ..plans.match_profiles import match_profiles
@@ -565,13 +568,42 @@ def discover_(spark, sf):
     return out["candidates"].select("run_id", "source_url", "name", "score", "position")
 
 
+def part_fetches(spark, sf):
+    """A history in which most parts' pages were fetched some hours ago."""
+    pages = offer_pages(spark, sf).select(canonical_url("url").alias("normalized_url"), (F.col("page_id") % 60).cast("int").alias("hours"), "page_id")
+    ago = F.lit(WALK_AS_OF).cast("timestamp") - F.make_interval(hours="hours")
+    kind = F.when(F.col("page_id") % 2 == 0, "scholarship_list_page").otherwise("direct_scholarship")
+    kept = pages.filter("page_id % 5 > 0").select("normalized_url", ago.alias("last_fetched_at"), kind.alias("page_type"), "page_id")
+    return first_per(kept, ["normalized_url"], [F.col("page_id")]).drop("page_id")
+
+
+@query(
+    "seen_links",
+    """WITH h AS (SELECT p_partkey p, CASE WHEN p_partkey % 2 = 0 THEN 12 ELSE 24 END ttl, p_partkey % 60 age FROM part WHERE p_partkey % 5 > 0)
+ SELECT l_orderkey AS page_id, l_linenumber AS "position", l_partkey, coalesce(age < ttl, false) seen_recently FROM lineitem LEFT JOIN h ON p = l_partkey""",
+)
+def seen_links(spark, sf):
+    """Order lines as links to parts' pages, most of which were fetched some hours ago."""
+    k = F.col("p_partkey")
+    history_ = table(spark, sf, "part").filter(k % 5 > 0).select(
+        canonical_url(F.concat(F.lit("https://p.example.org/"), k)).alias("normalized_url"),
+        (F.lit(WALK_AS_OF).cast("timestamp") - F.make_interval(hours=(k % 60).cast("int"))).alias("last_fetched_at"),
+        F.when(k % 2 == 0, "scholarship_list_page").otherwise("direct_scholarship").alias("page_type"),
+    )
+    links = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("position"), "l_partkey",
+        F.concat(F.lit("https://p.example.org/"), F.col("l_partkey"), F.lit("/?utm_=x")).alias("url"),
+    )
+    return mark_seen(links, history_, WALK_AS_OF).select("page_id", "position", "l_partkey", "seen_recently")
+
+
 @query("hub_rounds")
 def hub_rounds_(spark, sf):
     b = part_bundles(spark, sf)
     from ..operators.links import best_links
     from ..operators.urls import canonical_url
 
-    links = best_links(part_links(spark, sf), v.LIMITS["links_per_page"]).drop("position").withColumnRenamed("page_rank", "position").withColumn("seen_recently", F.lit(False))
+    links = best_links(part_links(spark, sf), v.LIMITS["links_per_page"]).drop("position").withColumnRenamed("page_rank", "position")
     s = F.col("kind")
     hits = part_hits(spark, sf).withColumns(
         {
@@ -582,5 +614,6 @@ def hub_rounds_(spark, sf):
             "provider_rank": (F.col("ord") % 20).cast("int"),
         }
     )
-    out = hub_rounds(hits, b, cut(links), max_rounds=3)
+    fetched = part_fetches(spark, sf)
+    out = hub_rounds(hits, b, cut(links), max_rounds=3, history=fetched, as_of=WALK_AS_OF)
     return out["decisions"]
