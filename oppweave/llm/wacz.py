@@ -1,8 +1,9 @@
 """Web archives in ZIP packages: writer, and a reader that fetches single records by byte ranges.
 
-A package holds ``archive/data.warc.gz`` (each record a gzip member of its own) and
-``indexes/index.cdxj``, both stored without compression, so that a record's bytes lie
-in one range of the package.
+A package holds ``archive/data.warc.gz`` (each record a gzip member of its own),
+``indexes/index.cdxj`` (a line per record, sorted by its key: URL key, time and a JSON object) and ``datapackage.json``, all stored
+without compression, so that a record's bytes lie in one range of the package. The reader takes all
+stored files below ``archive/`` and all indexes, ``.cdxj`` and ``.cdx``, below ``indexes/``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import struct
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ from .files import Ranges, by_file, create, shared_folder, stored, task_file
 END, END64, LOCATOR, CENTRAL, LOCAL = (
     b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04",
 )
-ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVE, INDEX, PACKED = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"  # the pages have no time of capture
 
@@ -49,6 +51,9 @@ def members(read: Ranges) -> dict[str, Member]:
     tail_size = min(read.size, (1 << 16) + 22 + 20)
     tail = read(read.size - tail_size, tail_size)
     at = tail.rfind(END)
+    # The signature may stand in the comment as well; the true one is followed by a comment up to the file's end.
+    while at >= 0 and (at + 22 > tail_size or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != tail_size):
+        at = tail.rfind(END, 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
     count, size, start = struct.unpack("<HII", tail[at + 10 : at + 20])
@@ -107,8 +112,37 @@ def _name(page_id: int | None) -> str:
 
 
 def _page(name: str) -> int | None:
+    """The page of a record's name; names that others gave have none."""
     number = name.removeprefix("<urn:page:").removesuffix(">")
-    return None if number == "none" else int(number)
+    return int(number) if number.lstrip("-").isdigit() else None
+
+
+def url_key(url: str) -> str:
+    """The key by which indexes are sorted: the host's labels from the last one on, then the path, in lower case."""
+    rest = url.lower().partition("://")[2] or url.lower()
+    host, slash, path = rest.partition("/")
+    labels = host.partition(":")[0].removeprefix("www.").split(".")
+    return quote(",".join(reversed(labels)) + ")" + slash + path, safe="!$&'()*+,-./:;=?@_~%")
+
+
+def index_entries(name: str, text: str) -> Iterator[dict]:
+    """Entries of an index: url, filename ("" if it has none), offset and length of each record.
+
+    A .cdx file begins with a legend that names its columns: a (URL), g (file), V (offset) and S (length); the lines of
+    other indexes end in a JSON object.
+    """
+    lines = [x for x in text.split("\n") if x.strip()]
+    if name.endswith(".cdx"):
+        legend = lines[0].split()[1:] if lines else []
+        for line in lines[1:]:
+            found = dict(zip(legend, line.split()))
+            yield {"url": found.get("a"), "filename": found.get("g", ""), "offset": int(found["V"]), "length": int(found["S"])}
+        return
+    for line in lines:
+        if line.startswith("!"):  # a header of the index itself
+            continue
+        found = json.loads(line[line.index("{") :])
+        yield {"url": found.get("url"), "filename": found.get("filename", ""), "offset": int(found["offset"]), "length": int(found["length"])}
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -127,36 +161,49 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def parse(raw: bytes) -> dict:
-    """A record from its gzip member: WARC fields, answer fields and payload."""
+    """A record from its gzip member: WARC fields, answer fields and payload; only HTTP messages have answer fields."""
     data = gzip.decompress(raw)
     head, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("no WARC record")
-    fields = dict(x.split(": ", 1) for x in lines)
-    body = rest[: int(fields["Content-Length"])]
-    answer, _, payload = body.partition(b"\r\n\r\n")
-    answer_fields = dict(x.split(": ", 1) for x in answer.decode().split("\r\n")[1:])
-    return {"fields": fields, "answer": answer_fields, "payload": payload}
+    fields = dict(x.partition(":")[::2] for x in lines)
+    fields = {k: v.strip() for k, v in fields.items()}
+    payload, answer = rest[: int(fields["Content-Length"])], {}
+    if fields.get("Content-Type", "").startswith("application/http"):
+        said, _, payload = payload.partition(b"\r\n\r\n")
+        answer = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in said.decode("latin-1").split("\r\n")[1:])}
+    return {"fields": fields, "answer": answer, "payload": payload}
 
 
 class _Package:
     """A package being written as a stream; holds the index lines of its records."""
 
     def __init__(self, uri: str):
-        self.uri, self.size, self._lines = uri, 0, []
+        self.uri, self.size, self._lines, self._sum = uri, 0, [], hashlib.sha256()
         self._out = create(uri)
         self._zip = zipfile.ZipFile(_Forward(self._out), "w", zipfile.ZIP_STORED, allowZip64=True)
         self._archive = self._zip.open(ARCHIVE, "w", force_zip64=True)
 
     def add(self, page_id: int | None, url: str | None, raw: bytes) -> None:
         self._archive.write(raw)
-        self._lines.append(json.dumps({"page": page_id, "url": url, "offset": self.size, "length": len(raw)}))
+        self._sum.update(raw)
+        entry = {
+            "url": url, "filename": ARCHIVE.rpartition("/")[2], "offset": str(self.size), "length": str(len(raw)), "page": page_id
+        }
+        stamp = "".join(c for c in DATE if c.isdigit())
+        self._lines.append(f"{url_key(url or '')} {stamp} {json.dumps(entry)}")
         self.size += len(raw)
 
     def close(self) -> None:
         self._archive.close()
-        self._zip.writestr(INDEX, "\n".join(self._lines))
+        index = "\n".join(sorted(self._lines)).encode()
+        self._zip.writestr(INDEX, index)
+        sums = [(ARCHIVE, self.size, self._sum.hexdigest()), (INDEX, len(index), hashlib.sha256(index).hexdigest())]
+        resources = [
+            {"name": path.rpartition("/")[2], "path": path, "bytes": size, "hash": f"sha256:{value}"} for path, size, value in sums
+        ]
+        self._zip.writestr(PACKED, json.dumps({"profile": "data-package", "resources": resources, "wacz_version": "1.1.1"}))
         self._zip.close()
         self._out.close()
 
@@ -226,9 +273,10 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
 def read_packages(packages: DataFrame) -> DataFrame:
     """All records of packages: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
 
-    Each package is opened by its directory; its index is read, then each record by its own range. Size and digest
-    are those of the full payload: a response's are worked out and held against its headers, a revisit's come from
-    its headers.
+    Each package is opened by its directory; its indexes are read, then each record by its own range, a record that several
+    indexes name once. Responses, resources and revisits are given. Size and digest
+    are those of the full payload: a response's are worked out and held against its headers where it has them, a revisit's come from
+    its headers. Records of other writers have no page_id; their refers_to is null as well.
     """
     schema = (
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
@@ -238,23 +286,35 @@ def read_packages(packages: DataFrame) -> DataFrame:
     def rows(uri: str) -> Iterator[dict]:
         with Ranges(uri) as read:
             found = members(read)
-            archive, index = found[ARCHIVE], found[INDEX]
-            if archive.method or index.method:
+            archives = {n.removeprefix("archive/"): m for n, m in found.items() if n.startswith("archive/") and not n.endswith("/")}
+            indexes = {n: m for n, m in found.items() if n.startswith("indexes/") and n.endswith((".cdxj", ".cdx", ".json"))}
+            if any(m.method for m in [*archives.values(), *indexes.values()]):
                 raise ValueError("packed members cannot be read by range")
-            for line in read(index.start, index.size).decode().splitlines():
-                entry = json.loads(line)
-                got = parse(read(archive.start + entry["offset"], entry["length"]))
-                fields, payload = got["fields"], got["payload"]
-                revisit = fields["WARC-Type"] == "revisit"
-                size, value = int(got["answer"]["Content-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if not revisit and (len(payload), digest(payload)) != (size, value):
-                    raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-                yield {
-                    "page_id": _page(fields["WARC-Record-ID"]), "url": entry["url"], "payload_bytes": size,
-                    "payload_digest": value, "record_type": fields["WARC-Type"],
-                    "refers_to": _page(fields["WARC-Refers-To"]) if revisit else None,
-                    "payload": None if revisit else payload,
-                }
+            done: set[tuple[str, int]] = set()
+            for name, index in indexes.items():
+                for entry in index_entries(name, read(index.start, index.size).decode()):
+                    file = entry["filename"].removeprefix("archive/") or next(iter(archives))
+                    if (file, entry["offset"]) in done:
+                        continue
+                    done.add((file, entry["offset"]))
+                    got = parse(read(archives[file].start + entry["offset"], entry["length"]))
+                    if got["fields"]["WARC-Type"] in ("response", "resource", "revisit"):
+                        yield row(entry["url"], **got)
+
+    def row(url: str | None, fields: dict, answer: dict, payload: bytes) -> dict:
+        revisit = fields["WARC-Type"] == "revisit"
+        size, value = answer.get("content-length"), fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+        if not revisit:
+            own = digest(payload)
+            ours = fields.get("WARC-Record-ID", "").startswith("<urn:page:")
+            if (ours and int(size) != len(payload)) or (value is not None and fields["WARC-Payload-Digest"].startswith("sha1:") and value != own):
+                raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
+            size, value = len(payload), own
+        return {
+            "page_id": _page(fields.get("WARC-Record-ID", "")), "url": url, "payload_bytes": None if size is None else int(size),
+            "payload_digest": value, "record_type": fields["WARC-Type"],
+            "refers_to": _page(fields.get("WARC-Refers-To", "")) if revisit else None, "payload": None if revisit else payload,
+        }
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = pa.schema([
@@ -266,7 +326,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 held, size = [], 0
                 for row in rows(uri):
                     held.append(row)
-                    size += row["payload_bytes"]
+                    size += row["payload_bytes"] or 0
                     if size >= 4 << 20 or len(held) == 1000:
                         yield pa.RecordBatch.from_pylist(held, form)
                         held, size = [], 0

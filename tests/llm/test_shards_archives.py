@@ -1,6 +1,9 @@
 """Sharding laws, and web archives read back."""
 
+import gzip
+import hashlib
 import io
+import json
 import math
 import zipfile
 import zlib
@@ -125,6 +128,52 @@ def test_packages_are_zip_files(spark, pages):
             assert read(member.start, member.size) == plain.read(name)
 
 
+def foreign_record(kind, name, body, extra=()):
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), *extra, ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(body)))]
+    return gzip.compress(("WARC/1.0\r\n" + "".join(f"{k}:{v}\r\n" for k, v in fields) + "\r\n").encode() + body + b"\r\n\r\n")
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    one = foreign_record("response", "1", b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\n\r\n<p>one</p>")
+    info = foreign_record("warcinfo", "2", b"software: x\r\n\r\n")
+    two = foreign_record("response", "3", b"HTTP/1.1 200 OK\r\n\r\n", [("WARC-Payload-Digest", "sha1:" + wacz.digest(b""))])
+    again = foreign_record("revisit", "4", b"HTTP/1.1 200 OK\r\nContent-Length: 10\r\n\r\n", [("WARC-Payload-Digest", "sha1:" + wacz.digest(b"<p>one</p>"))])
+    path = tmp_path / "foreign.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/rec-1.warc.gz", info + one)
+        z.writestr("archive/rec-2.warc.gz", two + again)
+        z.writestr("pages/pages.jsonl", "{}", compress_type=zipfile.ZIP_DEFLATED)
+        z.writestr("indexes/index.cdx", f" CDX N b a m s k r M S V g\norg,a)/ 2020 http://a.org/ text/html 200 X - - {len(one)} {len(info)} rec-1.warc.gz\n")
+        entry = '{{"url": "http://b.org/", "filename": "rec-2.warc.gz", "offset": "{}", "length": "{}"}}'
+        lines = [f"org,b)/ 2020 {entry.format(0, len(two))}", f"org,b)/ 2021 {entry.format(len(two), len(again))}"]
+        z.writestr("indexes/index.cdxj", "\n".join(["!meta {}", *lines, lines[0]]))
+        z.comment = b"a comment with PK\x05\x06 in it, and more than twenty-two bytes behind"
+    packages = spark.createDataFrame([(f"file://{path}",)], "package string")
+    rows = {(r["url"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["page_id"]) for r in wacz.read_packages(packages).collect()}
+    sum_one, sum_none = wacz.digest(b"<p>one</p>"), wacz.digest(b"")
+    assert rows == {
+        ("http://a.org/", "response", 10, sum_one, None), ("http://b.org/", "response", 0, sum_none, None), ("http://b.org/", "revisit", 10, sum_one, None)
+    }
+
+
+def test_a_task_reads_each_package(spark, pages):
+    packages = wacz.write_packages(wacz.mark_revisits(pages).repartition(6), wacz.package_folder(spark))
+    read = wacz.read_packages(packages)
+    assert read.rdd.getNumPartitions() == packages.count() > 1
+
+
+def test_indexes_are_sorted_and_the_parts_are_listed(spark, pages):
+    packages = wacz.write_packages(wacz.mark_revisits(pages).coalesce(1), wacz.package_folder(spark))
+    with Ranges(packages.first()["package"]) as read:
+        plain = zipfile.ZipFile(io.BytesIO(read(0, read.size)))
+    lines = plain.read(wacz.INDEX).decode().splitlines()
+    assert lines == sorted(lines) and all(line.split(" ")[1] == "20000101000000" for line in lines)
+    for part in json.loads(plain.read(wacz.PACKED))["resources"]:
+        body = plain.read(part["path"])
+        assert (len(body), "sha256:" + hashlib.sha256(body).hexdigest()) == (part["bytes"], part["hash"])
+    assert wacz.url_key("https://www.A.example.org:8080/X y") == "org,example,a)/x%20y"
+
+
 def test_directories_with_zip64_fields_and_comments(tmp_path):
     path = tmp_path / "x.zip"
     with zipfile.ZipFile(path, "w") as z:
