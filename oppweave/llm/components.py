@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import stored
+from .files import discard, stored
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         large = _large_star(edges)
         small = stored(_small_star(large), "star")
         state = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        discard(edges)
         edges = small
         if tuple(state) == before:
             break

@@ -61,7 +61,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`stored` that no plan will read any more; all that was made from them has been stored."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _open(uri: str):

@@ -8,7 +8,7 @@ are merged, long ones only probed (DivideSkip). On a cluster:
 2. Whatever order all sets keep to, two linked sets share at least l of the first n - T + l
    shingles of each, for any l. The order puts shingles that looked common in some block
    of texts last. Any order gives the same result; this one keeps lists short. Here l is a
-   tenth of n.
+   seventh of n.
 3. Prefix shingles of two or more nodes are the lists. A node with fewer than l of them (of the
    smallest partner that it may have) is alone: a passage that many texts share is not enough, unless
    it is about a quarter of a text.
@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .files import stored
+from .files import discard, stored
 from .words import Words, word_blocks
 
 SHINGLE = 5  # words
 PERCENT = 80  # of the union that the intersection must have
-LISTS = 10  # the share of a set that must be in lists with a partner is one in so many
+LISTS = 7  # the share of a set that must be in lists with a partner is one in so many
 COMMON_IN_BLOCK = 3  # texts of one block in which a shingle looks common
 COMMON_KEPT = 1 << 17  # common shingles that are sent to all tasks, the most common first; only the order depends on it
 BITS = 1 << 26  # bits of the table of shingles that have lists
@@ -363,6 +363,7 @@ def set_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     first = found.groupBy("set_key", "n").agg(F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"))
     nodes = stored(first, "nodes")
     member = stored(_members(nodes, lists), "members")
+    discard(lists)
 
     # Chunks: nodes with the same longest list, split by hash where they are many. So the nodes of a long list, which
     # have many others to search, lie in few chunks.
@@ -376,10 +377,14 @@ def set_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     # Lists whose nodes are in several groups.
     at = member.join(part.select(F.col("id").alias("set_key"), "component"), "set_key")
     open_lists = stored(_several(at), "open")
+    discard(member)
     routes = stored(_routes(open_lists, placed), "routes")
+    discard(open_lists)
     group = part.select(F.col("id").alias("set_key"), F.col("component").alias("part"))
-    more = _search_routes(routes, nodes.select("set_key", "shingles"), placed, group)
-    return stored(components(placed.select(F.col("set_key").alias("id")), links.unionByName(more)), "groups")
+    more = stored(_search_routes(routes, nodes.select("set_key", "shingles"), placed, group), "links")
+    groups = stored(components(placed.select(F.col("set_key").alias("id")), links.unionByName(more)), "groups")
+    discard(nodes, part, routes, links, more, placed)
+    return groups
 
 
 def _chunk(shift: int = 0) -> Column:
