@@ -132,7 +132,7 @@ def test_reviews(spark):
     ).withColumn("reviewed_at", F.lit("2026-01-01").cast("timestamp"))
     done, refused = s.review_updates(cand, rv)
     got = {x.id: (x.status, x.review_notes, x.recommended_tier) for x in done.collect()}
-    assert got["a"] == ("submitted", "", "Tier 3") and got["b"][0] == "rejected" and got["c"] == ("rejected", "bad", "Tier 1")
+    assert got["a"] == ("submitted", "fine", "Tier 3") and got["b"][0] == "rejected" and got["c"] == ("rejected", "bad", "Tier 1")
     assert {x.ord for x in refused.collect()} == {2, 3, 4, 6}
 
 
