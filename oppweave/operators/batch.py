@@ -25,6 +25,8 @@ RISKS = [
     (r"\bgraduate fellowship|graduate fellowships|master'?s|phd\b", True, 4),
     (r"\b0 results\b|\bscholarship finder\b|\buse our scholarship finder\b", False, 3),
 ]
+
+# Fixed value: what each earlier pick of a domain costs.
 SAME_DOMAIN = 1.25
 
 # Batch score weights per replay variant ("rule" is the normal batch).

@@ -177,6 +177,8 @@ PROGRESS = {
     "rest": ("continue", "fetch_remaining_frontier", "Remaining search frontier is the best available next path."),
     "weak": ("stop", "stop_now", "The remaining opportunity set does not look strong enough to justify more rounds."),
 }
+
+# Hints for the next search, in rule order.
 HINTS = [
     "broaden toward non-school-specific undergraduate scholarships",
     "search professional organizations and foundations instead of department pages",

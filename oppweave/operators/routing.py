@@ -41,6 +41,30 @@ AID_EXPLAINER = (
     r"|deadline|federal)\b"
 )
 
+# Why a child link is picked or not, in rule order.
+CHILD_REASONS = {
+    "nav": "Looks navigational or unrelated to scholarship detail.",
+    "seen": "Already seen recently, so it is not a good use of fetch budget.",
+    "apply_only": "Looks more like a generic application path than a scholarship detail page.",
+    "mirror": "Same-domain aggregator detail page is weaker than fetching an original-source link first.",
+    "offer": "Anchor text or URL suggests this is a scholarship-oriented child page.",
+    "source": "Looks like an offsite original-source path for an aggregator summary page.",
+    "detail": "Looks like a likely scholarship-detail child worth fetching next.",
+    "other": "Child link is weaker than the selected expansion paths.",
+}
+
+# Why a lead is turned down, in rule order.
+LEAD_REASONS = {
+    "no_url": "Missing child URL.",
+    "nav": "Navigational, portal, donation, or unrelated program link.",
+    "advice": "Generic advice, search, provider, or directory page rather than a named scholarship lead.",
+    "tracking": "Referral, affiliate, provider, or tracking link rather than a stable scholarship lead.",
+    "later": "Child link appears targeted to later college or graduate students rather than incoming college freshmen.",
+    "seen": "Already seen recently.",
+    "apply_only": "Application-only link without scholarship identity.",
+    "other": "Child does not look like a named scholarship lead.",
+}
+
 # Triage outcomes, in rule order.
 ADVANCE, HOLD, DROP = "advance_to_finalize", "hold_for_expansion", "drop"
 RATIONALES = {
@@ -219,14 +243,14 @@ def select_children(
         + num(has("source_domain", r"\.edu$"), 0.5) + num(apply_only, -2.0)
     )
     reason = (
-        F.when(nav, "Looks navigational or unrelated to scholarship detail.")
-        .when(seen, "Already seen recently, so it is not a good use of fetch budget.")
-        .when(apply_only, "Looks more like a generic application path than a scholarship detail page.")
-        .when(same & mirror & detail, "Same-domain aggregator detail page is weaker than fetching an original-source link first.")
-        .when(offer & ~detail, "Anchor text or URL suggests this is a scholarship-oriented child page.")
-        .when(source, "Looks like an offsite original-source path for an aggregator summary page.")
-        .when(detail, "Looks like a likely scholarship-detail child worth fetching next.")
-        .otherwise("Child link is weaker than the selected expansion paths.")
+        F.when(nav, CHILD_REASONS["nav"])
+        .when(seen, CHILD_REASONS["seen"])
+        .when(apply_only, CHILD_REASONS["apply_only"])
+        .when(same & mirror & detail, CHILD_REASONS["mirror"])
+        .when(offer & ~detail, CHILD_REASONS["offer"])
+        .when(source, CHILD_REASONS["source"])
+        .when(detail, CHILD_REASONS["detail"])
+        .otherwise(CHILD_REASONS["other"])
     )
     df = df.withColumns(
         {"child_score": F.when(nav, -6.0).when(seen, -4.0).otherwise(points), "reason": reason,
@@ -338,19 +362,19 @@ def extract_leads(
         + num(edu, 0.25) + num(apply_only & ~official, -3.0)
     )
     hard = (
-        F.when(clean("url") == "", "Missing child URL.")
-        .when(nav, "Navigational, portal, donation, or unrelated program link.")
-        .when(advice, "Generic advice, search, provider, or directory page rather than a named scholarship lead.")
-        .when(tracking, "Referral, affiliate, provider, or tracking link rather than a stable scholarship lead.")
-        .when(later, "Child link appears targeted to later college or graduate students rather than incoming college freshmen.")
+        F.when(clean("url") == "", LEAD_REASONS["no_url"])
+        .when(nav, LEAD_REASONS["nav"])
+        .when(advice, LEAD_REASONS["advice"])
+        .when(tracking, LEAD_REASONS["tracking"])
+        .when(later, LEAD_REASONS["later"])
     )
     df = df.withColumns(
         {"official": official, "hard": hard, "lead_score": F.when(hard.isNotNull(), -100.0).otherwise(points)}
     )
     soft = (
-        F.when(seen, "Already seen recently.")
-        .when(apply_only & ~official, "Application-only link without scholarship identity.")
-        .otherwise("Child does not look like a named scholarship lead.")
+        F.when(seen, LEAD_REASONS["seen"])
+        .when(apply_only & ~official, LEAD_REASONS["apply_only"])
+        .otherwise(LEAD_REASONS["other"])
     )
     rejected = df.filter(F.col("lead_score") < 2).withColumn("reason", F.coalesce("hard", soft))
     rejected = top_n(rejected, key, [F.col("position").asc()], rejects, "pick").select(

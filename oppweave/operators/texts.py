@@ -42,6 +42,17 @@ STATE_FORMS = [
 GPA_FORM = r"(?:gpa|grade point average)\s*:?\s*([0-9]+(?:\.[0-9]+)?)"
 YEAR_FORM = r"(?:graduation year|class of)\s*:?\s*([0-9]{4})"
 SCHOOL_FORM = r"High schools[\s\S]{0,300}?\n([A-Z][A-Z0-9 '&.\-]+SCHOOL)\n"
+MAJORS_SECTION = r"(?i)Choose majors([\s\S]{0,4500})"
+CAMPUS_LINE = r"(?i)^UC\s+(Davis|Merced|Riverside|Santa Barbara|Berkeley|Irvine|Los Angeles|San Diego|Santa Cruz)\s+"
+NO_MAJOR = r"(undergraduate|undeclared|alternate major|school of|college of|campus\s+major|do you want to select)"
+NO_STATE = "(student id|ssid|school code|code|number)"
+LATINO_TABLE = r"hispanic\s*/\s*latino\s*\t+([^\n]+)"
+LATINO_ANSWER = r"do you consider yourself hispanic or latino\?\s*(?:\t| )*yes"
+ETHNICITY_FORM = r"(?:^|\n)\s*ethnicity\s*:\s*([^\n]+)"
+LATINO_WORDS = r"\bhispanic\s*/\s*latino\b"
+GRADES_SECTION = r"(?i)Grades attended([\s\S]{0,220})"
+GRADE_LINE = r"^\d{1,2}(st|nd|rd|th)\s+grade$"
+CITY_FORM = r"(?:^|\n)\s*City\s*\t+([^\n]+)"
 
 
 def _words(c: Column) -> Column:
@@ -101,10 +112,10 @@ def label_values(documents: DataFrame, labels: dict[str, list[str]]) -> DataFram
 
 def _primary_major(text: Column) -> Column:
     """First degree line that follows a campus line by at most five lines."""
-    section = F.regexp_extract(text, r"(?i)Choose majors([\s\S]{0,4500})", 1)
+    section = F.regexp_extract(text, MAJORS_SECTION, 1)
     lines = F.filter(F.transform(F.split(section, "\n"), clean), lambda x: (x != "") & ~has(x, PAGE_MARK))
-    campus = r"(?i)^UC\s+(Davis|Merced|Riverside|Santa Barbara|Berkeley|Irvine|Los Angeles|San Diego|Santa Cruz)\s+"
-    junk = r"(undergraduate|undeclared|alternate major|school of|college of|campus\s+major|do you want to select)"
+    campus = CAMPUS_LINE
+    junk = NO_MAJOR
 
     def pick(ls: Column) -> Column:
         def major(line: Column, i: Column) -> Column:
@@ -138,26 +149,26 @@ def extract_claims(documents: DataFrame, confidence: float = 0.8) -> DataFrame:
     state = F.try_element_at(
         F.filter(
             F.array(*[clean(F.coalesce(first(p), F.lit(""))) for p in STATE_FORMS]),
-            lambda x: ~has(x, "(student id|ssid|school code|code|number)")
+            lambda x: ~has(x, NO_STATE)
             & (x.rlike("^[A-Za-z]{2}$") | x.rlike(r"^[A-Za-z][A-Za-z .'-]{2,40}$")),
         ),
         F.lit(1),
     )
     latino = F.lit("hispanic/latino")
     ethnicity = (
-        F.when(first(r"hispanic\s*/\s*latino\s*\t+([^\n]+)").isNotNull(), latino)
-        .when(has(text, r"do you consider yourself hispanic or latino\?\s*(?:\t| )*yes"), latino)
+        F.when(first(LATINO_TABLE).isNotNull(), latino)
+        .when(has(text, LATINO_ANSWER), latino)
         .otherwise(
             F.coalesce(
-                first(r"(?:^|\n)\s*ethnicity\s*:\s*([^\n]+)"), at["race"], F.when(has(text, r"\bhispanic\s*/\s*latino\b"), latino)
+                first(ETHNICITY_FORM), at["race"], F.when(has(text, LATINO_WORDS), latino)
             )
         )
     )
     grades = F.filter(
-        F.transform(F.split(F.regexp_extract(text, r"(?i)Grades attended([\s\S]{0,220})", 1), "\n"), clean),
-        lambda x: has(x, r"^\d{1,2}(st|nd|rd|th)\s+grade$"),
+        F.transform(F.split(F.regexp_extract(text, GRADES_SECTION, 1), "\n"), clean),
+        lambda x: has(x, GRADE_LINE),
     )
-    city = F.coalesce(first(r"(?:^|\n)\s*City\s*\t+([^\n]+)"), at["personalInfo.city"])
+    city = F.coalesce(first(CITY_FORM), at["personalInfo.city"])
     zip_ = F.coalesce(first(r"(?:^|\n)\s*ZIP code\s*\t+([^\n]+)"), at["personalInfo.postalCode"])
     state = F.coalesce(state, at["personalInfo.state"])
     name = F.concat_ws(" ", at["firstName"], at["middleName"], at["lastName"])
