@@ -61,7 +61,10 @@ def validate_batch(model: DataFrame, hits: DataFrame, rules: DataFrame, limit: i
 
 
 def validate_progress(model: DataFrame, rules: DataFrame) -> DataFrame:
-    """A run's model progress decision if action, step and hints agree."""
+    """A run's model progress decision if action, step and hints agree.
+
+    Of several valid answers of a run the first by ``ord`` counts, if the table has one, then the smallest in text order.
+    """
     a, s = F.trim("action"), F.trim("next_step")
     hints = F.size(F.filter(F.transform(F.coalesce("suggestions", F.array().cast("array<string>")), clean), lambda x: x != ""))
     ok = (clean("rationale") != "") & (
@@ -70,7 +73,12 @@ def validate_progress(model: DataFrame, rules: DataFrame) -> DataFrame:
         | ((a == "continue") & s.isin("fetch_remaining_frontier", "expand_held_hubs") & (hints == 0))
     )
     m = model.filter(flag(ok)).groupBy("run_id").agg(
-        F.first(F.struct(a.alias("action"), s.alias("next_step"), clean("rationale").alias("rationale"))).alias("m")
+        F.min(
+            F.struct(
+                *[F.col(c) for c in ("ord",) if c in model.columns],
+                a.alias("action"), s.alias("next_step"), clean("rationale").alias("rationale"),
+            )
+        ).alias("m")
     )
     j = rules.join(m, "run_id", "left")
     return j.select(
