@@ -24,8 +24,12 @@ def pairs_for_profile(profile_id: str, catalog: DataFrame) -> DataFrame:
 
 
 def match_pairs(profiles: DataFrame, catalog: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs widened by profile and offer columns, joined on their keys."""
-    return pairs.select("profile_id", "id").join(catalog, "id").join(profiles, "profile_id")
+    """Pairs widened by profile and offer columns, joined on their keys.
+
+    The planner guesses the size of a catalog made of short compressed columns far too low, so
+    these joins are sort-merge joins: a broadcast would pass all offers and profiles through the driver.
+    """
+    return pairs.select("profile_id", "id").join(catalog.hint("merge"), "id").join(profiles.hint("merge"), "profile_id")
 
 
 def _loose_match(rules: Column, value: Column) -> Column:
@@ -96,7 +100,8 @@ def essay_containment(prompts: DataFrame, essays: DataFrame, pairs: DataFrame) -
 
     ``prompts(id, prompt)``, ``essays(profile_id, content)``, ``pairs(profile_id,
     id)``.  Both sides shrink to distinct tokens before they meet, and the meeting
-    is an equality join on (profile, token), so no essay corpus is gathered whole.
+    is an equality join on (profile, token), so no essay corpus is gathered whole: the planner takes
+    the exploded tokens for as small as the texts' files, so both joins are sort-merge joins.
     """
     offer_tokens = prompts.select("id", F.explode(tokens("prompt")).alias("token")).distinct()
     profile_tokens = essays.select(
@@ -106,8 +111,8 @@ def essay_containment(prompts: DataFrame, essays: DataFrame, pairs: DataFrame) -
     return (
         pairs.select("profile_id", "id")
         .distinct()
-        .join(offer_tokens, "id", "left")
-        .join(hits, ["profile_id", "token"], "left")
+        .join(offer_tokens.hint("merge"), "id", "left")
+        .join(hits.hint("merge"), ["profile_id", "token"], "left")
         .groupBy("profile_id", "id")
         .agg(F.count("token").alias("n_tokens"), F.count("hit").alias("n_hits"))
         .select(
