@@ -6,6 +6,7 @@ from ..functions import vocab as v
 from ..operators import history as h
 from ..operators import hits as o
 from ..operators import urls as u
+from ..session import deal_rows
 from .registry import query
 from .tables import (
     AS_OF, EVENTS_SQL, HITS_SQL, event_updates, history, hits, table,
@@ -483,7 +484,7 @@ WITH st AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{n}')" for k, n in v.STA
 
 @query("score_hits", SCORE_SQL.replace("0.5 * doc_id % 3", "0"))
 def score_hits(spark, sf):
-    d = table(spark, sf, "documents")
+    d = deal_rows(table(spark, sf, "documents"), 500)  # each text is read by many patterns
     rows = d.select(
         "doc_id",
         (F.col("doc_id") % 100).alias("profile_id"),

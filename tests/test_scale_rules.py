@@ -79,3 +79,42 @@ def test_a_repeated_trace_job_leaves_no_row_twice(spark, tmp_path):
         wr.write_run_trace(trace, str(tmp_path / "t"), buckets=4)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 500
     assert len(list((tmp_path / "t").glob("round=*/run_bucket=*"))) == 8
+
+
+def test_pages_of_one_row_group_are_dealt_to_tasks(spark, tmp_path):
+    from oppweave.workloads.plans import applications
+    from oppweave.workloads.tables import offer_pages
+
+    part = spark.range(9000).select(
+        F.col("id").alias("p_partkey"), F.lit("red bolt").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("PROMO").alias("p_type"),
+        (F.col("id") % 50).cast("int").alias("p_size"), F.lit(10.5).alias("p_retailprice"),
+    )
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    people = spark.range(9000).select(
+        F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"), F.lit("AUTO").alias("c_mktsegment")
+    )
+    people.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for df, key in ((offer_pages(spark, str(tmp_path)), "page_id"), (applications(spark, str(tmp_path)), "profile_id")):
+        sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(key).alias("n")).collect()
+        assert len(sizes) > 1 and sum(r["n"] for r in sizes) == 9000
+
+
+def test_only_shared_keys_enter_the_rounds_of_first_wins(spark, monkeypatch):
+    from oppweave.operators import store
+
+    written = []
+    monkeypatch.setattr(store, "cut", lambda df: written.append(df.count()) or df.localCheckpoint())
+    rows = [(i, f"u{i}", f"n{i}", "d") for i in range(50)] + [(50, "u0", "x", "d")]
+    df = spark.createDataFrame(rows, "id int, source_url string, name string, source_domain string")
+    assert {r["id"] for r in store.first_wins(df, "id", "id").collect()} == set(range(50))
+    assert max(written) <= 2
+
+
+def test_matching_broadcasts_no_table_of_guessed_size(spark):
+    pairs = spark.createDataFrame([(1, 2)], "profile_id long, id long")
+    prompts = spark.createDataFrame([(2, "a b")], "id long, prompt string")
+    essays = spark.createDataFrame([(1, "b c")], "profile_id long, content string")
+    people = spark.createDataFrame([(1, "x")], "profile_id long, intended_major string")
+    for df in (m.essay_containment(prompts, essays, pairs), m.match_pairs(people, prompts, pairs)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert m.essay_containment(prompts, essays, pairs).first()["essay_score"] == 0.5
