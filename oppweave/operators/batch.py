@@ -159,13 +159,15 @@ def select_batch(hits: DataFrame, limit: int = 6, fetched: DataFrame | None = No
     ``limit`` best rows of each (fewer picks than that can have touched them), so
     both cuts are exact and bound what one run brings to the final fold.
     """
-    scored = with_traits(unfetched(hits, fetched)).withColumn("score", batch_score())
+    # Scored where the hits are read, so that texts and flags are not shuffled.
+    scored = with_traits(hits).withColumn("score", batch_score())
     member = slots()
     names = list(member)
-    tagged = scored.withColumn(
-        "slot_names", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in member.items()]))
-    ).withColumn("dom", F.lower(F.coalesce("source_domain", F.lit(""))))
-    per = tagged.select("run_id", "normalized_url", "dom", *ORDER, F.explode("slot_names").alias("slot"))
+    tagged = scored.select(
+        "run_id", "normalized_url", F.lower(F.coalesce("source_domain", F.lit(""))).alias("dom"), *ORDER,
+        F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in member.items()])).alias("slot_names"),
+    )
+    per = unfetched(tagged, fetched).select("run_id", "normalized_url", "dom", *ORDER, F.explode("slot_names").alias("slot"))
     rows = top_n(per, ["run_id", "slot", "dom"], _order(), limit, "in_dom")
     heads = top_n(rows.filter("in_dom = 1"), ["run_id", "slot"], _order(), limit, "__rn")
     kept = rows.join(heads.select("run_id", "slot", "dom"), ["run_id", "slot", "dom"], "left_semi")
@@ -237,28 +239,40 @@ def replay_variants(
     before the next one excludes them.
     """
     variants = variants or REPLAYS
-    base = with_traits(unfetched(hits, None))
-    scored = None
-    for name, (weights, floor) in variants.items():
-        part = base.withColumns({"variant": F.lit(name), "score": batch_score(weights)})
-        part = part.filter(F.col("score") >= floor) if floor is not None else part
-        scored = part if scored is None else scored.unionByName(part)
+    # All variants are scored in one pass where the hits are read; texts, flags and traits come back at the end.
+    scores = F.array(
+        *[F.struct(F.lit(name).alias("variant"), batch_score(weights).alias("score")) for name, (weights, _) in variants.items()]
+    )
+    slim = ["run_id", "normalized_url", "provider_rank", "ord"]
+    given = with_traits(hits).select(*slim, F.lower(F.coalesce("source_domain", F.lit(""))).alias("__dom"), scores.alias("__scores"))
+    # Moved by domain once, before the rows of the variants, so the ranks within domains need no further move.
+    moved = unfetched(given, None).repartition("run_id", "__dom")
+    scored = moved.select(*slim, "__dom", F.explode("__scores").alias("__s")).select(*slim, "__dom", "__s.*")
+    for name, (_, floor) in variants.items():
+        if floor is not None:
+            scored = scored.filter((F.col("variant") != name) | (F.col("score") >= floor))
     key = ["variant", "run_id"]
     # In all rounds together only the best rounds x limit rows of a domain, and of
     # so many domains, can be picked.
     most = rounds * limit
-    scored = scored.withColumn("__dom", F.lower(F.coalesce("source_domain", F.lit(""))))
     rows = top_n(scored, [*key, "__dom"], _order(), most, "__n")
     heads = top_n(rows.filter("__n = 1"), key, _order(), most, "__h")
+    # Joined by run and domain alone, as the rows lie, so they are not moved again.
+    led = heads.groupBy("run_id", "__dom").agg(F.collect_set("variant").alias("__led"))
     pool = cut(
-        rows.join(heads.select(*key, "__dom"), [*key, "__dom"], "left_semi").drop("__dom", "__n")
+        rows.join(led, ["run_id", "__dom"]).filter(F.array_contains("__led", F.col("variant")))
+        .drop("__n", "__led").withColumnRenamed("__dom", "source_domain")
     )
     left, picks = pool, []
     for i in range(1, rounds + 1):
         now = cut(diverse_top(left, key, limit).withColumn("round", F.lit(i)))
         picks.append(now)
         left = left.join(now.select(*key, "normalized_url"), [*key, "normalized_url"], "left_anti")
-    return reduce(DataFrame.unionByName, picks)
+    # One key: one move serves the first row of a URL and the join.
+    at = F.struct("run_id", "normalized_url").alias("__at")
+    all_picks = reduce(DataFrame.unionByName, picks).select(at, "variant", "score", "adjusted", "pick", "round")
+    whole = first_per(hits.filter(F.col("normalized_url") != "").select("*", at), ["__at"], [F.col("ord")])
+    return with_traits(whole.join(all_picks, "__at").drop("__at"))
 
 
 def replay_scores(hits: DataFrame, variant: str, rounds: int = 3, limit: int = 6) -> DataFrame:

@@ -184,3 +184,16 @@ def test_replays_never_repeat_a_url(spark):
     for x in out:
         rounds.setdefault((x.variant, x.run_id, x["round"]), []).append(x)
     assert all(len(r) <= 4 for r in rounds.values())
+
+
+def test_replay_writes_no_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    written = []
+    real = b.cut
+    monkeypatch.setattr(b, "cut", lambda df: written.append(df.columns) or real(df))
+    out = b.replay_variants(random_hits(spark, 5), rounds=1, limit=4)
+    assert not {"title", "snippet", "named_detail"} & {c for cols in written for c in cols}
+    assert {"title", "named_detail", "variant", "score", "adjusted", "pick", "round"} <= set(out.columns)
+    got = out.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("variant", "normalized_url").alias("d")).collect()
+    assert {r["run_id"] for r in got} == {"0", "1"} and all(r["n"] == r["d"] for r in got)
