@@ -197,3 +197,12 @@ def test_replay_writes_no_texts(spark, monkeypatch):
     assert {"title", "named_detail", "variant", "score", "adjusted", "pick", "round"} <= set(out.columns)
     got = out.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("variant", "normalized_url").alias("d")).collect()
     assert {r["run_id"] for r in got} == {"0", "1"} and all(r["n"] == r["d"] for r in got)
+
+
+def test_first_wins_keeps_all_rows_of_a_kept_name(spark):
+    # The rows "a" are one record for the caller: the one without keys stays with the other; a NULL name never does.
+    rows = [("a", None, "u"), ("a", None, None), ("b", 1, "u"), (None, 2, "v"), ("c", 3, "w")]
+    df = spark.createDataFrame(rows, "name_ string, ord int, source_url string").selectExpr(
+        "*", "cast(null as string) id", "cast(null as string) name", "cast(null as string) source_domain"
+    )
+    assert sorted(r["name_"] for r in s.first_wins(df, "name_", "ord").collect()) == ["a", "a", "c"]
