@@ -169,7 +169,11 @@ def shuffle_into_shards(
     cells = max(1, -(-total // (limit * shards)))  # of each shard
     # The row travels as one struct, so that no column of it can have the name of a column made here.
     own = [F.col(f"row.`{k}`") for k in key]
-    order = [F.xxhash64(F.lit(seed + 1), *own), *own]
+
+    def order(first: int) -> list[Column]:
+        # Two hashes and not the keys themselves: a window copies them beside the row, and the copies of the texts would move too.
+        return [F.xxhash64(F.lit(first), *own), F.xxhash64(F.lit(first + 1000003), *own)]
+
     packed = docs.drop("shard", "slot").select(F.struct("*").alias("row"))
     placed = packed.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(1 << levels)))
     counts = stored(placed.groupBy(F.col("_block").alias("block")).agg(F.count("*").alias("n")), "blocks")
@@ -199,7 +203,7 @@ def shuffle_into_shards(
     )
     runs = matrix.select(F.col("block").alias("_block"), ends.alias("_ends"))
 
-    inside = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_block").orderBy(*order)) - 1)
+    inside = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_block").orderBy(*order(seed + 1))) - 1)
     dealt = inside.join(runs, "_block")
     cell = F.aggregate(
         F.sequence(F.lit(1), F.lit(max(1, (shards * cells - 1).bit_length() + 1))),
@@ -208,7 +212,7 @@ def shuffle_into_shards(
         lambda s: s.low,
     )
     sent = dealt.withColumn("_cell", cell).drop("_ends", "_place", "_block")
-    again = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 2), *own), *own)
+    again = Window.partitionBy("_cell").orderBy(*order(seed + 2))
     slot = F.row_number().over(again) - 1 + cell_start(F.col("_cell"))
     return sent.select(
         "row", F.floor(F.col("_cell") / cells).cast("int").alias("shard"), slot.cast("long").alias("slot")

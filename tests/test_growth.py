@@ -39,3 +39,12 @@ def test_long_runs_and_null_keys_agree_with_short_runs(spark, monkeypatch):
     none = odd.select("run_id", "hub", "url").limit(0)
     added, spare = h.stage_leads(leads.unionByName(odd), none.select("run_id", "url"), none.select("run_id", "url"), none, 1)
     assert added.filter("run_id IS NULL").count() + spare.filter("run_id IS NULL").count() == before
+
+
+def test_shards_move_no_second_copy_of_the_keys(spark):
+    from oppweave.llm import sharding
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, text string")
+    out = sharding.shuffle_into_shards(docs, 3, ["doc_id", "text"])
+    assert "text AS _w" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(200))
