@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,9 +67,13 @@ def plain_lines(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.concat(F.lit(" "), _words(x), F.lit(" ")))
 
 
-def _label_value(lines: Column, plain_words: Column, label: str) -> Column:
-    """Array with one entry per line: the label's value there, or NULL."""
-    plain = " ".join("".join(ch if ch.isalnum() else " " for ch in label.lower()).split())
+def _plain(label: str) -> str:
+    return " ".join("".join(ch if ch.isalnum() else " " for ch in label.lower()).split())
+
+
+def _label_value(lines: Column, plain_words: Column, label: str, k: int) -> Column:
+    """The label's values in the lines that hold it, with the line's and the label's place."""
+    plain = _plain(label)
 
     def at(line: Column, i: Column) -> Column:
         named = F.get(plain_words, i).contains(f" {plain} ")
@@ -83,18 +90,23 @@ def _label_value(lines: Column, plain_words: Column, label: str) -> Column:
             nonblank(after),
             F.try_element_at(following, F.lit(1)),
         )
-        return F.when(named, clean(value))
+        return F.when(named, F.struct(i.alias("i"), F.lit(k).alias("k"), clean(value).alias("value")))
 
-    return F.transform(lines, at)
+    return F.filter(F.transform(lines, at), lambda x: x.isNotNull())
 
 
 def labelled(lines: Column, plain_words: Column, labels: list[str]) -> Column:
-    """Value of the earliest line that holds one of the labels, in label order."""
-    columns = [_label_value(lines, plain_words, x) for x in labels]
-    merged = columns[0]
-    for c in columns[1:]:
-        merged = F.zip_with(merged, c, lambda a, b: F.coalesce(a, b))
-    return F.try_element_at(F.filter(merged, lambda x: x.isNotNull()), F.lit(1))
+    """Value of the earliest line that holds one of the labels, in label order.
+
+    Lines are read one by one only for a label that the text has at all.
+    """
+    none = F.array().cast("array<struct<i:int,k:int,value:string>>")
+
+    def found(whole: Column) -> Column:
+        each = [F.when(whole.contains(f" {_plain(x)} "), _label_value(lines, plain_words, x, k)).otherwise(none) for k, x in enumerate(labels)]
+        return F.array_min(F.concat(*each))["value"]
+
+    return let(F.array_join(plain_words, "\n"), found)
 
 
 def label_values(documents: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
@@ -137,18 +149,22 @@ def extract_claims(documents: DataFrame, confidence: float = 0.8) -> DataFrame:
     read within its own row; no shuffle.
     """
     text = F.coalesce("raw_text", F.lit(""))
-    d = documents.withColumn("lines", F.split(text, "\n")).withColumn("plain", plain_lines(F.col("lines")))
+    d = documents.withColumns({"lines": F.split(text, "\n"), "low": F.lower(text)}).withColumn("plain", plain_lines(F.col("lines")))
     d = d.withColumns(
         {f"l_{i}": labelled(F.col("lines"), F.col("plain"), v) for i, v in enumerate(PROFILE_LABELS.values())}
     )
     at = {k: F.col(f"l_{i}") for i, k in enumerate(PROFILE_LABELS)}
 
-    def first(pattern: str) -> Column:
-        return nonblank(F.trim(F.regexp_extract(text, "(?im)" + pattern, 1)))
+    def holds(*words: str) -> Column:
+        # A pattern reads only texts with a word that it cannot do without; lower-casing loses none of its matches.
+        return reduce(or_, [F.col("low").contains(w) for w in words])
+
+    def first(pattern: str, *words: str) -> Column:
+        return F.when(holds(*words), nonblank(F.trim(F.regexp_extract(text, "(?im)" + pattern, 1))))
 
     state = F.try_element_at(
         F.filter(
-            F.array(*[clean(F.coalesce(first(p), F.lit(""))) for p in STATE_FORMS]),
+            F.array(*[clean(F.coalesce(first(p, "state"), F.lit(""))) for p in STATE_FORMS]),
             lambda x: ~has(x, NO_STATE)
             & (x.rlike("^[A-Za-z]{2}$") | x.rlike(r"^[A-Za-z][A-Za-z .'-]{2,40}$")),
         ),
@@ -156,21 +172,27 @@ def extract_claims(documents: DataFrame, confidence: float = 0.8) -> DataFrame:
     )
     latino = F.lit("hispanic/latino")
     ethnicity = (
-        F.when(first(LATINO_TABLE).isNotNull(), latino)
-        .when(has(text, LATINO_ANSWER), latino)
+        F.when(first(LATINO_TABLE, "hispanic").isNotNull(), latino)
+        .when(holds("hispanic") & has(text, LATINO_ANSWER), latino)
         .otherwise(
             F.coalesce(
-                first(ETHNICITY_FORM), at["race"], F.when(has(text, LATINO_WORDS), latino)
+                first(ETHNICITY_FORM, "ethnicity"), at["race"], F.when(holds("hispanic") & has(text, LATINO_WORDS), latino)
             )
         )
     )
     grades = F.filter(
-        F.transform(F.split(F.regexp_extract(text, GRADES_SECTION, 1), "\n"), clean),
+        F.transform(F.split(F.when(holds("grades attended"), F.regexp_extract(text, GRADES_SECTION, 1)).otherwise(""), "\n"), clean),
         lambda x: has(x, GRADE_LINE),
     )
-    city = F.coalesce(first(CITY_FORM), at["personalInfo.city"])
-    zip_ = F.coalesce(first(r"(?:^|\n)\s*ZIP code\s*\t+([^\n]+)"), at["personalInfo.postalCode"])
-    state = F.coalesce(state, at["personalInfo.state"])
+    # Values that also enter the address are worked out once, in columns of their own.
+    d = d.withColumns(
+        {
+            "v_city": F.coalesce(first(CITY_FORM, "city"), at["personalInfo.city"]),
+            "v_zip": F.coalesce(first(r"(?:^|\n)\s*ZIP code\s*\t+([^\n]+)", "zip code"), at["personalInfo.postalCode"]),
+            "v_state": F.coalesce(state, at["personalInfo.state"]),
+        }
+    )
+    city, zip_, state = F.col("v_city"), F.col("v_zip"), F.col("v_state")
     name = F.concat_ws(" ", at["firstName"], at["middleName"], at["lastName"])
     address = F.concat_ws(
         ", ", at["personalInfo.addressLine1"], at["personalInfo.addressLine2"], city, state, zip_, at["personalInfo.country"]
@@ -186,11 +208,11 @@ def extract_claims(documents: DataFrame, confidence: float = 0.8) -> DataFrame:
         "personalInfo.city": city,
         "personalInfo.state": state,
         "personalInfo.postalCode": zip_,
-        "personalInfo.intendedMajor": F.coalesce(_primary_major(text), at["personalInfo.intendedMajor"]),
+        "personalInfo.intendedMajor": F.coalesce(F.when(holds("choose majors"), _primary_major(text)), at["personalInfo.intendedMajor"]),
         "personalInfo.ethnicity": ethnicity,
-        "academics.gpa": first(GPA_FORM),
-        "academics.graduationYear": first(YEAR_FORM),
-        "academics.schoolName": F.coalesce(nonblank(clean(F.coalesce(first(SCHOOL_FORM), F.lit("")))), at["academics.schoolName"]),
+        "academics.gpa": first(GPA_FORM, "gpa", "grade point average"),
+        "academics.graduationYear": first(YEAR_FORM, "graduation year", "class of"),
+        "academics.schoolName": F.coalesce(nonblank(clean(F.coalesce(first(SCHOOL_FORM, "high schools"), F.lit("")))), at["academics.schoolName"]),
         "academics.gradeLevel": F.coalesce(at["academics.gradeLevel"], F.try_element_at(grades, F.lit(-1))),
     }
     pairs = F.array(*[F.struct(F.lit(k).alias("field_path"), c.alias("value")) for k, c in fields.items()])

@@ -48,3 +48,17 @@ def test_shards_move_no_second_copy_of_the_keys(spark):
     out = sharding.shuffle_into_shards(docs, 3, ["doc_id", "text"])
     assert "text AS _w" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(200))
+
+
+def test_claims_read_a_text_only_for_patterns_whose_words_it_has(spark):
+    from oppweave.operators import texts as t
+
+    rows = [(1, "d", 1, "STATE\tTexas\nHISPANIC / LATINO\tyes\nGPA 3.5\nCLASS OF 2027\nCity\tAustin"), (2, "e", 1, None), (3, "f", 1, "Surname\nLee\nFirst name: Ann")]
+    out = t.extract_claims(spark.createDataFrame(rows, "profile_id int, document_id string, doc_ord int, raw_text string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Contains(low") >= 9
+    got = {(r["profile_id"], r["field_path"]): r["value"] for r in out.collect()}
+    assert got == {
+        (1, "personalInfo.state"): "Texas", (1, "personalInfo.city"): "Austin", (1, "personalInfo.address"): "Austin, Texas",
+        (1, "personalInfo.ethnicity"): "hispanic/latino", (1, "academics.gpa"): "3.5", (1, "academics.graduationYear"): "2027",
+        (3, "personalInfo.fullName"): "Ann Lee",
+    }
