@@ -240,6 +240,6 @@ def plan_queries(
         return F.slice(more, 1, total)
 
     out = f.withColumn("queries", let(base, diversify))
-    return out.select("profile_id", F.posexplode("queries").alias("i", "query")).select(
-        "profile_id", (F.col("i") + 1).alias("query_ord"), "query"
-    )
+    # The outer form, as Spark would filter profiles by their planned queries at the scan, and so plan them there as well.
+    rows = out.select("profile_id", F.posexplode_outer("queries").alias("i", "query"))
+    return rows.filter("i IS NOT NULL").select("profile_id", (F.col("i") + 1).alias("query_ord"), "query")
