@@ -184,10 +184,11 @@ def part_links(spark, sf):
     return cut(li.page_links(offer_pages(spark, sf)))
 
 
-def part_bundles(spark, sf):
-    """Bundles as a table of their own: later jobs read them more than once."""
+def part_bundles(spark, sf, links=None):
+    """Bundles as a table of their own: later jobs read them more than once. ``links`` are those of :func:`part_links`."""
     pages = p.classify_fetch(offer_pages(spark, sf))
-    return cut(b.page_bundles(facts_of(pages), li.link_counts(part_links(spark, sf), v.LIMITS["links_per_page"]), PAGES_AS_OF))
+    links = part_links(spark, sf) if links is None else links
+    return cut(b.page_bundles(facts_of(pages), li.link_counts(links, v.LIMITS["links_per_page"]), PAGES_AS_OF))
 
 
 @query(
@@ -245,11 +246,12 @@ def page_bundles(spark, sf):
 
 
 def part_decisions(spark, sf, variants=("control", "trusted_agg_conservative", "trusted_agg_moderate")):
-    both = part_bundles(spark, sf).withColumn(
+    links = part_links(spark, sf)
+    both = part_bundles(spark, sf, links).withColumn(
         "variant_name", F.explode(F.array(*[F.lit(x) for x in variants]))
     )
     return r.triage_pages(
-        both, part_links(spark, sf), ["page_id"], variant=F.col("variant_name")
+        both, links, ["page_id"], variant=F.col("variant_name")
     ).drop("variant_name")
 
 
