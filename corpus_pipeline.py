@@ -14,7 +14,7 @@ from oppweave.llm import bpe, decontamination, jaccard, quality, secrets
 from oppweave.llm.files import small_batches, stored
 
 VOCABULARY = "byte_bpe_50k.json"
-KEPT_PIECES = 120_000  # workers serve all stages, so they keep less than for encoding alone
+KEPT_PIECES = 60_000  # workers serve all stages, so they keep less than for encoding alone
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/oppweave-{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m", row_group: int = 32 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 250, size: str = "4m", row_group: int = 16 << 20) -> None:
     """Bound what a task and its worker hold of the input and output at once, where the session has not been set otherwise.
 
     Spark's own bounds, 10,000 rows and 64 MB, are held by the executor and again, as objects, by the worker; a

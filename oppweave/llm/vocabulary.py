@@ -13,6 +13,7 @@ from operator import add
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
+from .files import give_back
 from .merging import merge
 
 
@@ -45,9 +46,10 @@ class Vocabulary:
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_str(text)
+        give_back()  # what the library needed to read the file, before the file is read once more
         spec = json.loads(text)
         model = spec["model"]
-        self.library = Tokenizer.from_str(text)
         self.ids: dict[str, int] = model["vocab"]
         self.word_end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -115,6 +117,7 @@ def load(kind: type, text: str):
     key = kind, hashlib.sha1(text.encode()).hexdigest()
     if key not in _LOADED:
         _LOADED[key] = kind(Vocabulary(text))
+        give_back()
     return _LOADED[key]
 
 

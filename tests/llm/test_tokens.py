@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from oppweave.llm import bpe, queries, token_counts, token_files
+from oppweave.llm import bpe, queries, token_counts, token_files, vocabulary
 from oppweave.llm.files import Ranges, shared_folder
 from oppweave.llm.vocabulary import Vocabulary
 
@@ -164,3 +164,14 @@ def test_queries_match_the_library(spark):
     for r in queries.op5_token_counts(spark, sf).collect():
         n = len(word.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(texts[r["doc_id"]].encode()), n > 2048)
+
+
+def test_loading_a_vocabulary_gives_back_what_reading_took(monkeypatch):
+    calls = []
+    monkeypatch.setattr(vocabulary, "_LOADED", {})
+    monkeypatch.setattr(vocabulary, "give_back", lambda: calls.append(1))
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        text = f.read()
+    encoder = vocabulary.load(bpe.Encoder, text)
+    assert len(calls) == 2 and vocabulary.load(bpe.Encoder, text) is encoder and len(calls) == 2
+    assert encoder.decode(encoder.encode("some text, twice")) == "some text, twice"
