@@ -62,3 +62,23 @@ def test_claims_read_a_text_only_for_patterns_whose_words_it_has(spark):
         (1, "personalInfo.ethnicity"): "hispanic/latino", (1, "academics.gpa"): "3.5", (1, "academics.graduationYear"): "2027",
         (3, "personalInfo.fullName"): "Ann Lee",
     }
+
+
+def test_a_walk_makes_links_only_of_the_pages_it_fetches(spark, monkeypatch):
+    from oppweave.operators import expansion as e
+
+    raw = spark.createDataFrame(
+        [("a", "b", "x", 1), ("a", "b", "x", 0), ("a", "c", "x", 2), ("b", "d", "y", 3), ("far", "z", "x", 4)],
+        "src_url string, url string, source_domain string, position long",
+    )
+    pages = spark.createDataFrame([("a", "list"), ("b", "list"), ("c", "offer"), ("d", "list"), ("far", "list")], "url string, kind string")
+    seeds = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (2, "c", 2), (2, None, 3)], "run_id int, url string, ord int")
+
+    def walk(position):
+        links = raw.groupBy("src_url", "url", "source_domain").agg(F.min(position).alias("position"))
+        return sorted(map(tuple, e.expand_lists(seeds, pages, links).select("run_id", F.coalesce("url", F.lit("")), "depth", "outcome").collect()))
+
+    got = walk(F.when(F.col("src_url") == "far", F.raise_error(F.lit("not reached")).cast("long")).otherwise(F.col("position")))
+    assert [r[1] for r in got if r[0] == 1] == ["a", "b", "c", "d"]
+    monkeypatch.setattr(e, "NEAR", 0)
+    assert walk(F.col("position")) == got
