@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import rule_matches
 from ..functions.ranks import full_rank, top_n
 from ..functions.text import flag, listed, nonblank, tokens
-from .safety import is_sensitive, mask
+from .safety import mask, sensitive_name, sensitive_value
 
 ACCOUNT_REASON = "Requires account creation/login (excluded in no-account MVP)"
 
@@ -155,19 +155,31 @@ def rank_offers(scored: DataFrame, k: int | None) -> DataFrame:
     return top_n(scored, ["profile_id"], rank_order(), k, "rank")
 
 
+#: What speaks against filling in a field by itself, as one byte.
+OPEN, SECRET, FILE = 0, 1, 2
+
+
 def draft_fields(offers: DataFrame, field_values: DataFrame) -> DataFrame:
     """Form fields of queued offers joined to the profile's values.
 
     ``offers(profile_id, id, form_fields)``, ``field_values(profile_id,
     source_path, value)``.
     """
-    fields = offers.select(
-        "profile_id", "id", F.posexplode("form_fields").alias("position", "field")
-    ).select("profile_id", "id", "position", "field.*")
-    joined = fields.join(field_values, ["profile_id", "source_path"], "left")
-    file = F.lower(F.coalesce("field_type", F.lit(""))) == "file"
-    none = F.coalesce("value", F.lit("")) == ""
-    secret = is_sensitive(F.col("field_name"), F.col("value"))
+    name, file = F.col("field.field_name"), F.lower(F.coalesce("field.field_type", F.lit(""))) == "file"
+    fields = (
+        offers.select("profile_id", "id", F.posexplode("form_fields").alias("position", "field"))
+        .withColumn("__manual", F.when(file, FILE).when(sensitive_name(name), SECRET).otherwise(OPEN).cast("tinyint"))
+        .select("profile_id", "id", "position", "field.*", "__manual")
+    )
+    # What a value is read for is settled once per value, and a field's name and type before the rows move: a job that needs
+    # no more than the counts moves and sorts keys and a byte.
+    given = F.coalesce("value", F.lit("")) != ""
+    values = field_values.withColumn(
+        "__value", F.when(given, F.when(sensitive_value(F.col("value")), SECRET).otherwise(OPEN)).cast("tinyint")
+    )
+    joined = fields.join(values, ["profile_id", "source_path"], "left")
+    file, none = F.col("__manual") == FILE, F.col("__value").isNull()
+    secret = (F.col("__manual") == SECRET) | (F.col("__value") == SECRET)
     return joined.withColumn(
         "reason",
         F.when(file, "File upload required by scholarship form")
@@ -179,7 +191,7 @@ def draft_fields(offers: DataFrame, field_values: DataFrame) -> DataFrame:
             "masked_preview": F.when(~file & ~none & secret, mask(F.col("value"))),
             "filled_value": F.when(F.col("reason").isNull(), F.col("value")),
         }
-    )
+    ).drop("__manual", "__value")
 
 
 def draft_report(fields: DataFrame) -> DataFrame:

@@ -82,3 +82,32 @@ def test_a_walk_makes_links_only_of_the_pages_it_fetches(spark, monkeypatch):
     assert [r[1] for r in got if r[0] == 1] == ["a", "b", "c", "d"]
     monkeypatch.setattr(e, "NEAR", 0)
     assert walk(F.col("position")) == got
+
+
+def test_draft_report_moves_flags_and_deals_rows_to_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from oppweave import session
+    from oppweave.operators import matching as m
+    from oppweave.workloads import matching as w
+
+    offers = spark.createDataFrame(
+        [(1, "o", [("Passport number", "text", "p"), ("cv", "FILE", "p"), ("name", None, "p"), (None, "text", "q"), ("age", "text", None)])],
+        "profile_id int, id string, form_fields array<struct<field_name string, field_type string, source_path string>>",
+    )
+    values = spark.createDataFrame([(1, "p", "Ann"), (1, "q", "123-45-6789"), (2, "p", "")], "profile_id int, source_path string, value string")
+    fields = m.draft_fields(offers, values)
+    assert {r["position"]: (r["mode"], r["masked_preview"], r["filled_value"]) for r in fields.collect()} == {
+        0: ("manual", "***Ann", None), 1: ("manual", None, None), 2: ("autofill", None, "Ann"),
+        3: ("manual", "***6789", None), 4: ("manual", None, None),
+    }
+    report = m.draft_report(fields)
+    assert [tuple(r) for r in report.collect()] == [(1, "o", 1, 4)]
+    above = report._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert "RLIKE" not in above and "field_type" not in above
+
+    spark.range(40).selectExpr("id % 12 l_orderkey", "id l_partkey", "int(id % 7) l_linenumber", "'N' l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(12).selectExpr("id o_orderkey", "'O' o_orderstatus", "'high' o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    whole = sorted(map(tuple, w.draft_report(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(session, "KEYED_ROWS", 8)
+    dealt = w.draft_report(spark, str(tmp_path))
+    assert "5), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, dealt.collect())) == whole and len(whole) == 40
