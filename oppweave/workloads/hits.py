@@ -81,8 +81,9 @@ def dedupe_hits(spark, sf):
     )
 
 
-def _ranked(spark, sf):
-    return o.rank_hits(o.dedupe_hits(hits(spark, sf)), tie="first_ord")
+def _ranked(spark, sf, *columns):
+    found = hits(spark, sf)
+    return o.rank_hits(o.dedupe_hits(found.select(*columns) if columns else found), tie="first_ord")
 
 
 @query("rank_hits", f"WITH {HITS_SQL} SELECT run_id, normalized_url, fit_score, novelty_score, rank FROM ranked")
@@ -107,7 +108,9 @@ def rank_hits_discovery(spark, sf):
  row_number() OVER (PARTITION BY run_id, source_domain ORDER BY rank) > 1 AS same_domain_as_prior FROM ranked""",
 )
 def same_domain_flag(spark, sf):
-    return o.same_domain_flag(_ranked(spark, sf)).select(
+    # What is not returned and orders nothing would be moved and written with every row.
+    read = ("run_id", "ord", "normalized_url", "source_domain", "fit_score", "novelty_score", "provider_rank")
+    return o.same_domain_flag(_ranked(spark, sf, *read)).select(
         "run_id", "normalized_url", "rank", "same_domain_as_prior"
     )
 
