@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from oppweave.functions import ranks
 from oppweave.operators import batch as b
+from oppweave.operators import expansion as e
 from oppweave.operators import hits as o
 from oppweave.session import SPENT, cut
 
@@ -64,3 +66,43 @@ def test_flags_of_domains_write_only_what_they_need(spark, tmp_path, monkeypatch
     monkeypatch.setattr(ranks, "cut", lambda df: written.append(set(df.columns)) or df.localCheckpoint())
     assert w.same_domain_flag(spark, str(tmp_path)).count() == 60
     assert all(not {"surface_type", "stage_match", "stale_cycle"} & c for c in written) and written
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_walks_over_many_pages_of_one_url_move_only_links_in_reach(spark, seed):
+    rng = random.Random(seed)
+    hosts = [f"https://h{k}.org" for k in range(3)]
+    links = [(f"{h}/list", f"{rng.choice(hosts)}/{rng.randrange(160)}", k % 40) for h in hosts for k in range(300)]
+    rows = spark.createDataFrame(links, "src_url string, url string, position int").withColumn("source_domain", F.regexp_extract("url", "//([^/]+)", 1))
+    lists = spark.createDataFrame([(r, f"{h}/list", k, float(k), "q") for r in range(25) for k, h in enumerate(hosts)], "run_id int, src_url string, parent_ord long, parent_rank double, query string")
+    seen = spark.createDataFrame([(r, u) for r in range(24) for u in {x[1] for x in rng.sample(links, 20 * (r % 3))}], "run_id int, url string")
+    some, all_ = e.children(lists, rows, seen), lists.join(rows, "src_url")
+    keep = ["run_id", "url", "source_domain", "parent_ord", "position", "child_rank"]
+
+    def kept(x):
+        return sorted(map(tuple, e.expand_quota(x, seen, 1).select(*keep).collect()))
+
+    assert kept(some) == kept(all_)
+    assert some.count() < all_.count() / 2
+    near = some.groupBy("run_id", "src_url", "source_domain").count()
+    assert near.filter("run_id = 24").agg(F.max("count")).first()[0] <= 4  # has seen nothing
+
+
+def test_a_hosted_walk_equals_one_over_all_links(spark, monkeypatch):
+    rng, calls, real = random.Random(3), [], e.children
+    monkeypatch.setattr(e, "children", lambda *a: calls.append(1) or real(*a))
+    urls = [f"https://h{k % 4}.org/{k}" for k in range(80)]
+    pages = spark.createDataFrame([(u, rng.choice(["list", "list", "offer"])) for u in urls], "url string, kind string")
+    rows = [(u, rng.choice(urls), k) for u in urls for k in range(30)]
+    links = spark.createDataFrame(rows, "src_url string, url string, position int").withColumn("source_domain", F.regexp_extract("url", "//([^/]+)", 1))
+    front = spark.createDataFrame([(r, u, int(k), float(k), None, "q") for r in range(8) for k, u in enumerate(rng.sample(urls, 5))], "run_id int, url string, ord long, rank double, fit_score double, query string")
+
+    def walked(hosted):
+        return sorted(map(str, e.walk_lists(front, lambda _: (pages, links), hosted=hosted).select("run_id", "url", "parent_url", "depth", "ord", "outcome").collect()))
+
+    assert walked(True) == walked(False) and len(calls) == 2
+
+
+def test_levels_double(spark):
+    got = [r[0] for r in spark.range(1, 40).orderBy("id").select(e.level(F.col("id"), 4)).collect()]
+    assert got[:16] == [0] * 4 + [1] * 4 + [2] * 8 and got[16] == 3 and got == sorted(got)
