@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..functions.ranks import first_per, top_n
+from ..functions.ranks import HELD, first_per, largest, top_n
 from ..functions.text import clean, flag, has, let, num
 from ..functions.urls import base_domain
 from ..session import cut
@@ -240,14 +242,17 @@ def replay_variants(
     """
     variants = variants or REPLAYS
     # All variants are scored in one pass where the hits are read; texts, flags and traits come back at the end.
-    scores = F.array(
-        *[F.struct(F.lit(name).alias("variant"), batch_score(weights).alias("score")) for name, (weights, _) in variants.items()]
-    )
+    scores = F.array(*[batch_score(weights) for weights, _ in variants.values()])
     slim = ["run_id", "normalized_url", "provider_rank", "ord"]
-    given = with_traits(hits).select(*slim, F.lower(F.coalesce("source_domain", F.lit(""))).alias("__dom"), scores.alias("__scores"))
-    # Moved by domain once, before the rows of the variants, so the ranks within domains need no further move.
-    moved = unfetched(given, None).repartition("run_id", "__dom")
-    scored = moved.select(*slim, "__dom", F.explode("__scores").alias("__s")).select(*slim, "__dom", "__s.*")
+    given = with_traits(hits).filter("run_id IS NOT NULL").select(
+        *slim, F.lower(F.coalesce("source_domain", F.lit(""))).alias("__dom"), scores.alias("__scores")
+    )
+    # Moved once, before the rows of the variants, and by run, so no rank needs a further move. A run too large for
+    # one task is moved by its URLs and then by its domains.
+    held = largest(hits, ["run_id"]) <= HELD
+    moved = unfetched(given.repartition("run_id"), None) if held else unfetched(given, None).repartition("run_id", "__dom")
+    named = F.element_at(F.array(*map(F.lit, variants)), F.col("__v") + 1)
+    scored = moved.select(*slim, "__dom", F.posexplode("__scores").alias("__v", "score")).withColumn("variant", named).drop("__v")
     for name, (_, floor) in variants.items():
         if floor is not None:
             scored = scored.filter((F.col("variant") != name) | (F.col("score") >= floor))
@@ -256,23 +261,28 @@ def replay_variants(
     # so many domains, can be picked.
     most = rounds * limit
     rows = top_n(scored, [*key, "__dom"], _order(), most, "__n")
-    heads = top_n(rows.filter("__n = 1"), key, _order(), most, "__h")
-    # Joined by run and domain alone, as the rows lie, so they are not moved again.
-    led = heads.groupBy("run_id", "__dom").agg(F.collect_set("variant").alias("__led"))
-    pool = cut(
-        rows.join(led, ["run_id", "__dom"]).filter(F.array_contains("__led", F.col("variant")))
-        .drop("__n", "__led").withColumnRenamed("__dom", "source_domain")
-    )
+    if held:
+        head = F.first(F.struct(*ORDER)).over(W.partitionBy(*key, "__dom").orderBy(*_order()))
+        place = W.partitionBy(*key).orderBy(F.col("__head.score").desc(), "__head.provider_rank", "__head.ord", "__dom")
+        led = rows.withColumn("__head", head).withColumn("__h", F.dense_rank().over(place)).filter(F.col("__h") <= most)
+    else:
+        heads = top_n(rows.filter("__n = 1"), key, _order(), most, "__h")
+        # Joined by run and domain alone, as the rows lie, so they are not moved again.
+        leads = heads.groupBy("run_id", "__dom").agg(F.collect_set("variant").alias("__led"))
+        led = rows.join(leads, ["run_id", "__dom"]).filter(F.array_contains("__led", F.col("variant")))
+    pool = cut(led.select(*slim, F.col("__dom").alias("source_domain"), "variant", "score"))
     left, picks = pool, []
     for i in range(1, rounds + 1):
         now = cut(diverse_top(left, key, limit).withColumn("round", F.lit(i)))
         picks.append(now)
         left = left.join(now.select(*key, "normalized_url"), [*key, "normalized_url"], "left_anti")
-    # One key: one move serves the first row of a URL and the join.
-    at = F.struct("run_id", "normalized_url").alias("__at")
-    all_picks = reduce(DataFrame.unionByName, picks).select(at, "variant", "score", "adjusted", "pick", "round")
-    whole = first_per(hits.filter(F.col("normalized_url") != "").select("*", at), ["__at"], [F.col("ord")])
-    return with_traits(whole.join(all_picks, "__at").drop("__at"))
+    # The first row of a URL is known by its place; of several rows in that place one is left.
+    at = {"run_id": "__run", "normalized_url": "__url", "ord": "__ord"}
+    found = ["variant", "score", "adjusted", "pick", "round"]
+    all_picks = reduce(DataFrame.unionByName, picks).select(*[F.col(c).alias(n) for c, n in at.items()], *found)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in at.items()])
+    whole = hits.filter(F.col("normalized_url") != "").join(all_picks, same)
+    return with_traits(first_per(whole, ["__run", "__url", "variant", "round", "pick"], [F.col("ord")]).drop(*at.values()))
 
 
 def replay_scores(hits: DataFrame, variant: str, rounds: int = 3, limit: int = 6) -> DataFrame:

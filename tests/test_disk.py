@@ -106,3 +106,27 @@ def test_a_hosted_walk_equals_one_over_all_links(spark, monkeypatch):
 def test_levels_double(spark):
     got = [r[0] for r in spark.range(1, 40).orderBy("id").select(e.level(F.col("id"), 4)).collect()]
     assert got[:16] == [0] * 4 + [1] * 4 + [2] * 8 and got[16] == 3 and got == sorted(got)
+
+
+def _hits(spark):
+    rng = random.Random(11)
+    rows = [
+        (rng.choice(["a", "b", None]), f"https://x.org/{rng.randrange(120)}", f"D{rng.randrange(9)}.org", rng.choice([None, *range(500)]), rng.randrange(9), float(rng.randrange(40)), float(rng.randrange(9)), "direct_likely", f"Item {k}", "", rng.random() < 0.7)
+        for k in range(500)
+    ]
+    df = spark.createDataFrame(rows, "run_id string, normalized_url string, source_domain string, ord int, provider_rank int, fit_score double, novelty_score double, surface_type string, title string, snippet string, stage_match boolean")
+    return df.dropDuplicates(["run_id", "normalized_url", "ord"]).withColumn("url", F.col("normalized_url"))
+
+
+def test_replays_move_hits_once_by_run(spark, monkeypatch):
+    hits, plans, real = cut(_hits(spark)), [], b.cut
+    monkeypatch.setattr(b, "cut", lambda df: plans.append(_moves(df)) or real(df))
+
+    def replayed():
+        out = b.replay_variants(hits, rounds=2, limit=4)
+        return sorted(map(str, out.select(*sorted(out.columns)).collect()))
+
+    once = replayed()
+    assert plans[0] == 1 and once
+    monkeypatch.setattr(b, "HELD", 10)
+    assert replayed() == once
