@@ -23,13 +23,13 @@ def pairs_for_profile(profile_id: str, catalog: DataFrame) -> DataFrame:
     return catalog.select(F.lit(profile_id).alias("profile_id"), F.col("id"))
 
 
-def match_pairs(profiles: DataFrame, catalog: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs widened by profile and offer columns, joined on their keys.
+def match_pairs(profiles: DataFrame, catalog: DataFrame, pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs, with the columns ``keep``, widened by profile and offer columns, joined on their keys.
 
     The planner guesses the size of a catalog made of short compressed columns far too low, so
     these joins are sort-merge joins: a broadcast would pass all offers and profiles through the driver.
     """
-    return pairs.select("profile_id", "id").join(catalog.hint("merge"), "id").join(profiles.hint("merge"), "profile_id")
+    return pairs.select("profile_id", "id", *keep).join(catalog.hint("merge"), "id").join(profiles.hint("merge"), "profile_id")
 
 
 def _loose_match(rules: Column, value: Column) -> Column:
@@ -74,9 +74,9 @@ def with_eligibility(pairs: DataFrame, include_account: bool = True) -> DataFram
 
 
 def match_eligibility(
-    profiles: DataFrame, catalog: DataFrame, pairs: DataFrame, include_account: bool = True
+    profiles: DataFrame, catalog: DataFrame, pairs: DataFrame, include_account: bool = True, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    return with_eligibility(match_pairs(profiles, catalog, pairs), include_account)
+    return with_eligibility(match_pairs(profiles, catalog, pairs, keep), include_account)
 
 
 def with_fit(pairs: DataFrame) -> DataFrame:
@@ -99,27 +99,25 @@ def essay_containment(prompts: DataFrame, essays: DataFrame, pairs: DataFrame) -
     """Share of an offer's distinct prompt tokens found in a profile's essays.
 
     ``prompts(id, prompt)``, ``essays(profile_id, content)``, ``pairs(profile_id,
-    id)``.  Both sides shrink to distinct tokens before they meet, and the meeting
-    is an equality join on (profile, token), so no essay corpus is gathered whole: the planner takes
-    the exploded tokens for as small as the texts' files, so both joins are sort-merge joins.
+    id)``.  Both sides shrink to distinct tokens before they meet, a row per offer and per profile, so a
+    pair stays one row that moves by offer and by profile; a row per pair and token would move as often as a prompt has
+    tokens. The planner takes the tokens for as small as the texts' files, so both joins are sort-merge joins.
     """
-    offer_tokens = prompts.select("id", F.explode(tokens("prompt")).alias("token")).distinct()
-    profile_tokens = essays.select(
-        "profile_id", F.explode(tokens("content")).alias("token")
-    ).distinct()
-    hits = profile_tokens.withColumn("hit", F.lit(1))
+
+    def gathered(df: DataFrame, key: str, text: str, out: str) -> DataFrame:
+        return df.select(key, F.explode(tokens(text)).alias("token")).groupBy(key).agg(F.collect_set("token").alias(out))
+
+    asked, said = gathered(prompts, "id", "prompt", "asked"), gathered(essays, "profile_id", "content", "said")
     return (
         pairs.select("profile_id", "id")
         .distinct()
-        .join(offer_tokens.hint("merge"), "id", "left")
-        .join(hits.hint("merge"), ["profile_id", "token"], "left")
-        .groupBy("profile_id", "id")
-        .agg(F.count("token").alias("n_tokens"), F.count("hit").alias("n_hits"))
+        .join(asked.hint("merge"), "id", "left")
+        .join(said.hint("merge"), "profile_id", "left")
         .select(
             "profile_id",
             "id",
-            F.when(F.col("n_tokens") == 0, F.lit(0.0))
-            .otherwise(F.round(F.col("n_hits") / F.col("n_tokens"), 3))
+            F.when(F.col("asked").isNull() | F.col("said").isNull(), F.lit(0.0))
+            .otherwise(F.round(F.size(F.array_intersect("asked", "said")) / F.size("asked"), 3))
             .alias("essay_score"),
         )
     )

@@ -37,12 +37,15 @@ def match_profiles(
     if overrides is not None:
         winners = c.apply_overrides(winners, overrides)
     people = profiles_from_claims(winners)
-    scored = m.with_fit(m.match_eligibility(people, catalog, pairs))
     prompts = catalog.select("id", F.array_join("essay_prompts", " ").alias("prompt"))
-    overlap = m.essay_containment(prompts, t.segment_essays(documents), pairs)
-    scored = scored.join(overlap, ["profile_id", "id"], "left").withColumn(
-        "essay_score", F.coalesce("essay_score", F.lit(0.0))
-    )
+    # Every pair once, with its number; scored first, so that the pairs bring the score along and meet it in no wider join.
+    once = cut(pairs.groupBy("profile_id", "id").agg(F.count("*").alias("__n")))
+    overlap = cut(m.essay_containment(prompts, t.segment_essays(documents), once))
+    again = once.filter("__n > 1")
+    if not again.isEmpty():
+        more = overlap.join(again, ["profile_id", "id"]).withColumn("__n", F.explode(F.sequence(F.lit(2), F.col("__n").cast("int"))))
+        overlap = overlap.unionByName(more.drop("__n"))
+    scored = m.with_fit(m.match_eligibility(people, catalog, overlap, keep=("essay_score",)))
     ranked = m.rank_offers(scored, k)
     values = winners.select("profile_id", F.col("field_path").alias("source_path"), "value")
     drafts = None

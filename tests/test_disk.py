@@ -9,6 +9,7 @@ from oppweave.functions import ranks
 from oppweave.operators import batch as b
 from oppweave.operators import expansion as e
 from oppweave.operators import hits as o
+from oppweave.operators import matching as m
 from oppweave.session import SPENT, cut
 
 
@@ -130,3 +131,29 @@ def test_replays_move_hits_once_by_run(spark, monkeypatch):
     assert plans[0] == 1 and once
     monkeypatch.setattr(b, "HELD", 10)
     assert replayed() == once
+
+
+def test_a_pair_is_one_row_however_many_tokens_its_prompt_has(spark):
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 3), (3, 1), (2, 1), (None, 1)], "profile_id long, id long")
+    prompts = spark.createDataFrame([(1, "one two three"), (1, "four"), (2, "two"), (3, "--")], "id long, prompt string")
+    essays = spark.createDataFrame([(1, "Two! one"), (1, "four"), (2, "none")], "profile_id long, content string")
+    out = m.essay_containment(prompts, essays, pairs)
+    joins = [line for line in _plan(out).splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any("token" in line for line in joins)
+    got = {(r["profile_id"], r["id"]): r["essay_score"] for r in out.collect()}
+    assert got == {(1, 1): 0.75, (1, 2): 1.0, (2, 1): 0.0, (2, 3): 0.0, (3, 1): 0.0, (None, 1): 0.0} and out.count() == 6
+
+
+def test_pairs_bring_their_essay_score_and_come_back_as_often_as_they_are_queued(spark):
+    from oppweave.plans.match_profiles import match_profiles
+
+    docs = spark.createDataFrame([(1, "d", 1, "State: Texas\nGPA: 3.5")], "profile_id long, document_id string, doc_ord int, raw_text string")
+    rows = [(k, k, f"offer {k}", 10.0 * k, None, 30, None, [], [], ["Why you"]) for k in (1, 2)]
+    catalog = spark.createDataFrame(rows, "id long, ord long, name string, award_amount double, deadline string, effort_minutes int, min_gpa double, allowed_majors array<string>, allowed_ethnicities array<string>, essay_prompts array<string>")
+    catalog = catalog.withColumn("requires_account", F.lit(False))
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 2)], "profile_id long, id long")
+    out = match_profiles(docs, catalog, pairs, None, 9)["ranked"]
+    assert sorted((r["id"], r["essay_score"]) for r in out.collect()) == [(1, 0.0), (2, 0.0), (2, 0.0), (2, 0.0)]
+    plan = _plan(match_profiles(docs, catalog, pairs.distinct(), None, 9)["ranked"])
+    keys = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert keys and not any("profile_id" in line and " id#" in line for line in keys)
