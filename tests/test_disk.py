@@ -10,6 +10,7 @@ from oppweave.operators import batch as b
 from oppweave.operators import expansion as e
 from oppweave.operators import hits as o
 from oppweave.operators import matching as m
+from oppweave.operators import store as s
 from oppweave.session import SPENT, cut
 
 
@@ -109,6 +110,31 @@ def test_levels_double(spark):
     assert got[:16] == [0] * 4 + [1] * 4 + [2] * 8 and got[16] == 3 and got == sorted(got)
 
 
+def _first_wins(rows):
+    kept, blocked = set(), set()
+    for k, *keys in sorted(rows):
+        if not blocked & set(keys):
+            kept.add(k)
+            blocked |= set(keys)
+    return kept
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_first_wins_looks_up_only_keys_of_more_than_two_rows(spark, monkeypatch, seed, kind):
+    rng = random.Random(seed)
+    rows = [(k, f"u{rng.randrange(60)}", f"n{rng.randrange(150)}") for k in range(200)]
+    df = spark.createDataFrame([(*r, "d") for r in rows], "id int, source_url string, name string, source_domain string")
+    df = df.withColumn("id", F.format_string("%03d", "id") if kind == "string" else F.col("id"))
+    tables, real = [], s.cut
+    monkeypatch.setattr(s, "cut", lambda x: tables.append(real(x)) or tables[-1])
+    got = {int(r["id"]) for r in s.first_wins(df, "id", "id").collect()}
+    assert got == _first_wins(rows)
+    looked = {r["key"] for r in tables[0].filter("key is not null").collect()}
+    sizes = [sum(f"url:{r[1]}" == key or f"name_domain:{r[2]}::d" == key for r in rows) for key in looked]
+    assert looked and min(sizes) > 2
+
+
 def _hits(spark):
     rng = random.Random(11)
     rows = [
