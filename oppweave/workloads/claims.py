@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import canonical_url
 from ..operators import claims as c
 from ..operators import store as s
+from ..session import cut
 from .hits import URL_SQL
 from .registry import query
 from .tables import catalog, table
@@ -348,9 +349,13 @@ def judge_suggestions(spark, sf):
     l = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     p = F.col("l_partkey")
     vetted = p % 4 == 0
-    rows = l.select(
-        F.col("o_custkey").alias("user_id"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000003 + p) * 10007 + F.col("l_suppkey")).alias("ord"), p.cast("string").alias("id"),
+    # Joined and written once, as numbers; the queue and the suggestions are read from it.
+    lines = cut(l.select(
+        F.col("o_custkey").alias("user_id"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000003 + p) * 10007 + F.col("l_suppkey")).alias("ord"), "l_partkey",
         ((F.col("l_linestatus") == "O") & (F.col("o_orderstatus") == "O")).alias("queued"),
+    ))
+    rows = lines.select(
+        "user_id", "ord", p.cast("string").alias("id"), "queued",
         F.when(vetted, F.concat(F.lit("https://P.example.org/"), p)).otherwise(F.concat(F.lit("https://u.example.org/"), p)).alias("source_url"),
         F.when(vetted, F.concat(F.lit("v"), p)).otherwise(F.concat(F.lit("n"), F.floor(p / 3))).alias("name"), F.lit("x.org").alias("source_domain"),
     )

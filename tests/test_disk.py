@@ -135,6 +135,35 @@ def test_first_wins_looks_up_only_keys_of_more_than_two_rows(spark, monkeypatch,
     assert looked and min(sizes) > 2
 
 
+def test_suggestions_are_read_once_and_judged_as_in_a_loop(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), k, rng.choice(["https://C.org/", "https://u.org/"]) + str(rng.randrange(30)), rng.choice(["", "n", "m"]) + str(rng.randrange(25)), "d") for k in range(120)]
+    ddl = "user_id int, ord int, source_url string, name string, source_domain string"
+    spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/suggested")
+    catalog = [(k, f"https://c.org/{k}", f"m{k}", "d") for k in range(12)]
+    queue = [(rng.randrange(4), rng.randrange(12), f"https://u.org/{rng.randrange(30)}", f"q{k}", "d") for k in range(12)]
+    out = s.judge_suggestions(
+        spark.read.parquet(f"{tmp_path}/suggested"),
+        spark.createDataFrame(catalog, "id int, source_url string, name string, source_domain string"),
+        spark.createDataFrame(queue, "user_id int, id int, source_url string, name string, source_domain string"),
+    )
+    urls = {c[1]: c[0] for c in catalog}
+    known = {c[1] for c in catalog} | {(c[2], "d") for c in catalog}
+    taken = {u: known | {x for q in queue if q[0] == u for x in (q[2], (q[3], "d"))} for u in range(4)}
+    want = []
+    for user, ord_, url, name, dom in rows:
+        url = url.lower()
+        if url in urls:
+            want.append((user, ord_, "already_in_catalog", str(urls[url]), any(q[:2] == (user, urls[url]) for q in queue)))
+            continue
+        dup = bool({url, (name, dom)} & taken[user])
+        want.append((user, ord_, "already_in_queue" if dup else "imported", None, False))
+        if not dup:
+            taken[user] |= {url, (name, dom)}
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert "suggested" not in _plan(out)
+
+
 def _hits(spark):
     rng = random.Random(11)
     rows = [
